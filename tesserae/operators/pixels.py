@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.sources.raster import INTEGER_LIMITS
 
@@ -170,7 +171,10 @@ def hull_of_rows(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[f
     return float(area), float((n * y).sum() / area), float((n * (first + last) / 2).sum() / area)
 
 
-@F.pandas_udf("struct<convex_area double, hull_cy double, hull_cx double>")
+HULL_TYPE = T.StructType([T.StructField(name, T.DoubleType()) for name in ("convex_area", "hull_cy", "hull_cx")])
+
+
+@F.pandas_udf(HULL_TYPE)
 def _hull(rows: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
     found = [hull_of_rows(np.asarray(r, float), np.asarray(a, float), np.asarray(b, float)) for r, a, b in zip(rows, low, high)]
     return pd.DataFrame(found, columns=["convex_area", "hull_cy", "hull_cx"])
