@@ -22,13 +22,22 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def first(items: Column) -> Column:
+    """First element, null for an empty array (`element_at` would fail)."""
+    return F.get(items, F.lit(0))
+
+
+def last(items: Column) -> Column:
+    return F.get(items, F.size(items) - 1)
+
+
 def box_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
 
 
 def close_ring(ring: Column) -> Column:
     """Repeat the first vertex unless the ring already ends on it."""
-    return F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(
+    return F.when(first(ring) == last(ring), ring).otherwise(
         F.concat(ring, F.slice(ring, 1, 1))
     )
 
@@ -56,7 +65,7 @@ def signed_area(ring: Column) -> Column:
 
 def polygon_area(rings: Column) -> Column:
     """Shell area minus hole areas."""
-    shell = F.abs(signed_area(F.element_at(rings, 1)))
+    shell = F.abs(signed_area(first(rings)))
     holes = F.aggregate(
         F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))),
         F.lit(0.0),
@@ -66,7 +75,7 @@ def polygon_area(rings: Column) -> Column:
 
 
 def bounds(rings: Column) -> Column:
-    shell = F.element_at(rings, 1)
+    shell = first(rings)
     xs, ys = F.transform(shell, lambda p: p["x"]), F.transform(shell, lambda p: p["y"])
     return F.struct(
         F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"),
@@ -130,7 +139,7 @@ def ring_problem(ring: Column) -> Column:
     return (
         F.when(ring.isNull() | (F.size(ring) == 0), F.lit("empty"))
         .when(~F.forall(ring, lambda p: is_finite(p["x"]) & is_finite(p["y"])), F.lit("not_finite"))
-        .when(F.element_at(ring, 1) != F.element_at(ring, -1), F.lit("not_closed"))
+        .when(first(ring) != last(ring), F.lit("not_closed"))
         .when(distinct < 3, F.lit("too_few_vertices"))
         .when(signed_area(ring) == 0, F.lit("no_area"))
     )
@@ -152,7 +161,7 @@ def ellipse_ring(corners: Column, segments: int = ELLIPSE_SEGMENTS) -> Column:
     """Polygon with `segments` vertices for an ellipse given by four box corners; null for a degenerate axis."""
     if segments < MIN_ELLIPSE_SEGMENTS:
         raise ValueError(f"An ellipse needs at least {MIN_ELLIPSE_SEGMENTS} segments.")
-    c = [F.element_at(corners, i) for i in range(1, 5)]
+    c = [F.get(corners, F.lit(i)) for i in range(4)]
 
     def axis(end: Column, name: str) -> Column:
         return (end[name] - c[0][name]) / 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import ELLIPSE_SEGMENTS, circle_box, ellipse_ring
+from tesserae.functions.geometry import ELLIPSE_SEGMENTS, circle_box, ellipse_ring, first, last
 from tesserae.functions.numeric import is_finite
 from tesserae.functions.text import generated_suffix, is_generated
 from tesserae.scale import number_rows
@@ -34,9 +34,9 @@ def ellipse_polygons(df: DataFrame, corners: str = "corners", segments: int = EL
 def rings_of_path(path: Column) -> tuple[Column, Column]:
     """Rings and problem of a vertex path: the shell, closed on its first vertex, then each closed hole, followed by the
     shell's first vertex again."""
-    n, anchor = F.size(path), F.element_at(path, 1)
-    marks = F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.element_at(path, i) == anchor)
-    end = F.element_at(marks, 1)
+    n, anchor = F.size(path), first(path)
+    marks = F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.get(path, i - 1) == anchor)
+    end = first(marks)
     gaps = F.zip_with(
         F.slice(marks, F.lit(1), F.greatest(F.size(marks) - 1, F.lit(0))), F.slice(marks, F.lit(2), F.greatest(F.size(marks) - 1, F.lit(0))),
         lambda a, b: F.slice(path, a + 1, F.greatest(b - a - 1, F.lit(0))),
@@ -46,9 +46,9 @@ def rings_of_path(path: Column) -> tuple[Column, Column]:
         F.when(path.isNull() | (n < 3), "too_few_vertices")
         .when(F.exists(path, lambda p: ~(is_finite(p["x"]) & is_finite(p["y"]))), "not_finite")
         .when(simple, F.lit(None).cast("string"))
-        .when(end < 4, "shell_too_short").when(F.element_at(path, -1) != anchor, "missing_separator")
+        .when(end < 4, "shell_too_short").when(last(path) != anchor, "missing_separator")
         .when(F.exists(gaps, lambda h: F.size(h) < 4), "hole_too_short")
-        .when(F.exists(gaps, lambda h: F.get(h, F.lit(0)) != F.get(h, F.size(h) - 1)), "hole_not_closed")
+        .when(F.exists(gaps, lambda h: first(h) != last(h)), "hole_not_closed")
     )
     shell = F.slice(path, F.lit(1), F.when(F.size(marks) == 0, n).otherwise(end))
     rings = F.when(simple, F.array(shell)).otherwise(F.concat(F.array(shell), gaps))

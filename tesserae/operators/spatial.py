@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import (
-    bounds, covers, cross, edges_in_slab, on_edge, polygon_area, polygon_edges, ring_edges, ring_problem, strictly_inside,
+    bounds, covers, cross, edges_in_slab, first, on_edge, polygon_area, polygon_edges, ring_edges, ring_problem, strictly_inside,
     transform_rings,
 )
 from tesserae.functions.numeric import Affine
@@ -205,11 +205,11 @@ def validate_polygons(polygons: DataFrame, id_column: str = "polygon_id", rings:
     """`id, problem` per polygon: empty, not_finite, not_closed, too_few_vertices, no_area, self_intersection,
     ring_crossing or hole_outside; null for a valid polygon."""
     ring_problems = F.filter(F.transform(F.col(rings), ring_problem), lambda p: p.isNotNull())
-    local = F.when(F.col(rings).isNull() | (F.size(rings) == 0), F.lit("empty")).otherwise(F.get(ring_problems, F.lit(0)))
+    local = F.when(F.col(rings).isNull() | (F.size(rings) == 0), F.lit("empty")).otherwise(first(ring_problems))
     judged = polygons.select(id_column, rings, local.alias("local"))
     sound = judged.where("local is null").select(id_column, rings)
     crossing = crossing_polygons(sound, id_column, rings)
-    shell = ring_edges(F.element_at(rings, 1))
+    shell = ring_edges(first(F.col(rings)))
     outside = F.exists(
         F.slice(F.col(rings), F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))),
         lambda ring: F.exists(ring, lambda p: ~covers(shell, p["x"], p["y"])),
@@ -246,17 +246,14 @@ def assemble_holes(polygons: DataFrame, group: str = "group_id", id_column: str
     shells = largest_polygon(polygons, group, id_column, rings).select(group, "shell_id", "n_polygons", "is_unique")
     placed = join_sized(polygons.select(group, id_column, rings), settle(shells), group)
     is_shell = F.col(id_column) == F.col("shell_id")
-    shell_rows = placed.where(is_shell).select(group, F.element_at(rings, 1).alias("shell"), F.col(rings).alias("__rings"))
+    shell_rows = placed.where(is_shell).select(group, first(F.col(rings)).alias("shell"), F.col(rings).alias("__rings"))
     kept = shell_rows.select(
         group, F.posexplode(F.slice("__rings", F.lit(2), F.greatest(F.size("__rings") - 1, F.lit(0)))).alias("i", "ring")
     ).select(group, F.concat(F.lit("kept-"), F.col("i").cast("string")).alias("owner"), "ring")
     added = placed.where("is_unique").where(~is_shell)
-    holes = added.select(group, F.col(id_column).cast("string").alias("owner"), F.element_at(rings, 1).alias("ring")).unionByName(kept)
+    holes = added.select(group, F.col(id_column).cast("string").alias("owner"), first(F.col(rings)).alias("ring")).unionByName(kept)
     holes = settle(holes).df
 
-    def flags(found: DataFrame, name: str) -> DataFrame:
-        return found.select(group).distinct().withColumn(name, F.lit(True))
-
     with_shell = holes.join(shell_rows.select(group, ring_edges(F.col("shell")).alias("shell_edges")), group)
     outside = with_shell.where(F.exists("ring", lambda p: ~covers(F.col("shell_edges"), p["x"], p["y"])))
     all_rings = holes.select(group, "owner", F.array("ring").alias("rings")).unionByName(
@@ -272,11 +269,15 @@ def assemble_holes(polygons: DataFrame, group: str = "group_id", id_column: str
     probes = holes.select(group, "owner", F.explode(F.concat(F.col("ring"), middles)).alias("p")).select(group, "owner", "p.x", "p.y")
     nested = _strictly_inside_others(probes, all_rings.where("owner <> 'shell'"), group)
     with_interiors = added.where(F.size(rings) > 1)
-    judged = shells
-    for found, name in (
-        (with_interiors, "interiors"), (outside, "outside"), (leaves, "leaves"), (touches, "touches"), (overlaps, "overlaps"), (nested, "nested"),
-    ):
-        judged = judged.join(flags(found, name), group, "left")
+    findings = {
+        "interiors": with_interiors, "outside": outside, "leaves": leaves, "touches": touches, "overlaps": overlaps, "nested": nested,
+    }
+    listed = None
+    for name, found in findings.items():
+        rows = found.select(group, F.lit(name).alias("finding"))
+        listed = rows if listed is None else listed.unionByName(rows)
+    flagged = listed.groupBy(group).agg(*[F.bool_or(F.col("finding") == name).alias(name) for name in findings])
+    judged = shells.join(flagged, group, "left")
     return judged.select(
         group, "shell_id", (F.col("n_polygons") - 1).alias("n_holes"),
         F.when(F.col("n_polygons") < 2, "too_few_polygons").when(~F.col("is_unique"), "ambiguous_shell")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import polygon_area, ring_problem
+from tesserae.functions.geometry import first, polygon_area, ring_problem
 
 
 @dataclass(frozen=True)
@@ -74,17 +74,13 @@ def scan_shapes(df: DataFrame, id_column: str = "instance_id", rings: str = "rin
 
     Uniqueness of the identity is a property of the whole element: see `duplicate_shape_ids`.
     """
+    found = first(F.filter(F.transform(F.col(rings), ring_problem), lambda p: p.isNotNull()))
     problem = (
         F.when(F.col(id_column).isNull(), F.lit("missing_identity"))
         .when(F.col(rings).isNull() | (F.size(rings) == 0), F.lit("empty"))
-        .otherwise(
-            F.coalesce(
-                F.element_at(F.filter(F.transform(F.col(rings), ring_problem), lambda p: p.isNotNull()), 1),
-                F.when(polygon_area(F.col(rings)) <= 0, F.lit("no_area")),
-            )
-        )
+        .otherwise(F.coalesce(found, F.when(polygon_area(F.col(rings)) <= 0, F.lit("no_area"))))
     )
-    return df.withColumn("problem", F.when(F.size(rings) > 0, problem).otherwise(problem))
+    return df.withColumn("problem", problem)
 
 
 def duplicate_shape_ids(df: DataFrame, id_column: str = "instance_id") -> DataFrame:
