@@ -344,3 +344,19 @@ WITH {CATALOG_SQL} SELECT l.coordinate_system, l.element AS labels,
 FROM catalog l LEFT JOIN catalog i ON i.coordinate_system = l.coordinate_system AND i.kind = 'images' WHERE l.kind = 'labels' GROUP BY 1, 2""")
 def image_discovery(spark, folder):
     return K.image_discovery(catalog(spark, folder))
+
+
+@query("geometry_fingerprint", """
+WITH shapes AS (SELECT c_mktsegment AS element, c_custkey AS pos, sha256('polygon|2|' || c_nationkey || '.0,' || c_nationkey * 2 || '.0;' || c_nationkey + 1 || '.0,0.0') AS d FROM customer),
+l1 AS (SELECT element, pos // 65536 AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY pos)) AS d FROM shapes GROUP BY ALL),
+l2 AS (SELECT element, sum(n) AS n, sha256(string_agg(d, '' ORDER BY b)) AS d FROM l1 GROUP BY element)
+SELECT element, CAST(n AS BIGINT) AS n_rows, sha256(sha256(d)) AS fingerprint FROM l2""")
+def geometry_fingerprint(spark, folder):
+    from tesserae.functions.digest import geometry_fingerprint as fingerprint
+
+    n = F.col("c_nationkey").cast("double")
+    rows = table(spark, folder, "customer").select(
+        F.col("c_mktsegment").alias("element"), F.col("c_custkey").alias("row_pos"), F.lit("polygon").alias("shape_type"),
+        F.array(point(n * 2, n), point(F.lit(0.0), n + 1)).alias("ring"),
+    )
+    return fingerprint(rows)

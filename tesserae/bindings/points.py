@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tesserae.bindings.registry import query, table
 from tesserae.functions.numeric import Affine
+from tesserae.functions import text as X
 from tesserae.functions.text import normalize_label
 from tesserae.operators import points as P
 from tesserae.operators import tiles as T
+from tesserae.plans.build_tiles import plan_tiles
 from tesserae.sources.points import PointColumns, scan_points
 
 ITEMS = PointColumns("x", "y", "gene")
@@ -66,10 +68,8 @@ tiled AS (SELECT p.*, d.value_id, CAST(floor((x - x_min) / 1024.0) AS BIGINT) AS
 
 
 def tiled_items(spark: SparkSession, folder: str) -> tuple[DataFrame, T.TileGrid]:
-    points = item_points(spark, folder)
-    grid = T.tile_grid(points, leaf=LEAF)
-    encoded = P.encode_labels(points, ITEMS, P.value_dictionary(points, "gene"))
-    return T.tile_annotate(encoded, grid, grid.finest), grid
+    plan = plan_tiles(item_points(spark, folder), ITEMS, leaf=LEAF)
+    return plan.annotated(), plan.grid
 
 
 @query("scan_points", f"WITH {ITEM_SQL} SELECT gene, count(*) AS n, min(x) AS min_x, max(y) AS max_y FROM points GROUP BY gene")
@@ -226,8 +226,8 @@ FROM tiled GROUP BY ALL"""
 
 @query("tile_counts", TILE_COUNT_SQL)
 def tile_counts(spark, folder):
-    tiled, _ = tiled_items(spark, folder)
-    return T.tile_counts(tiled, "gene_id")
+    tiled, grid = tiled_items(spark, folder)
+    return T.tile_counts(tiled, grid.finest, "gene_id")
 
 
 @query("tile_manifest", f"""
@@ -238,7 +238,7 @@ SELECT level, level || '/' || tile_x || '/' || tile_y AS tile_id, tile_x, tile_y
 FROM numbered GROUP BY ALL""")
 def tile_manifest(spark, folder):
     tiled, grid = tiled_items(spark, folder)
-    return T.tile_manifest(T.tile_counts(tiled), grid.finest, MAX_ROWS).withColumns(
+    return T.tile_manifest(T.tile_counts(tiled, grid.finest), grid.finest, MAX_ROWS).withColumns(
         {"level": F.col("level").cast("long"), "tile_shard": F.col("tile_shard").cast("long")}
     )
 
@@ -298,3 +298,22 @@ def affine_transform(spark, folder):
     return items.select(
         "l_orderkey", "l_linenumber", F.round(affine.x(x, y), 6).alias("x"), F.round(affine.y(x, y), 6).alias("y")
     )
+
+
+@query("display_titles", """
+SELECT p_brand AS brand, p_type AS kind, CASE WHEN count(DISTINCT p_name) = 1 THEN p_brand || ': p_name=' || min(p_name)
+         ELSE p_brand || ': ' || count(DISTINCT p_name) || ' p_name values' END AS selection,
+       p_brand || CASE WHEN p_type = 'ECONOMY' THEN '[obs:' ELSE '[X:' END || min(p_name) || ']' AS styled,
+       'Showing ' || format('{:,}', count(*)) || ' of ' || format('{:,}', CAST(sum(p_size) * 100 AS BIGINT))
+         || ' selected points because the render point budget is 1,000.' AS warning
+FROM part GROUP BY p_brand, p_type""")
+def display_titles(spark, folder):
+    grouped = table(spark, folder, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")).agg(
+        F.count_distinct("p_name").alias("n"), F.min("p_name").alias("only"), F.count(F.lit(1)).alias("rows"), F.sum("p_size").alias("size")
+    )
+    source = F.when(F.col("kind") == "ECONOMY", "obs_column").otherwise("x_var")
+    return grouped.select(
+        "brand", "kind", X.selection_title(F.col("brand"), F.lit("p_name"), F.col("n"), F.lit("values"), F.col("only")).alias("selection"),
+        X.styled_title(F.col("brand"), source, F.col("only")).alias("styled"),
+        X.sampling_warning(F.col("rows"), F.col("size") * 100, F.lit(1000)).alias("warning"),
+    )

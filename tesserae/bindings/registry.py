@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,5 +25,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A benchmark table; its schema is read from the footer once per process."""
+    path = f"{folder}/{name}.parquet"
+    if (folder, name) not in _SCHEMAS:
+        _SCHEMAS[folder, name] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[folder, name]).parquet(path)

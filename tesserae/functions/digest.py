@@ -6,7 +6,7 @@ name, the eight-byte count, and every identifier in ascending order as eight big
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DOMAIN = "tesserae/instance-set"
@@ -37,3 +37,24 @@ def row_fingerprint(shape_type: Column, ring: Column) -> Column:
         F.array_join(F.transform(ring, lambda p: F.concat_ws(",", p["y"].cast("string"), p["x"].cast("string"))), ";"),
     )
     return F.sha2(text, 256)
+
+
+BUCKET_BITS = 16
+
+
+def geometry_fingerprint(shapes: DataFrame, element: str = "element", row_pos: str = "row_pos") -> DataFrame:
+    """`element, n_rows, fingerprint` of the ordered shapes `(element, row_pos, shape_type, ring)`.
+
+    Row digests are joined in order within 65536 consecutive positions and hashed, then those hashes likewise, up to
+    one per element, so that no buffer grows with the number of shapes.
+    """
+    level = shapes.select(
+        F.col(element).alias("element"), F.col(row_pos).cast("long").alias("b"), F.lit(1).cast("long").alias("n"),
+        row_fingerprint(F.col("shape_type"), F.col("ring")).alias("d"),
+    )
+    for _ in range(64 // BUCKET_BITS):
+        in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("b").alias("k"), "d"))), lambda s: s["d"]), "")
+        level = level.groupBy("element", F.shiftright("b", BUCKET_BITS).alias("b")).agg(
+            F.sum("n").alias("n"), F.sha2(in_order, 256).alias("d")
+        )
+    return level.select("element", F.col("n").alias("n_rows"), F.col("d").alias("fingerprint"))

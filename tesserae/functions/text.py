@@ -19,8 +19,10 @@ def label_missing(label: Column) -> Column:
 
 
 def label_empty(label: Column) -> Column:
-    """True for a present label that has nothing left after trimming."""
-    return label.isNotNull() & (F.length(normalize_label(label)) == 0)
+    """True for a present label that has nothing left after trimming. Most labels start with a printable ASCII
+    character, which settles it without a pattern."""
+    blank = label.rlike(rf"(?U)^({BLANKS})?$")
+    return F.coalesce(F.when(F.ascii(label).between(33, 126), F.lit(False)).otherwise(blank), F.lit(False))
 
 
 def folded_name(name: Column) -> Column:

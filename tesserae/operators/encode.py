@@ -134,17 +134,17 @@ def value_range(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.min(finite_or_null(F.col(value))).alias("lo"), F.max(finite_or_null(F.col(value))).alias("hi"))
 
 
-def _range_columns(df: DataFrame, value: str, fixed: tuple[float, float] | None) -> tuple[Column, Column]:
+def _with_range(df: DataFrame, value: str, fixed: tuple[float, float] | None) -> DataFrame:
+    """Attach `__ends` (lo, hi) once, as a scalar subquery or a literal."""
     if fixed:
-        return F.lit(float(fixed[0])), F.lit(float(fixed[1]))
-    ends = value_range(df, value).select(F.struct("lo", "hi")).scalar()
-    return ends["lo"], ends["hi"]
+        return df.withColumn("__ends", F.struct(F.lit(float(fixed[0])).alias("lo"), F.lit(float(fixed[1])).alias("hi")))
+    return df.withColumn("__ends", value_range(df, value).select(F.struct("lo", "hi")).scalar())
 
 
 def normalized_values(df: DataFrame, value: str, out: str = "normalized") -> DataFrame:
     """Position of each value between the column's extremes: [0, 1], 0.5 for a constant, null when not finite."""
-    low, high = _range_columns(df, value, None)
-    return df.withColumn(out, unit_position(F.col(value), low, high))
+    ranged = _with_range(df, value, None)
+    return ranged.withColumn(out, unit_position(F.col(value), F.col("__ends.lo"), F.col("__ends.hi"))).drop("__ends")
 
 
 def continuous_codes(
@@ -155,10 +155,11 @@ def continuous_codes(
         raise ValueError("Continuous codes need at least two bins.")
     if fixed_range is not None and not fixed_range[0] < fixed_range[1]:
         raise ValueError("A value range needs min < max.")
-    low, high = _range_columns(df, value, fixed_range)
-    position = unit_position(F.col(value).cast("double"), low, high)
+    ranged = _with_range(df, value, fixed_range)
+    position = unit_position(F.col(value).cast("double"), F.col("__ends.lo"), F.col("__ends.hi"))
     code = clip(F.floor(position * bins), F.lit(0), F.lit(bins - 1)) + FIRST_CODE
-    return df.withColumn(out, F.when(is_finite(F.col(value)), code).otherwise(F.lit(bins + FIRST_CODE)).cast("long"))
+    coded = F.when(is_finite(F.col(value)), code).otherwise(F.lit(bins + FIRST_CODE)).cast("long")
+    return ranged.withColumn(out, coded).drop("__ends")
 
 
 def color_codes(palette: DataFrame) -> Sized:

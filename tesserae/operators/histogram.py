@@ -68,16 +68,14 @@ def histogram(
     if isinstance(bins, bool) or not isinstance(bins, int) or bins <= 0:
         raise ValueError("The number of bins must be a positive integer.")
     fixed = check_range(value_range)
-    if fixed:
-        low, high = F.lit(fixed[0]), F.lit(fixed[1])
-    else:
-        ends = data_range(df, value)
-        low, high = ends["lo"], ends["hi"]
+    ends = F.struct(F.lit(fixed[0]).alias("lo"), F.lit(fixed[1]).alias("hi")) if fixed else data_range(df, value)
+    low, high = F.col("__ends.lo"), F.col("__ends.hi")
     counts = (
-        df.select(bin_index(F.col(value).cast("double"), low, high, bins).alias("bin"))
+        df.select(F.col(value).cast("double").alias("v"), ends.alias("__ends"))
+        .select(bin_index(F.col("v"), low, high, bins).alias("bin"))
         .where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     )
-    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    every = df.sparkSession.range(bins).select(F.col("id").alias("bin"), ends.alias("__ends"))
     filled = every.join(F.broadcast(counts), "bin", "left").select(
         "bin", bin_edge(F.col("bin"), low, high, bins).alias("lo"), bin_edge(F.col("bin") + 1, low, high, bins).alias("hi"),
         F.coalesce("n", F.lit(0)).alias("count"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,35 +101,41 @@ def moment_features(pixels: DataFrame, pixel_variance: float = PIXEL_VARIANCE) -
     ).drop("vy", "vx", "c", "l1", "l2")
 
 
-def _offer(pixels: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
-    """Every pixel sends a weight to the positions around it; each position sums what it receives."""
+def border_pixels(pixels: DataFrame) -> DataFrame:
+    """Pixels that lack at least one of their four neighbours in the object.
+
+    Neighbours are looked up along raster rows and columns, so no window holds more than one line of one object.
+    """
+    def gap(axis: str, along: list[str]) -> Column:
+        line = Window.partitionBy(*along).orderBy(axis)
+        before, after = F.col(axis) - F.lag(axis).over(line), F.lead(axis).over(line) - F.col(axis)
+        return ~F.coalesce((before == 1) & (after == 1), F.lit(False))
+
+    across = pixels.withColumn("__x", gap("x", ["region", "label", "y"]))
+    down = across.withColumn("__y", gap("y", ["region", "label", "x"]))
+    return down.where(F.col("__x") | F.col("__y")).drop("__x", "__y")
+
+
+def perimeters(pixels: DataFrame) -> DataFrame:
+    """4-connected perimeter per object.
+
+    Every border pixel sends a weight to itself and to the eight positions around it, and each position sums what it
+    receives: the shuffle key holds the position, so a huge object is spread over all tasks.
+    """
+    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     sent = F.array(
         *[
             F.struct(
                 (F.col("y") + dy).cast("long").alias("y"), (F.col("x") + dx).cast("long").alias("x"),
-                F.lit(int(dy == 0 and dx == 0)).alias("self"), F.lit(w).alias("w"),
+                F.lit(int(dy == 0 and dx == 0)).alias("own"),
+                F.lit(1 if dy == 0 and dx == 0 else AXIS_WEIGHT if dy == 0 or dx == 0 else DIAGONAL_WEIGHT).alias("w"),
             )
-            for dy, dx, w in offsets
+            for dy, dx in steps
         ]
     )
-    return (
-        pixels.select("region", "label", F.inline(sent)).groupBy("region", "label", "y", "x")
-        .agg(F.max("self").alias("self"), F.sum("w").alias("w")).where("self = 1")
-    )
-
-
-def perimeters(pixels: DataFrame) -> DataFrame:
-    """4-connected perimeter per object.
-
-    Neighbours are found by sending weights to positions and summing there: the shuffle key holds the position, so
-    a huge object is spread over all tasks (a window or a join per object would not be).
-    """
-    axis = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-    diagonal = [(-1, -1), (-1, 1), (1, -1), (1, 1)]
-    border = _offer(pixels, [(0, 0, 0), *[(dy, dx, 1) for dy, dx in axis]]).where("w < 4").drop("self", "w")
-    weighed = _offer(
-        border,
-        [(0, 0, 1), *[(dy, dx, AXIS_WEIGHT) for dy, dx in axis], *[(dy, dx, DIAGONAL_WEIGHT) for dy, dx in diagonal]],
+    weighed = (
+        border_pixels(pixels).select("region", "label", F.inline(sent)).groupBy("region", "label", "y", "x")
+        .agg(F.max("own").alias("own"), F.sum("w").alias("w")).where("own = 1")
     )
     length = F.lit(0.0)
     for sums, unit in PERIMETER_LENGTHS:

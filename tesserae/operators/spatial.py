@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import (
-    bounds, covers, cross, edges_in_slab, first, on_edge, polygon_area, polygon_edges, ring_edges, ring_problem, strictly_inside,
+    bounds, covers, cross, edges_in_slab, first, polygon_area, polygon_edges, ring_edges, ring_problem, strictly_inside,
     transform_rings,
 )
 from tesserae.functions.numeric import Affine
@@ -125,37 +125,53 @@ def edge_table(polygons: DataFrame, keys: Sequence[str], rings: str = "rings") -
     return listed.select(*keys, "ring", "n", F.posexplode("__edges").alias("k", "s")).select(*keys, "ring", "n", "k", "s.*")
 
 
-def _contact_kind() -> Column:
-    """How edges a and b meet: cross, overlap (along a line), touch (in a point), or null."""
-    a = F.struct(*[F.col(f"a_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    b = F.struct(*[F.col(f"b_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    d1, d2 = cross(b, a["x1"], a["y1"]), cross(b, a["x2"], a["y2"])
-    d3, d4 = cross(a, b["x1"], b["y1"]), cross(a, b["x2"], b["y2"])
-    opposite = ((d1 > 0) & (d2 < 0) | (d1 < 0) & (d2 > 0)) & ((d3 > 0) & (d4 < 0) | (d3 < 0) & (d4 > 0))
-    x_shared = F.least(F.col("a_hx"), F.col("b_hx")) - F.greatest(F.col("a_lx"), F.col("b_lx"))
-    y_shared = F.least(F.col("a_hy"), F.col("b_hy")) - F.greatest(F.col("a_ly"), F.col("b_ly"))
-    collinear = (d1 == 0) & (d2 == 0) & (d3 == 0) & (d4 == 0)
+def _with_contact_kind(pairs: DataFrame) -> DataFrame:
+    """How edges a and b meet: cross, overlap (along a line), touch (in a point). Pairs that do not meet are dropped.
+
+    The four orientations are columns of their own, so that each is computed once.
+    """
+    def edge(side: str) -> dict[str, Column]:
+        return {c: F.col(f"{side}_{c}") for c in ("x1", "y1", "x2", "y2")}
+
+    a, b = edge("a"), edge("b")
+    oriented = pairs.withColumns(
+        {
+            "d1": cross(b, a["x1"], a["y1"]), "d2": cross(b, a["x2"], a["y2"]),
+            "d3": cross(a, b["x1"], b["y1"]), "d4": cross(a, b["x2"], b["y2"]),
+            "sx": F.least("a_hx", "b_hx") - F.greatest("a_lx", "b_lx"), "sy": F.least("a_hy", "b_hy") - F.greatest("a_ly", "b_ly"),
+        }
+    )
+    d1, d2, d3, d4 = (F.col(f"d{i}") for i in range(1, 5))
+    apart = (d1 > 0) & (d2 > 0) | (d1 < 0) & (d2 < 0) | (d3 > 0) & (d4 > 0) | (d3 < 0) & (d4 < 0)
+
+    def within(side: str, x: Column, y: Column) -> Column:
+        return x.between(F.col(f"{side}_lx"), F.col(f"{side}_hx")) & y.between(F.col(f"{side}_ly"), F.col(f"{side}_hy"))
+
     touching = (
-        on_edge(b, a["x1"], a["y1"]) | on_edge(b, a["x2"], a["y2"]) | on_edge(a, b["x1"], b["y1"]) | on_edge(a, b["x2"], b["y2"])
+        (d1 == 0) & within("b", a["x1"], a["y1"]) | (d2 == 0) & within("b", a["x2"], a["y2"])
+        | (d3 == 0) & within("a", b["x1"], b["y1"]) | (d4 == 0) & within("a", b["x2"], b["y2"])
     )
-    return (
-        F.when(opposite, "cross")
-        .when(collinear & (x_shared >= 0) & (y_shared >= 0) & ((x_shared > 0) | (y_shared > 0)), "overlap")
-        .when(touching, "touch")
+    collinear = (d1 == 0) & (d2 == 0) & (d3 == 0) & (d4 == 0)
+    kind = (
+        F.when((d1 != 0) & (d2 != 0) & (d3 != 0) & (d4 != 0), "cross")
+        .when(collinear & ((F.col("sx") > 0) | (F.col("sy") > 0)), "overlap").when(touching, "touch")
     )
+    return oriented.where(~apart).withColumn("kind", kind).where("kind is not null")
 
 
 def edge_contacts(edges: DataFrame, by: Sequence[str], owner: str) -> DataFrame:
     """Pairs of edges of one `by` group that meet: `by, a_owner, a_ring, a_k, a_n, b_..., kind`.
 
     An edge is stored in the cells of its own size and looks for partners in cells of that size and larger ones. A
-    pair is reported only in the cell that holds the lower corner of the two boxes' intersection, hence once.
+    pair is reported only in the cell that holds the lower corner of the two boxes' intersection, hence once. The edges
+    are read three times, so their lineage is cut.
     """
     boxed = edges.withColumns(
         {
             "lx": F.least("x1", "x2"), "hx": F.greatest("x1", "x2"), "ly": F.least("y1", "y2"), "hy": F.greatest("y1", "y2"),
         }
     ).withColumn("own", size_level(F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly")) * CELLS_PER_AXIS))
+    boxed = settle(boxed).df
     levels = [r[0] for r in boxed.select("own").distinct().orderBy("own").collect()]
     fields = [owner, "ring", "k", "n", "x1", "y1", "x2", "y2", "lx", "hx", "ly", "hy", "own"]
 
@@ -177,7 +193,7 @@ def edge_contacts(edges: DataFrame, by: Sequence[str], owner: str) -> DataFrame:
         & (F.floor(corner_x / size) == F.col("cx")) & (F.floor(corner_y / size) == F.col("cy"))
         & (corner_x <= F.least("a_hx", "b_hx")) & (corner_y <= F.least("a_hy", "b_hy"))
     )
-    return kept.withColumn("kind", _contact_kind()).where("kind is not null").select(
+    return _with_contact_kind(kept).select(
         *by, *[f"{p}_{f}" for p in "ab" for f in (owner, "ring", "k", "n")], "kind"
     )
 

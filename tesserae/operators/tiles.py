@@ -121,9 +121,11 @@ def untile(df: DataFrame, grid: TileGrid, level: int) -> DataFrame:
     )
 
 
-def tile_counts(df: DataFrame, *more: str) -> DataFrame:
-    """Points per tile, or per tile and further columns (such as the value)."""
-    return df.groupBy("tile_id", "tile_x", "tile_y", *more).agg(F.count(F.lit(1)).alias("n_points"))
+def tile_counts(df: DataFrame, level: int, *more: str) -> DataFrame:
+    """Points per tile, or per tile and further columns (such as the value). Grouped by the two indices; the tile's name
+    is made for the few results."""
+    counted = df.groupBy("tile_x", "tile_y", *more).agg(F.count(F.lit(1)).alias("n_points"))
+    return counted.select(tile_name(level, F.col("tile_x"), F.col("tile_y")).alias("tile_id"), "tile_x", "tile_y", *more, "n_points")
 
 
 def grid_counts(df: DataFrame, width: float, height: float, *more: str, x: str = "x", y: str = "y") -> DataFrame:
@@ -169,7 +171,7 @@ def write_tiled_level(
     Within a task, chunk numbers cut each tile's rows at `max_rows`; the manifest renumbers chunks per tile.
     """
     hot = (
-        tile_counts(df).where(F.col("n_points") > rows_per_task)
+        tile_counts(df, level).where(F.col("n_points") > rows_per_task)
         .select("tile_x", "tile_y", F.ceil(F.col("n_points") / rows_per_task).alias("__spread"))
     )
     spread = df.join(F.broadcast(hot), ["tile_x", "tile_y"], "left").withColumn(
@@ -177,16 +179,11 @@ def write_tiled_level(
     )
     keys = ["tile_x", "tile_y", "__part"]
     placed = spread.repartition(*([partitions] if partitions else []), *keys)
-    chunked = placed.withColumn(
-        "chunk",
-        F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("x_rel", "y_rel")) - 1) / max_rows),
-    )
-    (
-        chunked.withColumn("part", F.col("__part")).drop("__spread", "__part")
-        .sortWithinPartitions("tile_x", "tile_y", "part", "chunk")
-        .withColumn("level", F.lit(level))
-        .write.mode("overwrite").partitionBy("level").parquet(path)
-    )
+    # The window sorts each task by tile, so the rows are written in that order; a sort by level would undo it, hence
+    # the level's folder is named here rather than by a dynamic partition.
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("x_rel"))
+    chunked = placed.withColumn("chunk", F.floor((number - 1) / max_rows)).withColumnRenamed("__part", "part").drop("__spread")
+    chunked.write.mode("overwrite").parquet(f"{path}/level={level}")
     return written_manifest(df.sparkSession, path)
 
 

@@ -26,7 +26,8 @@ class TilePlan:
         return tile_annotate(encoded, self.grid, self.grid.finest if level is None else level)
 
     def counts(self, level: int | None = None, by_value: bool = False) -> DataFrame:
-        return tile_counts(self.annotated(level), *(["gene_id"] if by_value else []))
+        level = self.grid.finest if level is None else level
+        return tile_counts(self.annotated(level), level, *(["gene_id"] if by_value else []))
 
 
 def plan_tiles(df: DataFrame, columns: PointColumns, leaf: float = LEAF_TILE_SIZE, n_levels: int | None = None) -> TilePlan:
