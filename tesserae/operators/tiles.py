@@ -178,11 +178,13 @@ def write_tiled_level(
         "__part", F.pmod(F.spark_partition_id(), F.coalesce("__spread", F.lit(1)))
     )
     keys = ["tile_x", "tile_y", "__part"]
-    placed = spread.repartition(*([partitions] if partitions else []), *keys)
+    placed = spread.drop("tile_id").repartition(*([partitions] if partitions else []), *keys)
     # The window sorts each task by tile, so the rows are written in that order; a sort by level would undo it, hence
     # the level's folder is named here rather than by a dynamic partition.
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("x_rel"))
-    chunked = placed.withColumn("chunk", F.floor((number - 1) / max_rows)).withColumnRenamed("__part", "part").drop("__spread")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("tile_x"))
+    name = tile_name(level, F.col("tile_x"), F.col("tile_y"))
+    chunked = placed.withColumns({"chunk": F.floor((number - 1) / max_rows), "tile_id": name})
+    chunked = chunked.withColumnRenamed("__part", "part").drop("__spread")
     chunked.write.mode("overwrite").parquet(f"{path}/level={level}")
     return written_manifest(df.sparkSession, path)
 
