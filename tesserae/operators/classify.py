@@ -104,7 +104,8 @@ def train_classifier(
     if len(index.labels) < 2:
         raise ValueError("Training needs at least two labelled classes.")
     forest = RandomForestClassifier(featuresCol="vector", labelCol="index", numTrees=trees, seed=seed)
-    model = forest.fit(index.transform(rows))
+    # The copy leaves out the training summary, which drags the session into every task that applies the model.
+    model = forest.fit(index.transform(rows)).copy()
     return Classifier(
         model, tuple(int(v) for v in index.labels), tuple(feature_columns), feature_key, source_kind,
         {"trees": trees, "seed": seed},
