@@ -192,8 +192,8 @@ def item_objects(spark, folder):
     return pixels.select("region", F.col("label").alias("instance_id")).distinct(), pixels
 
 
-@query("apply_model_pipeline")
-def apply_model_pipeline(spark, folder):
+@query("apply_model")
+def apply_model(spark, folder):
     """Train on one region whose classes follow from its features, then apply to the two others."""
     obs, pixels = item_objects(spark, folder)
     intensity, morphology = ["mean", "max"], ["area", "eccentricity"]

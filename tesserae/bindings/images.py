@@ -224,4 +224,4 @@ def morphology_features(spark, folder):
 
 @query("morphology_hull_features")
 def morphology_hull_features(spark, folder):
-    return X.hull_features(foreground(spark, folder).select("region", "label", "y", "x").distinct())
+    return X.morphology_features(foreground(spark, folder))

@@ -75,72 +75,47 @@ def intensity_features(
     return pixels.groupBy("region", "label").agg(*columns)
 
 
-def moment_features(pixels: DataFrame, pixel_variance: float = PIXEL_VARIANCE) -> DataFrame:
-    """Area, centroid, ellipse axes and the ratios that follow from second moments. Pixels must be distinct."""
-    y, x = F.col("y").cast("double"), F.col("x").cast("double")
-    base = pixels.groupBy("region", "label").agg(
-        F.count(F.lit(1)).cast("double").alias("area"), F.avg(y).alias("cy"), F.avg(x).alias("cx"),
-        (F.var_pop(y) + pixel_variance).alias("vy"), (F.var_pop(x) + pixel_variance).alias("vx"),
-        F.covar_pop(y, x).alias("c"),
-    )
-    middle, spread = (F.col("vy") + F.col("vx")) / 2, F.sqrt(F.pow((F.col("vy") - F.col("vx")) / 2, F.lit(2)) + F.col("c") * F.col("c"))
-    axes = base.withColumns({"l1": middle + spread, "l2": F.greatest(middle - spread, F.lit(0.0))})
-    shaped = axes.withColumns(
-        {
-            "eccentricity": F.sqrt(F.greatest(1 - F.col("l2") / F.nullif(F.col("l1"), F.lit(0.0)), F.lit(0.0))),
-            "major_axis_length": 4 * F.sqrt("l1"),
-            "minor_axis_length": 4 * F.sqrt("l2"),
-            "equivalent_diameter": F.sqrt(4 * F.col("area") / math.pi),
-        }
-    )
-    return shaped.withColumns(
-        {
-            "major_minor_axis_ratio": F.col("major_axis_length") / F.nullif(F.col("minor_axis_length"), F.lit(0.0)),
-            "major_axis_equiv_diam_ratio": F.col("major_axis_length") / F.col("equivalent_diameter"),
-        }
-    ).drop("vy", "vx", "c", "l1", "l2")
-
-
-def border_pixels(pixels: DataFrame) -> DataFrame:
-    """Pixels that lack at least one of their four neighbours in the object.
+def _flag_outline(pixels: DataFrame) -> DataFrame:
+    """Flag `border` pixels, which lack one of their four neighbours in the object, and the two `tip`s of each line.
 
     Neighbours are looked up along raster rows and columns, so no window holds more than one line of one object.
     """
-    def gap(axis: str, along: list[str]) -> Column:
-        line = Window.partitionBy(*along).orderBy(axis)
-        before, after = F.col(axis) - F.lag(axis).over(line), F.lead(axis).over(line) - F.col(axis)
-        return ~F.coalesce((before == 1) & (after == 1), F.lit(False))
-
-    across = pixels.withColumn("__x", gap("x", ["region", "label", "y"]))
-    down = across.withColumn("__y", gap("y", ["region", "label", "x"]))
-    return down.where(F.col("__x") | F.col("__y")).drop("__x", "__y")
+    along_x = Window.partitionBy("region", "label", "y").orderBy("x")
+    along_y = Window.partitionBy("region", "label", "x").orderBy("y")
+
+    def step(axis: str, window, ahead: bool) -> Column:
+        return F.lead(axis).over(window) - F.col(axis) if ahead else F.col(axis) - F.lag(axis).over(window)
+
+    across = pixels.withColumns({"left": step("x", along_x, False), "right": step("x", along_x, True)})
+    both = across.withColumns({"above": step("y", along_y, False), "below": step("y", along_y, True)})
+    inner = F.lit(True)
+    for side in ("left", "right", "above", "below"):
+        inner = inner & (F.coalesce(F.col(side), F.lit(0)) == 1)
+    return both.select(
+        "region", "label", "y", "x", (~inner).alias("border"), (F.col("left").isNull() | F.col("right").isNull()).alias("tip")
+    )
 
 
-def perimeters(pixels: DataFrame) -> DataFrame:
-    """4-connected perimeter per object.
+def _weigh_border(flagged: DataFrame) -> DataFrame:
+    """Add to every pixel the sum `w` of the weights of the border pixels at and around it.
 
-    Every border pixel sends a weight to itself and to the eight positions around it, and each position sums what it
-    receives: the shuffle key holds the position, so a huge object is spread over all tasks.
+    Border pixels send weights to themselves and to the eight positions around, and positions sum what they receive:
+    the shuffle key holds the position, so a huge object is spread over all tasks.
     """
-    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    sent = F.array(
-        *[
-            F.struct(
-                (F.col("y") + dy).cast("long").alias("y"), (F.col("x") + dx).cast("long").alias("x"),
-                F.lit(int(dy == 0 and dx == 0)).alias("own"),
-                F.lit(1 if dy == 0 and dx == 0 else AXIS_WEIGHT if dy == 0 or dx == 0 else DIAGONAL_WEIGHT).alias("w"),
-            )
-            for dy, dx in steps
-        ]
+    def message(dy: int, dx: int, weight: Column, own: int) -> Column:
+        return F.struct(
+            (F.col("y") + dy).cast("long").alias("y"), (F.col("x") + dx).cast("long").alias("x"), weight.alias("w"), F.lit(own).alias("own"),
+            (F.col("tip").cast("int") if own else F.lit(0)).alias("tip"),
+        )
+
+    around = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    self_message = message(0, 0, F.col("border").cast("int"), 1)
+    others = [message(dy, dx, F.lit(DIAGONAL_WEIGHT if dy and dx else AXIS_WEIGHT), 0) for dy, dx in around]
+    sent = F.when(F.col("border"), F.array(self_message, *others)).otherwise(F.array(self_message))
+    return (
+        flagged.select("region", "label", F.inline(sent)).groupBy("region", "label", "y", "x")
+        .agg(F.sum("w").alias("w"), F.max("own").alias("own"), F.max("tip").alias("tip")).where("own = 1")
     )
-    weighed = (
-        border_pixels(pixels).select("region", "label", F.inline(sent)).groupBy("region", "label", "y", "x")
-        .agg(F.max("own").alias("own"), F.sum("w").alias("w")).where("own = 1")
-    )
-    length = F.lit(0.0)
-    for sums, unit in PERIMETER_LENGTHS:
-        length = F.when(F.col("w").isin(*sums), F.lit(unit)).otherwise(length)
-    return weighed.groupBy("region", "label").agg(F.sum(length).alias("perimeter"))
 
 
 def _chain(ys: np.ndarray, xs: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray]:
@@ -180,41 +155,71 @@ def hull_of_rows(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[f
 HULL_TYPE = T.StructType([T.StructField(name, T.DoubleType()) for name in ("convex_area", "hull_cy", "hull_cx")])
 
 
-@F.pandas_udf(HULL_TYPE)
-def _hull(rows: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
-    found = [hull_of_rows(np.asarray(r, float), np.asarray(a, float), np.asarray(b, float)) for r, a, b in zip(rows, low, high)]
-    return pd.DataFrame(found, columns=["convex_area", "hull_cy", "hull_cx"])
+HULL_TYPE = T.StructType([T.StructField(name, T.DoubleType()) for name in ("convex_area", "hull_cy", "hull_cx")])
 
 
-def hull_features(pixels: DataFrame) -> DataFrame:
-    """Convex area and centroid per object.
+@F.pandas_udf(HULL_TYPE)
+def _hull(ys: pd.Series, xs: pd.Series) -> pd.DataFrame:
+    """Hulls from the line tips of each object."""
+    found = []
+    for y, x in zip(ys, xs):
+        rows, where = np.unique(np.asarray(y, float), return_inverse=True)
+        low, high = np.full(len(rows), np.inf), np.full(len(rows), -np.inf)
+        np.minimum.at(low, where, x)
+        np.maximum.at(high, where, x)
+        found.append(hull_of_rows(rows, low, high))
+    return pd.DataFrame(found, columns=HULL_TYPE.names)
+
+
+def morphology_features(
+    pixels: DataFrame, *, hull: bool = True, unique: bool = False, pixel_variance: float = PIXEL_VARIANCE
+) -> DataFrame:
+    """All shape features per object, as one chain of shuffles: line neighbours, column neighbours, positions, objects.
 
-    Only the extent of each row matters for a hull, and it is aggregated first: what one object gathers is bounded by
-    the height of the raster, however many pixels it has.
+    Pixel rows that repeat (such as one per channel) count once; pass `unique=True` when there are none, to spare the
+    first shuffle. For the hull only the two tips of each line are gathered: what an object collects is bounded by the
+    height of the raster, however many pixels it has.
     """
-    extents = pixels.groupBy("region", "label", "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    gathered = extents.groupBy("region", "label").agg(F.sort_array(F.collect_list(F.struct("y", "lo", "hi"))).alias("rows"))
-
-    def part(name: str) -> Column:
-        return F.transform("rows", lambda r: r[name].cast("double"))
-
-    return gathered.select("region", "label", _hull(part("y"), part("lo"), part("hi")).alias("h")).select("region", "label", "h.*")
-
-
-def morphology_features(pixels: DataFrame, *, hull: bool = True) -> DataFrame:
-    """All shape features per object; duplicate pixel rows (such as one per channel) count once."""
-    plain = pixels.select("region", "label", "y", "x").distinct()
-    keys = ["region", "label"]
-    joined = moment_features(plain).join(perimeters(plain), keys, "left").withColumn(
-        "perimeter", F.coalesce("perimeter", F.lit(0.0))
-    )
-    joined = joined.withColumn("perim_square_over_area", F.col("perimeter") * F.col("perimeter") / F.col("area"))
+    plain = pixels.select("region", "label", "y", "x")
+    weighed = _weigh_border(_flag_outline(plain if unique else plain.distinct()))
+    length = F.lit(0.0)
+    for sums, unit in PERIMETER_LENGTHS:
+        length = F.when(F.col("w").isin(*sums), F.lit(unit)).otherwise(length)
+    y, x = F.col("y").cast("double"), F.col("x").cast("double")
+    facts = [
+        F.count(F.lit(1)).cast("double").alias("area"), F.avg(y).alias("cy"), F.avg(x).alias("cx"),
+        (F.var_pop(y) + pixel_variance).alias("vy"), (F.var_pop(x) + pixel_variance).alias("vx"), F.covar_pop(y, x).alias("c"),
+        F.sum(length).alias("perimeter"),
+    ]
     if hull:
-        shift = F.sqrt(F.pow(F.col("cy") - F.col("hull_cy"), F.lit(2)) + F.pow(F.col("cx") - F.col("hull_cx"), F.lit(2)))
-        joined = joined.join(hull_features(plain), keys).withColumns(
-            {
-                "convex_hull_resid": (F.col("convex_area") - F.col("area")) / F.col("convex_area"),
-                "centroid_dif": shift / F.sqrt("area"),
-            }
-        ).drop("hull_cy", "hull_cx")
-    return joined.drop("cy", "cx")
+        facts.append(F.collect_list(F.when(F.col("tip") == 1, F.struct("y", "x"))).alias("tips"))
+    base = weighed.groupBy("region", "label").agg(*facts)
+    middle = (F.col("vy") + F.col("vx")) / 2
+    spread = F.sqrt(F.pow((F.col("vy") - F.col("vx")) / 2, F.lit(2)) + F.col("c") * F.col("c"))
+    axes = base.withColumns({"l1": middle + spread, "l2": F.greatest(middle - spread, F.lit(0.0))})
+    shaped = axes.withColumns(
+        {
+            "eccentricity": F.sqrt(F.greatest(1 - F.col("l2") / F.nullif(F.col("l1"), F.lit(0.0)), F.lit(0.0))),
+            "major_axis_length": 4 * F.sqrt("l1"),
+            "minor_axis_length": 4 * F.sqrt("l2"),
+            "equivalent_diameter": F.sqrt(4 * F.col("area") / math.pi),
+            "perim_square_over_area": F.col("perimeter") * F.col("perimeter") / F.col("area"),
+        }
+    ).withColumns(
+        {
+            "major_minor_axis_ratio": F.col("major_axis_length") / F.nullif(F.col("minor_axis_length"), F.lit(0.0)),
+            "major_axis_equiv_diam_ratio": F.col("major_axis_length") / F.col("equivalent_diameter"),
+        }
+    ).drop("vy", "vx", "c", "l1", "l2")
+    if not hull:
+        return shaped.drop("cy", "cx")
+    hulled = shaped.withColumn(
+        "h", _hull(F.transform("tips", lambda t: t["y"].cast("double")), F.transform("tips", lambda t: t["x"].cast("double")))
+    ).drop("tips").select("*", "h.*")
+    shift = F.sqrt(F.pow(F.col("cy") - F.col("hull_cy"), F.lit(2)) + F.pow(F.col("cx") - F.col("hull_cx"), F.lit(2)))
+    return hulled.withColumns(
+        {
+            "convex_hull_resid": (F.col("convex_area") - F.col("area")) / F.col("convex_area"),
+            "centroid_dif": shift / F.sqrt("area"),
+        }
+    ).drop("h", "hull_cy", "hull_cx", "cy", "cx")

@@ -17,7 +17,7 @@ from tesserae.functions.geometry import (
     transform_rings,
 )
 from tesserae.functions.numeric import Affine
-from tesserae.scale import join_sized, settle
+from tesserae.scale import join_sized, settle, spread_hot_keys
 
 CELLS_PER_AXIS = 4
 SMALLEST_LEVEL = -1000
@@ -92,7 +92,11 @@ def points_in_polygons(
         return points.limit(0)
     near = _visit(bbox_prefilter(points, found[1:], x, y), found["levels"], x, y)
     keys = [*by, "level", "cx", "cy"]
-    cell_side = cells.df.select(*[F.col(k).alias(f"__{k}") for k in keys], "min_x", "max_x", "min_y", "max_y", "edges")
+    cell_side = cells.df
+    if not cells.broadcastable:
+        near, cell_side = spread_hot_keys(near, cell_side, keys)
+        keys = [*keys, "__salt"]
+    cell_side = cell_side.select(*[F.col(k).alias(f"__{k}") for k in keys], "min_x", "max_x", "min_y", "max_y", "edges")
     condition = F.lit(True)
     for k in keys:
         condition = condition & (F.col(k) == F.col(f"__{k}"))
@@ -100,7 +104,7 @@ def points_in_polygons(
     condition = condition & px.between(F.col("min_x"), F.col("max_x")) & py.between(F.col("min_y"), F.col("max_y"))
     condition = condition & covers(F.col("edges"), px, py)
     side = F.broadcast(cell_side) if cells.broadcastable else cell_side
-    matched = near.join(side, condition, "left_semi").drop("level", "cx", "cy")
+    matched = near.join(side, condition, "left_semi").drop("level", "cx", "cy", "__salt")
     return matched if len(found["levels"]) == 1 else matched.dropDuplicates(list(ids))
 
 
@@ -242,14 +246,12 @@ def validate_polygons(polygons: DataFrame, id_column: str = "polygon_id", rings:
 def largest_polygon(polygons: DataFrame, group: str = "group_id", id_column: str = "polygon_id", rings: str = "rings") -> DataFrame:
     """Per group the polygon of largest area, how many polygons there are, and whether the largest is unique."""
     sized = polygons.select(group, id_column, polygon_area(F.col(rings)).alias("area"))
-    per_area = sized.groupBy(group).agg(
-        F.max("area").alias("area"), F.count(F.lit(1)).alias("n_polygons"), F.max_by(id_column, "area").alias("shell_id")
+    by_area = sized.groupBy(group, "area").agg(F.count(F.lit(1)).alias("n"), F.min(id_column).alias("id"))
+    top = by_area.groupBy(group).agg(
+        F.max_by("id", "area").alias("id"), F.max("area").alias("area"), F.sum("n").alias("n_polygons"), F.max_by("n", "area").alias("n")
     )
-    ties = sized.join(per_area.select(group, F.col("area").alias("__top")), group).where("area = __top").groupBy(group).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    return per_area.join(ties, group).select(
-        group, F.when(F.col("__n") == 1, F.col("shell_id")).alias("shell_id"), "area", "n_polygons", (F.col("__n") == 1).alias("is_unique")
+    return top.select(
+        group, F.when(F.col("n") == 1, F.col("id")).alias("shell_id"), "area", "n_polygons", (F.col("n") == 1).alias("is_unique")
     )
 
 
@@ -268,9 +270,11 @@ def assemble_holes(polygons: DataFrame, group: str = "group_id", id_column: str
     ).select(group, F.concat(F.lit("kept-"), F.col("i").cast("string")).alias("owner"), "ring")
     added = placed.where("is_unique").where(~is_shell)
     holes = added.select(group, F.col(id_column).cast("string").alias("owner"), first(F.col(rings)).alias("ring")).unionByName(kept)
-    holes = settle(holes).df
-
-    with_shell = holes.join(shell_rows.select(group, ring_edges(F.col("shell")).alias("shell_edges")), group)
+    # Equal rings overlap already; they are set aside before pairs are looked for, so copies do not multiply.
+    by_ring = settle(holes.groupBy(group, "ring").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner"))).df
+    copies, holes = by_ring.where("n > 1"), by_ring.select(group, "owner", "ring")
+    shell_edges = shell_rows.select(group, ring_edges(F.col("shell")).alias("shell_edges"))
+    with_shell = join_sized(holes, shell_edges, group)
     outside = with_shell.where(F.exists("ring", lambda p: ~covers(F.col("shell_edges"), p["x"], p["y"])))
     all_rings = holes.select(group, "owner", F.array("ring").alias("rings")).unionByName(
         shell_rows.select(group, F.lit("shell").alias("owner"), F.array("shell").alias("rings"))
@@ -279,7 +283,7 @@ def assemble_holes(polygons: DataFrame, group: str = "group_id", id_column: str
     with_rim = (F.col("a_owner") == "shell") | (F.col("b_owner") == "shell")
     leaves = contacts.where(with_rim & (F.col("kind") == "cross"))
     touches = contacts.where(with_rim)
-    overlaps = contacts.where(~with_rim & (F.col("kind") != "touch"))
+    overlaps = contacts.where(~with_rim & (F.col("kind") != "touch")).select(group).unionByName(copies.select(group))
     # A vertex or an edge middle of one hole strictly inside another: nesting or overlap, found through shared cells.
     middles = F.transform(ring_edges(F.col("ring")), lambda s: F.struct(((s["x1"] + s["x2"]) / 2).alias("x"), ((s["y1"] + s["y2"]) / 2).alias("y")))
     probes = holes.select(group, "owner", F.explode(F.concat(F.col("ring"), middles)).alias("p")).select(group, "owner", "p.x", "p.y")

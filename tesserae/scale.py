@@ -3,7 +3,7 @@
 Three rules are kept in one place so that the operators stay plain DataFrame code:
 
 * a side is broadcast only after its rows and bytes were counted (`join_sized`); past the limit the
-  join is an ordinary shuffle join, whose hot partitions adaptive execution splits;
+  join shuffles both sides, with the hot keys of the larger side spread over several tasks (`spread_hot_keys`);
 * lineage is cut with a reliable `checkpoint()` in the cluster's shared folder (`settle`);
 * running totals and row numbers never need one task to see a whole key: the order is cut into ranges
   at known split points, each range is numbered on its own, and the range totals are added (`cumulate`).
@@ -23,6 +23,9 @@ BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 128 << 20
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 4096
+HOT_ROWS = 2_000_000
+HOT_KEYS = 1000
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -81,16 +84,36 @@ def settle(df: DataFrame) -> Sized:
     return Sized(fixed, int(found["n"]), int(found["b"] or 0))
 
 
-def join_sized(left: DataFrame, right: DataFrame | Sized, on, how: str = "inner") -> DataFrame:
-    """Join, broadcasting `right` only when it was counted and is small.
+def spread_hot_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Add a `__salt` key to both sides so that no key of `left` stays in one task.
 
-    Otherwise the join shuffles both sides; a hot key on the left then lands in one large partition, which
-    adaptive execution splits by map output (this also works for identical copies, where a hash salt would not).
+    At most `HOT_KEYS` keys with more than `HOT_ROWS` rows each are looked up (no other key can hold more than
+    1/HOT_KEYS of the rows). Their left rows are salted by the input partition they come from: that does not change
+    when a task is retried, and it also separates identical copies, which a hash of the row would not. Their right
+    rows are repeated per salt. Missing keys match nothing and are spread likewise.
     """
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS)
+    hot = settle(counts.orderBy(F.desc("__n")).limit(HOT_KEYS).select(*keys, F.lit(True).alias("__hot"))).df
+    part = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    absent = F.lit(False)
+    for key in keys:
+        absent = absent | F.col(key).isNull()
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn(
+        "__salt", F.when(absent | F.col("__hot"), part).otherwise(F.lit(0))
+    ).drop("__hot")
+    repeats = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(repeats)).drop("__hot")
+    return salted, repeated
+
+
+def join_sized(left: DataFrame, right: DataFrame | Sized, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join, broadcasting `right` only when it was counted and is small; else a shuffle join with hot keys spread."""
     sized = right if isinstance(right, Sized) else measure(right)
     if sized.broadcastable:
         return left.join(F.broadcast(sized.df), on, how)
-    return left.join(sized.df, on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    salted, repeated = spread_hot_keys(left, sized.df, keys)
+    return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
 def _string_splits(df: DataFrame, column: str, ranges: int, rows: int) -> list[str]:
@@ -182,10 +205,3 @@ def number_rows(source: DataFrame | Sized, order: str, out: str, *, rows_per_ran
     """Zero-based position of each row in a total, unique order, without one task sorting everything."""
     sized = source if isinstance(source, Sized) else settle(source)
     return cumulate(sized.df, order, out, splits=order_splits(sized, order, rows_per_range))
-
-
-def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
-    """Fail the running job on the first row that breaks `condition` (checked where the row is produced)."""
-    first = df.columns[0]
-    checked = F.when(condition, F.col(f"`{first}`")).otherwise(F.raise_error(F.lit(message)).cast(df.schema[first].dataType))
-    return df.withColumn(first, checked)

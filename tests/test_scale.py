@@ -17,12 +17,30 @@ def test_checkpoint_folder_is_the_configured_one(spark):
     assert folder == spark.sparkContext.getCheckpointDir()
 
 
-def test_join_beyond_the_broadcast_limit_is_a_shuffle(spark, monkeypatch):
+def test_only_counted_small_sides_are_broadcast(spark, monkeypatch):
     left, right = spark.range(50), spark.range(0, 100, 2)
+    hint = "strategy=broadcast"
+    assert hint in scale.join_sized(left, right, "id")._jdf.queryExecution().analyzed().toString()
     monkeypatch.setattr(scale, "BROADCAST_ROWS", 10)
     joined = scale.join_sized(left, right, "id")
-    assert joined.count() == 25
-    assert "ResolvedHint" not in joined._jdf.queryExecution().analyzed().toString()
+    assert joined.count() == 25 and "__salt" in joined._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 10**6)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 10)
+    assert not scale.measure(right).broadcastable
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_and_missing_keys_are_spread_without_changing_the_join(spark, monkeypatch, how):
+    rows = [("hot", i) for i in range(300)] + [(None, i) for i in range(50)] + [(f"k{i}", i) for i in range(20)]
+    left = spark.createDataFrame(rows, "k string, v long").repartition(6)
+    right = spark.createDataFrame([("hot", "H"), ("k3", "T"), ("k3", "U")], "k string, w string")
+    want = sorted(map(str, left.join(right, "k", how).collect()))
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(scale, "HOT_ROWS", 100)
+    assert sorted(map(str, scale.join_sized(left, right, "k", how).collect())) == want
+    salted, repeated = scale.spread_hot_keys(left, right, ["k"])
+    assert salted.where("k = 'hot'").select("__salt").distinct().count() > 1
+    assert repeated.where("k = 'hot'").count() == scale.SALTS and repeated.where("k = 'k3'").count() == 2
 
 
 @pytest.mark.parametrize("rows_per_range", [1000, 50, 7])

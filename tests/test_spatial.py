@@ -32,6 +32,7 @@ TRUTH = [(5, (1, 1)), (2, (0, 5)), (9, (3, 5)), (4, (5, 5)), (7, (15, 15)), (6,
 def test_truth_table(spark, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(scale, "HOT_ROWS", 1)
     shapes = polygons(spark, [box(0, 0, 10, 10), box(3, 3, 7, 7)], [box(20, 20, 22, 22)])
     assert [r.id for r in G.matched_ids(points(spark, TRUTH), shapes, ["id"]).collect()] == [2, 5, 6, 9]
     inside = {r.id: r.in_union for r in G.union_membership(points(spark, TRUTH), shapes, ["id"]).collect()}
@@ -145,6 +146,7 @@ def test_holes(spark):
         "edge": ([shell], [box(1, 1, 3, 3)], [box(3, 1, 6, 3)]),
         "overlap": ([shell], [box(1, 1, 4, 4)], [box(3, 3, 6, 6)]),
         "nested": ([shell], [box(1, 1, 9, 9)], [box(3, 3, 6, 6)]),
+        "thrice": ([shell], [box(1, 1, 4, 4)], [box(1, 1, 4, 4)], [box(1, 1, 4, 4)]),
         "same": ([shell], [box(1, 1, 9, 9)], [box(1, 1, 9, 9)]),
         "outside": ([shell], [box(30, 1, 33, 3)]),
         "across": ([shell], [box(18, 1, 23, 3)]),
@@ -159,7 +161,7 @@ def test_holes(spark):
     df = spark.createDataFrame(rows, "group_id string, " + POLYGONS)
     found = {r.group_id: r.problem for r in G.assemble_holes(df).collect()}
     assert found == {
-        "fine": None, "corner": None, "edge": "overlap", "overlap": "overlap", "nested": "nested", "same": "overlap", "outside": "not_contained",
+        "fine": None, "corner": None, "edge": "overlap", "overlap": "overlap", "nested": "nested", "same": "overlap", "thrice": "overlap", "outside": "not_contained",
         "across": "not_contained", "touch": "touches_shell", "tie": "ambiguous_shell", "alone": "too_few_polygons", "holed": "hole_has_interiors",
         "kept": None, "kept_nested": "nested",
     }
