@@ -176,7 +176,7 @@ def missing_centers(spark, folder):
 def _channel_sql(channel: str) -> str:
     when = f"FILTER (WHERE channel = '{channel}')"
     return ", ".join([
-        f"round(sum(value) {when}, 2) AS sum__{channel}", f"round(avg(value) {when}, 4) AS mean__{channel}",
+        f"round(sum(value) {when}, 2) AS sum__{channel}", f"round(avg(value) {when}, 6) AS mean__{channel}",
         f"round(avg(d2) {when} / 1e6, 4) AS var__{channel}", f"min(value) {when} AS min__{channel}", f"max(value) {when} AS max__{channel}",
         f"round(avg(d4) {when} / nullif(pow(avg(d2) {when}, 2), 0) - 3, 6) AS kurtosis__{channel}",
         f"round(avg(d3) {when} / nullif(pow(avg(d2) {when}, 1.5), 0), 6) AS skew__{channel}",
@@ -192,7 +192,7 @@ def intensity_features(spark, folder):
     changed = {}
     for c in ("O", "F"):
         changed |= {
-            f"sum__{c}": F.round(f"sum__{c}", 2), f"mean__{c}": F.round(f"mean__{c}", 4),
+            f"sum__{c}": F.round(f"sum__{c}", 2), f"mean__{c}": F.round(f"mean__{c}", 6),
             f"var__{c}": F.round(F.col(f"var__{c}") / 1e6, 4),
             f"kurtosis__{c}": F.round(f"kurtosis__{c}", 6), f"skew__{c}": F.round(f"skew__{c}", 6),
         }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.numeric import all_finite, is_finite
 from tesserae.operators.points import problem_of
+from tesserae.scale import settle
 
 KEYS = ["region", "instance_id"]
 
@@ -97,7 +98,9 @@ def train_classifier(
     trees: int = TREES, seed: int = SEED, source_kind: str = "custom_obsm",
 ) -> Classifier:
     """Random forest on labelled, usable rows of the training scope. Class ids are indexed densely and mapped back."""
-    rows = scoped.where("train_eligible and user_class is not null").select(
+    # Training reads its rows many times: cut their lineage, which may reach back to pixels.
+    kept = settle(scoped.where("train_eligible and user_class is not null").select("user_class", "features")).df
+    rows = kept.select(
         F.col("user_class").cast("string").alias("class"), array_to_vector(F.col("features").cast("array<double>")).alias("vector")
     )
     index = StringIndexer(inputCol="class", outputCol="index", stringOrderType="alphabetAsc").fit(rows)

@@ -51,26 +51,26 @@ def _cells(low: Column, high: Column, size: Column) -> Column:
 
 
 def polygon_cells(polygons: DataFrame, rings: str = "rings") -> DataFrame:
-    """Polygons repeated per covered cell: `level, cx, cy`, box, and only the edges that matter in that row of cells."""
+    """Polygons repeated per covered cell: `__level, __cx, __cy`, box, and only the edges that matter in that row of cells."""
     others = [c for c in polygons.columns if c != rings]
     boxed = polygons.where(F.size(rings) > 0).select(
         *others, bounds(F.col(rings)).alias("__b"), polygon_edges(F.col(rings)).alias("__edges")
     ).select(*others, "__b.*", "__edges")
-    sized = boxed.withColumn("level", size_level(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))))
-    size = cell_size(F.col("level"))
-    by_row = sized.withColumn("cy", F.explode(_cells(F.col("min_y"), F.col("max_y"), size)))
-    slab = edges_in_slab(F.col("__edges"), F.col("cy") * size, (F.col("cy") + 1) * size)
+    sized = boxed.withColumn("__level", size_level(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))))
+    size = cell_size(F.col("__level"))
+    by_row = sized.withColumn("__cy", F.explode(_cells(F.col("min_y"), F.col("max_y"), size)))
+    slab = edges_in_slab(F.col("__edges"), F.col("__cy") * size, (F.col("__cy") + 1) * size)
     return by_row.withColumn("edges", slab).withColumn(
-        "cx", F.explode(_cells(F.col("min_x"), F.col("max_x"), size))
+        "__cx", F.explode(_cells(F.col("min_x"), F.col("max_x"), size))
     ).drop("__edges")
 
 
 def _visit(points: DataFrame, levels: Sequence[int], x: str, y: str) -> DataFrame:
     """Points repeated per cell size in use (usually one or two), with their cell."""
     level = F.lit(levels[0]) if len(levels) == 1 else F.explode(F.lit(list(levels)))
-    visited = points.withColumn("level", level)
-    size = cell_size(F.col("level"))
-    return visited.withColumns({"cx": F.floor(F.col(x) / size), "cy": F.floor(F.col(y) / size)})
+    visited = points.withColumn("__level", level)
+    size = cell_size(F.col("__level"))
+    return visited.withColumns({"__cx": F.floor(F.col(x) / size), "__cy": F.floor(F.col(y) / size)})
 
 
 def points_in_polygons(
@@ -84,27 +84,28 @@ def points_in_polygons(
     per cell size, so duplicates are removed only if several sizes are in use, and among matches only.
     """
     shapes = polygons if affine is None else polygons.withColumn(rings, transform_rings(F.col(rings), affine))
-    cells = settle(polygon_cells(shapes, rings).select(*by, "level", "cx", "cy", "min_x", "max_x", "min_y", "max_y", "edges"))
+    cells = settle(polygon_cells(shapes, rings).select(*by, "__level", "__cx", "__cy", "min_x", "max_x", "min_y", "max_y", "edges"))
     found = cells.df.agg(
-        F.sort_array(F.collect_set("level")).alias("levels"), F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")
+        F.sort_array(F.collect_set("__level")).alias("levels"), F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")
     ).first()
     if not found["levels"]:
         return points.limit(0)
     near = _visit(bbox_prefilter(points, found[1:], x, y), found["levels"], x, y)
-    keys = [*by, "level", "cx", "cy"]
+    keys = [*by, "__level", "__cx", "__cy"]
     cell_side = cells.df
     if not cells.broadcastable:
         near, cell_side = spread_hot_keys(near, cell_side, keys)
         keys = [*keys, "__salt"]
-    cell_side = cell_side.select(*[F.col(k).alias(f"__{k}") for k in keys], "min_x", "max_x", "min_y", "max_y", "edges")
+    limits = ("min_x", "max_x", "min_y", "max_y", "edges")
+    cell_side = cell_side.select(*[F.col(k).alias(f"{k}_side") for k in keys], *[F.col(c).alias(f"__{c}") for c in limits])
     condition = F.lit(True)
     for k in keys:
-        condition = condition & (F.col(k) == F.col(f"__{k}"))
+        condition = condition & (F.col(k) == F.col(f"{k}_side"))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    condition = condition & px.between(F.col("min_x"), F.col("max_x")) & py.between(F.col("min_y"), F.col("max_y"))
-    condition = condition & covers(F.col("edges"), px, py)
+    condition = condition & px.between(F.col("__min_x"), F.col("__max_x")) & py.between(F.col("__min_y"), F.col("__max_y"))
+    condition = condition & covers(F.col("__edges"), px, py)
     side = F.broadcast(cell_side) if cells.broadcastable else cell_side
-    matched = near.join(side, condition, "left_semi").drop("level", "cx", "cy", "__salt")
+    matched = near.join(side, condition, "left_semi").drop("__level", "__cx", "__cy", "__salt")
     return matched if len(found["levels"]) == 1 else matched.dropDuplicates(list(ids))
 
 
@@ -180,21 +181,21 @@ def edge_contacts(edges: DataFrame, by: Sequence[str], owner: str) -> DataFrame:
     fields = [owner, "ring", "k", "n", "x1", "y1", "x2", "y2", "lx", "hx", "ly", "hy", "own"]
 
     def placed(level: Column, prefix: str) -> DataFrame:
-        at = boxed.withColumn("level", level)
-        size = cell_size(F.col("level"))
-        at = at.withColumn("cx", F.explode(_cells(F.col("lx"), F.col("hx"), size)))
-        at = at.withColumn("cy", F.explode(_cells(F.col("ly"), F.col("hy"), size)))
-        return at.select(*by, "level", "cx", "cy", *[F.col(f).alias(f"{prefix}_{f}") for f in fields])
+        at = boxed.withColumn("__level", level)
+        size = cell_size(F.col("__level"))
+        at = at.withColumn("__cx", F.explode(_cells(F.col("lx"), F.col("hx"), size)))
+        at = at.withColumn("__cy", F.explode(_cells(F.col("ly"), F.col("hy"), size)))
+        return at.select(*by, "__level", "__cx", "__cy", *[F.col(f).alias(f"{prefix}_{f}") for f in fields])
 
     seekers = placed(F.explode(F.filter(F.lit(levels), lambda v: v >= F.col("own"))), "a")
     stored = placed(F.col("own"), "b")
-    pairs = seekers.join(stored, [*by, "level", "cx", "cy"])
+    pairs = seekers.join(stored, [*by, "__level", "__cx", "__cy"])
     earlier = F.struct(f"a_{owner}", "a_ring", "a_k") < F.struct(f"b_{owner}", "b_ring", "b_k")
-    size = cell_size(F.col("level"))
+    size = cell_size(F.col("__level"))
     corner_x, corner_y = F.greatest("a_lx", "b_lx"), F.greatest("a_ly", "b_ly")
     kept = pairs.where(
         ((F.col("a_own") < F.col("b_own")) | earlier & (F.col("a_own") == F.col("b_own")))
-        & (F.floor(corner_x / size) == F.col("cx")) & (F.floor(corner_y / size) == F.col("cy"))
+        & (F.floor(corner_x / size) == F.col("__cx")) & (F.floor(corner_y / size) == F.col("__cy"))
         & (corner_x <= F.least("a_hx", "b_hx")) & (corner_y <= F.least("a_hy", "b_hy"))
     )
     return _with_contact_kind(kept).select(
@@ -307,12 +308,12 @@ def assemble_holes(polygons: DataFrame, group: str = "group_id", id_column: str
 
 
 def _strictly_inside_others(probes: DataFrame, polygons: DataFrame, group: str) -> DataFrame:
-    cells = settle(polygon_cells(polygons).select(group, F.col("owner").alias("other"), "level", "cx", "cy", "min_x", "max_x", "min_y", "max_y", "edges"))
-    levels = [r[0] for r in cells.df.select("level").distinct().collect()]
+    cells = settle(polygon_cells(polygons).select(group, F.col("owner").alias("other"), "__level", "__cx", "__cy", "min_x", "max_x", "min_y", "max_y", "edges"))
+    levels = [r[0] for r in cells.df.select("__level").distinct().collect()]
     if not levels:
         return probes.select(group).limit(0)
     inside = (
         F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
         & (F.col("owner") != F.col("other")) & strictly_inside(F.col("edges"), F.col("x"), F.col("y"))
     )
-    return join_sized(_visit(probes, levels, "x", "y"), cells, [group, "level", "cx", "cy"]).where(inside).select(group)
+    return join_sized(_visit(probes, levels, "x", "y"), cells, [group, "__level", "__cx", "__cy"]).where(inside).select(group)

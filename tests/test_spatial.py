@@ -89,6 +89,14 @@ def test_mixed_sizes_against_brute_force(spark):
     assert sorted(r.id for r in found.collect()) == want and len(want) > 50
 
 
+@pytest.mark.parametrize("names", [("cx", "cy"), ("level", "min_x")])
+def test_any_coordinate_names(spark, monkeypatch, names):
+    x, y = names
+    df = points(spark, [(1, (0.5, 0.5)), (2, (10.4, 0.5)), (3, (9.9, 9.9))]).withColumnsRenamed({"x": x, "y": y})
+    found = G.points_in_polygons(df, polygons(spark, [box(0, 0, 10, 10)]), ["id"], x=x, y=y)
+    assert found.columns == df.columns and sorted(map(tuple, found.collect())) == [(1, 0.5, 0.5), (3, 9.9, 9.9)]
+
+
 def test_no_polygons(spark):
     assert G.points_in_polygons(points(spark, TRUTH), spark.createDataFrame([], POLYGONS), ["id"]).count() == 0
 
