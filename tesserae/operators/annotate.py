@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import normalize_label
-
 KEYS = ["region", "instance_id"]
 
 # Columns owned by object classification.
@@ -182,9 +180,3 @@ def annotate_guarded(
     if effect["changed"] == 0:
         return obs
     return annotate_matched(obs, prepared.snapshot, prepared.column, value, prepared.mode)
-
-
-def label_value(value: Column) -> Column:
-    """Annotation text as it is stored: trimmed, empty text is missing."""
-    trimmed = normalize_label(value)
-    return F.when(F.length(trimmed) > 0, trimmed)

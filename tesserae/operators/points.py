@@ -285,7 +285,7 @@ def select_within_budget(
         fraction = budget / total
         if columns.points_id:
             priority = F.xxhash64(F.col(columns.points_id), F.lit(seed))
-            cut = int(-(2**63) + fraction * 2**64)
+            cut = min(int(-(2**63) + fraction * 2**64), 2**63 - 1)
             points = points.withColumn("__priority", priority).where(F.col("__priority") < F.lit(cut))
         else:
             points = points.sample(fraction, seed).withColumn("__priority", F.rand(seed))

@@ -25,6 +25,18 @@ def test_dictionary_is_sorted_dense_and_partition_invariant(spark, partitions):
     assert [tuple(r) for r in rows] == [(0, "AAMP", 2), (1, "ACTB", 1), (2, "AXL", 2), (3, "actb", 1)]
 
 
+def test_dictionary_accounts_for_every_point(spark):
+    values = P.value_dictionary(points(spark, LABELS), "gene").values
+    assert tuple(P.dictionary_total_matches(values, 6).first()) == (6, True)
+    assert not P.dictionary_total_matches(values, 7).first()["matches"]
+
+
+def test_nearly_full_budget(spark):
+    df = points(spark, ["a"] * 50)
+    chosen = P.select_within_budget(df, NAMED, P.value_dictionary(df, "gene"), budget=49)
+    assert 40 <= chosen.points.count() <= 49
+
+
 def test_dictionary_through_many_ranges(spark, monkeypatch):
     labels = [f"g{i % 97:03d}" for i in range(400)]
     df = points(spark, labels)
