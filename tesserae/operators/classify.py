@@ -215,7 +215,7 @@ def state_invariants(obs: DataFrame) -> DataFrame:
 def observed_class_check(observed: DataFrame, declared: DataFrame) -> DataFrame:
     """Observed classes that are not declared categories, or not positive."""
     classes = observed.select(F.col("category").cast("long").alias("category")).where("category is not null").distinct()
-    return classes.join(declared.select("category").withColumn("declared", F.lit(True)), "category", "left").where(
+    return classes.join(declared.select("category").distinct().withColumn("declared", F.lit(True)), "category", "left").where(
         F.col("declared").isNull() | (F.col("category") <= 0)
     ).select("category")
 

@@ -235,7 +235,7 @@ def extend_palette(vocabulary: DataFrame, palette: DataFrame) -> DataFrame:
 def class_difference(predicted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Predicted classes that the vocabulary does not declare."""
     return predicted.select("category").where("category is not null").distinct().join(
-        vocabulary.select("category"), "category", "left_anti"
+        vocabulary.select("category").distinct(), "category", "left_anti"
     )
 
 

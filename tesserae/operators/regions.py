@@ -35,8 +35,8 @@ def region_filter(obs: DataFrame, regions: Sequence[str] | DataFrame) -> DataFra
 def undeclared_regions(requested: DataFrame, labels: DataFrame, declared: DataFrame) -> DataFrame:
     """Requested regions without a labels element, or not declared by the table: `(region, missing_from)`."""
     wanted = requested.select("region").distinct()
-    no_labels = wanted.join(labels.select("region"), "region", "left_anti").withColumn("missing_from", F.lit("labels"))
-    no_table = wanted.join(declared.select("region"), "region", "left_anti").withColumn("missing_from", F.lit("table"))
+    no_labels = wanted.join(labels.select("region").distinct(), "region", "left_anti").withColumn("missing_from", F.lit("labels"))
+    no_table = wanted.join(declared.select("region").distinct(), "region", "left_anti").withColumn("missing_from", F.lit("table"))
     return no_labels.unionByName(no_table)
 
 
@@ -89,7 +89,7 @@ def alignment_problems(shapes: DataFrame, rows: DataFrame) -> DataFrame:
     shape_nulls = shapes.agg(F.count_if(F.col("instance_id").isNull())).scalar()
     per_instance = rows.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"))
     orphans = per_instance.where("instance_id is not null").join(
-        shapes.select("instance_id"), "instance_id", "left_anti"
+        shapes.select("instance_id").distinct(), "instance_id", "left_anti"
     ).agg(F.count(F.lit(1))).scalar()
     counts = per_instance.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("table_rows"),
