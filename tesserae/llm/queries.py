@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import jaccard_join
+from tesserae.llm import jaccard_join, suffix_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,24 @@ FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_join.jaccard_components(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_suffix_array_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d)),
+least AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+cut AS (SELECT w.doc_id, p FROM w JOIN least USING (s) WHERE w.doc_id > m),
+marked AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true) AS fresh FROM cut),
+numbered AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY ALL),
+gaps AS (
+  SELECT runs.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY runs.doc_id ORDER BY a), 0) + 1,
+    2 * (a - coalesce(lag(b) OVER (PARTITION BY runs.doc_id ORDER BY a), 0))) AS piece
+  FROM runs JOIN d USING (doc_id)),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS e, string_agg(piece, '' ORDER BY a) AS head FROM gaps GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+""")
+def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_array.deduplicated(table(spark, folder, "documents")).drop("kept")

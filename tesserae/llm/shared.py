@@ -16,6 +16,7 @@ from tesserae.scale import ensure_checkpoint_dir
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 BATCH_ROWS = 2_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -26,9 +27,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: the plan so far runs once and its result outlives
     executors. The files stay until the folder is cleaned, as those of `checkpoint()` do."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of this plan are of no use once its rows are written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
