@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import jaccard_join, suffix_array
+from tesserae.llm import jaccard_join, suffix_array, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,19 @@ FROM d LEFT JOIN sums USING (doc_id)
 """)
 def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_array.deduplicated(table(spark, folder, "documents")).drop("kept")
+
+
+def remainder(divisor: int):
+    """crc32 of the id as text, modulo `divisor`."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scorer = toxicity.fit(docs, table(spark, folder, "labels").where(remainder(3) != 1))
+    scores = toxicity.scored(docs, scorer)
+    return scores.select(
+        "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
