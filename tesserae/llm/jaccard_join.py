@@ -6,8 +6,8 @@ order of all shingles. Frequent shingles come last in the order used here, so pr
 1. Every text becomes its set of shingles. Equal sets form a class. Frequent shingles are counted, block by block.
 2. Sets with the same size and the same prefix form a group, and only one row per group enters the join on prefix shingles.
 3. Group pairs are filtered by size and by the number of common prefix shingles, which bounds the overlap from above.
-4. Groups are expanded to their classes, whose whole sets are intersected. Before that, one star of links per group and per
-   large bucket is verified; classes that are already connected need no further comparison, so that a large cluster of
+4. Groups are expanded to their classes, whose whole sets are intersected. Before that, stars are verified, one link or two
+   for each group; classes that are already connected need no further comparison, so that a large cluster of
    near copies costs a linear number of comparisons and not all pairs.
 
 Shingles are compared as 64-bit hashes of their words, sets as 128-bit sums of mixed hashes.
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
 from tesserae.llm.components import components
-from tesserae.llm.shared import map_batches, stored, texts_of
+from tesserae.llm.shared import map_batches, ship, stored, texts_of
 from tesserae.scale import BROADCAST_ROWS
 
 WORDS, PERCENT = 5, 75
 HOT_SHINGLES = 250_000
-LOCAL_REPEATS = 4
-LARGE_BUCKET = 32
+LOCAL_REPEATS, COUNTED_TOGETHER = 3, 4_000_000
+STAR_ROUNDS = 2
 
 
 def shingle_sets(block: tb.Block, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -69,21 +69,23 @@ def _signature(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 FLIP = 0x5851F42D4C957F2D
 
 
-def _sign(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
-    """A row per document with its size and signature, and a row per shingle that many documents of a block have."""
+def _sign(batch: pa.RecordBatch, width: int, seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row per document with its size and signature; its shingles join those to be counted."""
     ids = batch.column("doc_id")
-    repeated: list[np.ndarray] = []
     for block in tb.blocks(batch.column("text")):
         values, offsets = shingle_sets(block, width)
         a, b = _signature(values, offsets)
         n = len(a)
         none = pa.nulls(n, pa.int64())
+        seen.append(values)
         yield pa.record_batch(
             [ids.slice(block.first, n), pa.array(np.diff(offsets)), pa.array(a), pa.array(b), none, none],
             ["doc_id", "n", "s1", "s2", "hot", "times"],
         )
-        repeated.append(values)
-    every = np.sort(np.concatenate(repeated))
+
+
+def _repeated(seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    every = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
     starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
     times = np.diff(np.append(starts, len(every)))
     often = times >= LOCAL_REPEATS
@@ -95,6 +97,21 @@ def _sign(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _signed(docs: DataFrame, width: int) -> DataFrame:
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray] = []
+        for batch in batches:
+            yield from _sign(batch, width, seen)
+            if sum(map(len, seen)) >= COUNTED_TOGETHER:
+                yield from _repeated(seen)
+                seen = []
+        yield from _repeated(seen)
+
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hot long, times long")
+
+
 def _prefixes(batch: pa.RecordBatch, width: int, percent: int, hot: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     ids = batch.column("doc_id")
     for block in tb.blocks(batch.column("text")):
@@ -159,7 +176,7 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     empty result. Other columns of `docs` are not looked at.
     """
     docs = texts_of(docs)
-    signed = stored(map_batches(docs, lambda b: _sign(b, width), "doc_id long, n long, s1 long, s2 long, hot long, times long"), "signed")
+    signed = stored(_signed(docs, width), "signed")
     rows = signed.where("n is not null")
     keys = ["n", "s1", "s2"]
     classes = stored(rows.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("class_id")), "classes")
@@ -186,17 +203,27 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     often = often.join(F.broadcast(heads), "token").select("g", "n", "token", "size", "head")  # HOT_SHINGLES rows at most
     shared = stored(cold.unionByName(often), "buckets")
 
-    # stars: each class with the first of its group, each group in a large bucket with the first of that bucket
+    # stars: each class with the first of its group; each group with the one that heads most of its buckets. The order in
+    # which buckets have heads changes from round to round, so a group that one hub is too far from may be near another.
     first = members.groupBy("g").agg(F.min("class_id").alias("y"))
-    inside = members.join(first, "g").select(F.col("class_id").alias("x"), "y")
-    large = shared.where(F.col("size") > LARGE_BUCKET).groupBy("g").agg(F.max_by("head", F.struct("size", "token")).alias("h"))
-    across = large.join(first, "g").select("h", F.col("y").alias("x")).join(first.withColumnRenamed("g", "h"), "h").select("x", "y")
-    stars = _verified(inside.unionByName(across).where("x != y").distinct(), docs, width, percent)
-    known = stored(components(stars.select(F.col("x").alias("a"), F.col("y").alias("b"))), "known")
-    members = stored(
-        members.join(known, members.class_id == known.id, "left")
-        .select("class_id", "g", "n", F.coalesce("component", "class_id").alias("known")), "members",
-    )
+    hubs = [members.join(first, "g").select(F.col("class_id").alias("x"), "y")]
+    members = members.withColumn("known", F.col("class_id"))
+    stars = None
+    for turn in range(STAR_ROUNDS):
+        lead = shared.select("token", "g") if turn else shared.select("token", "g", "head")
+        if turn:
+            heads = lead.groupBy("token").agg(F.min_by("g", F.xxhash64("g", F.lit(turn))).alias("head"))
+            lead = lead.join(heads, "token")
+        most = lead.where("g != head").groupBy("g", "head").count().groupBy("g").agg(F.max_by("head", F.struct("count", "head")).alias("h"))
+        across = most.join(first, "g").select("h", F.col("y").alias("x")).join(first.withColumnRenamed("g", "h"), "h").select("x", "y")
+        known = members.select(F.col("class_id").alias("x"), F.col("known").alias("kx"))
+        wanted = across.unionByName(hubs.pop()) if hubs else across
+        wanted = wanted.where("x != y").distinct().join(known, "x").join(known.toDF("y", "ky"), "y").where("kx != ky").select("x", "y")
+        found = _verified(wanted, docs, width, percent)
+        stars = found if stars is None else stars.unionByName(found)
+        joined = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        members = members.drop("known").join(joined, F.col("class_id") == F.col("id"), "left")
+        members = stored(members.select("class_id", "g", "n", F.coalesce("component", "class_id").alias("known")), "members")
 
     spans = members.groupBy("g").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
     buckets = shared.join(spans, "g")

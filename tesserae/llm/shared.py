@@ -16,6 +16,7 @@ from tesserae.scale import ensure_checkpoint_dir
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 BATCH_ROWS = 2_000
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,6 +40,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Send the sources of this package to the executors, once per Spark context."""
+    if spark.conf.get(ROWS, "10000") == "10000":  # not set by the user: texts are long rows
+        spark.conf.set(ROWS, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_tesserae_shipped", False):
         return
