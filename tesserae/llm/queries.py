@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import jaccard_join, suffix_array, toxicity
+from tesserae.llm import byte_bpe, jaccard_join, suffix_array, token_packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +89,14 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op1_token_packing")
+def op1_token_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return token_packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    found = byte_bpe.encoded(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.drop("ids")
