@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import byte_bpe, jaccard_join, suffix_array, token_packing, toxicity
+from tesserae.llm import byte_bpe, jaccard_join, string_tiling, suffix_array, token_packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,12 @@ def op1_token_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     found = byte_bpe.encoded(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.drop("ids")
+
+
+@query("op8_string_tiling")
+def op8_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = string_tiling.contaminated(docs, table(spark, folder, "benchmark"))
+    rows = docs.select("doc_id").join(found, "doc_id", "left")
+    nothing = {"n_tiled": F.coalesce("n_tiled", F.lit(0)), "coverage": F.coalesce("coverage", F.lit(0.0))}
+    return rows.withColumns(nothing | {"contaminated": F.coalesce("contaminated", F.lit(False))})
