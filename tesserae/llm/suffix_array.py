@@ -132,7 +132,7 @@ def _block_rows(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     steps = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]).astype(np.uint64)
     out = np.empty(len(keys), np.uint64)
@@ -155,11 +155,12 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, room: np.ndarray, least:
     for shift in (1, 2, 4):
         v = (v << np.uint64(8 * shift)) | ahead(v, shift)
     levels, length = [(8, _ranks(v))], 8
-    while length < longest:
+    while length * 2 < longest:
         rank = levels[-1][1]
         levels.append((2 * length, _ranks((rank << np.uint64(32)) | ahead(rank, length))))
         length *= 2
-    by_rank = np.argsort(levels[-1][1][starts], kind="stable")
+    rank = levels[-1][1]  # two prefixes that overlap cover the longest suffix
+    by_rank = np.argsort((rank[starts] << np.uint64(32)) | rank[np.minimum(starts + max(0, longest - length), len(text) - 1)])
     order, room = starts[by_rank], room[by_rank]
     common = np.zeros(len(order), np.int64)
     if len(order) > 1:
@@ -243,11 +244,18 @@ def _repeat_rows(anchor: np.ndarray, b1, b2, low, high, column: pa.Array, least:
     bounds = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     data = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
-    length, places, offsets = maximal_repeats(data, bounds, least)
-    block = np.searchsorted(bounds, places, "right") - 1
+    alone = np.ones(len(anchor), bool)  # the only block of its anchor meets no other text
+    alone[1:] &= anchor[1:] != anchor[:-1]
+    alone[:-1] &= anchor[1:] != anchor[:-1]
+    some = np.flatnonzero(~alone)
+    own = np.concatenate([[0], np.cumsum(np.diff(bounds)[some])])
+    met = data[np.repeat(~alone, np.diff(bounds))]
+    length, places, offsets = maximal_repeats(met, own, least)
+    block = some[np.searchsorted(own, places, "right") - 1]
+    places = places - own[np.searchsorted(own, places, "right") - 1]
     group = np.repeat(np.arange(len(length)), np.diff(offsets))
     owner = np.minimum.reduceat(low[block], offsets[:-1]) if len(length) else np.zeros(0, np.int64)
-    start, size, first = places - bounds[block], length[group], owner[group]
+    start, size, first = places, length[group], owner[group]
     names = tb.mix(b1[block[offsets[:-1]]].view(np.uint64) + start[offsets[:-1]].astype(np.uint64)) if len(length) else np.zeros(0, np.uint64)
     whole = np.flatnonzero(low < high)  # equal blocks were merged: a block of several documents repeats as a whole
     block = np.concatenate([block, whole])
