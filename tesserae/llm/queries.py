@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import byte_bpe, jaccard_join, string_tiling, suffix_array, token_packing, toxicity
+from tesserae.llm import (
+    byte_bpe, cotraining, jaccard_join, language_id, stratified_shards, string_tiling, suffix_array, token_packing, toxicity, weak_supervision,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +111,92 @@ def op8_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     rows = docs.select("doc_id").join(found, "doc_id", "left")
     nothing = {"n_tiled": F.coalesce("n_tiled", F.lit(0)), "coverage": F.coalesce("coverage", F.lit(0.0))}
     return rows.withColumns(nothing | {"contaminated": F.coalesce("contaminated", F.lit(False))})
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.fit(docs.where(remainder(5) != 0))
+    found = language_id.predicted(docs, model)
+    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "doubtful")
+
+
+@query("op4_cotraining")
+def op4_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    pair = cotraining.fit(docs, table(spark, folder, "labels").where(remainder(3) != 1))
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out")
+    return cotraining.scored(docs, pair).select("doc_id", held_out, "score", "kept")
+
+
+def weak_supervision_sql() -> str:
+    """Measures in SQL, and expectation-maximisation as a recursive query over the vote patterns."""
+    rules = weak_supervision.RULES
+    names = list(rules)
+    start, low, high = weak_supervision.START, weak_supervision.LOW, weak_supervision.HIGH
+    space = weak_supervision.SPACE
+    odds = weak_supervision.log_odds({n: (f"g_{n}", f"b_{n}") for n in names}, "prior")
+    votes = ", ".join(f"{weak_supervision.vote(*rules[n])} AS v_{n}" for n in names)
+    columns = ", ".join(f"v_{n}" for n in names)
+    steps = []
+    for n in names:
+        for column, vote, p in ((f"g_{n}", 1, "p"), (f"b_{n}", 0, "(1 - p)")):
+            part = f"sum(CASE WHEN v_{n} = {vote} THEN n * {p} ELSE 0 END)"
+            whole = f"sum(CASE WHEN v_{n} IS NOT NULL THEN n * {p} ELSE 0 END)"
+            steps.append(f"least({high}, greatest({low}, ({part} + 1) / ({whole} + 2))) AS {column}")
+    first = ", ".join(f"{start}::DOUBLE AS g_{n}, {start}::DOUBLE AS b_{n}" for n in names)
+    return rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[{space}]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{space}]')) AS l
+  FROM documents),
+windows AS (SELECT doc_id, i, w[i:i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+measures AS (
+  SELECT s.doc_id, len(w) AS n_words, length(regexp_replace(text, '[{space}]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
+    length(regexp_replace(text, '[^.!?]', '', 'g')) AS n_stops, length(regexp_replace(text, '[^|]', '', 'g')) AS n_bars
+  FROM split s LEFT JOIN covered c ON c.doc_id = s.doc_id),
+votes AS (SELECT *, {votes} FROM measures),
+patterns AS (SELECT {columns}, count(*) AS n FROM votes GROUP BY ALL),
+em AS (
+  SELECT 0 AS turn, {weak_supervision.PRIOR}::DOUBLE AS prior, {first}
+  UNION ALL
+  SELECT turn + 1, least({high}, greatest(1 - {high}, (sum(n * p) + 1) / (sum(n) + 2))), {", ".join(steps)}
+  FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS p FROM em, patterns WHERE turn < {weak_supervision.ITERATIONS}) GROUP BY turn)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 / (1 + exp(-({odds}))) >= {weak_supervision.KEEP} AS kept
+FROM votes, em WHERE turn = {weak_supervision.ITERATIONS}
+"""
+
+
+@query("op6_weak_supervision", weak_supervision_sql())
+def op6_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    found = weak_supervision.judged(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_stratified_shards", """
+WITH RECURSIVE table_rows(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM table_rows WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM table_rows WHERE k = 8),
+rows_ AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode(coalesce(text, '')))),
+      lambda i: ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc_table),
+hashed AS (SELECT *, md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32) AS h, coalesce('s' || source, 'n') AS stratum FROM rows_),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS rank
+  FROM hashed),
+placed AS (SELECT *, row_number() OVER (ORDER BY rank, stratum) - 1 AS place, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 16 // n)::INT AS shard,
+  place - ((place * 16 // n) * n + 15) // 16 AS slot, NULL::INT AS grown_shard
+FROM placed
+""")
+def op10_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
+    found = stratified_shards.interleaved(table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
