@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.shared import stored
+from tesserae.llm.shared import discard, stored
 
 
 def _toward_minimum(edges: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         edges_next = stored(small, "links")
         state = edges_next.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         state = (state[0], state[1])
+        discard(edges)
         edges = edges_next
         if state == seen:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
 from tesserae.llm.components import components
-from tesserae.llm.shared import map_batches, ship, stored, texts_of
+from tesserae.llm.shared import discard, map_batches, ship, stored, texts_of
 from tesserae.scale import BROADCAST_ROWS
 
 WORDS, PERCENT = 5, 75
@@ -164,7 +164,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     both = pairs.join(left, "x").join(right, "y")
     common = F.size(F.array_intersect("sx", "sy"))
     both = both.select("x", "y", common.alias("common"), (F.size("sx") + F.size("sy") - common).alias("every"))
-    return stored(both.where(F.col("common") * 100 >= F.col("every") * percent).select("x", "y"), "similar")
+    similar = stored(both.where(F.col("common") * 100 >= F.col("every") * percent).select("x", "y"), "similar")
+    discard(pairs, wanted, sets)
+    return similar
 
 
 def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -210,11 +212,12 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     members = members.withColumn("known", F.col("class_id"))
     stars = None
     for turn in range(STAR_ROUNDS):
-        lead = shared.select("token", "g") if turn else shared.select("token", "g", "head")
+        lead = shared.select("token", "g", "n") if turn else shared.select("token", "g", "n", "head")
         if turn:
             heads = lead.groupBy("token").agg(F.min_by("g", F.xxhash64("g", F.lit(turn))).alias("head"))
             lead = lead.join(heads, "token")
-        most = lead.where("g != head").groupBy("g", "head").count().groupBy("g").agg(F.max_by("head", F.struct("count", "head")).alias("h"))
+        most = lead.where("g != head").groupBy("g", "n", "head").count().where("10 * count >= n")  # fewer can't be alike
+        most = most.groupBy("g").agg(F.max_by("head", F.struct("count", "head")).alias("h"))
         across = most.join(first, "g").select("h", F.col("y").alias("x")).join(first.withColumnRenamed("g", "h"), "h").select("x", "y")
         known = members.select(F.col("class_id").alias("x"), F.col("known").alias("kx"))
         wanted = across.unionByName(hubs.pop()) if hubs else across
@@ -246,6 +249,7 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     expanded = pairs.unionByName(itself).join(one, "g1").join(two, "g2").where("kx != ky")
     expanded = expanded.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     links = _verified(expanded, docs, width, percent).unionByName(stars)
+    discard(shared, buckets, grouped)
     found = stored(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
 
     named = rows.join(classes, keys, "left").join(found, F.col("class_id") == F.col("id"), "left")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import map_batches, ship, stored, texts_of
+from tesserae.llm.shared import discard, map_batches, ship, stored, texts_of
 from tesserae.scale import BROADCAST_ROWS
 
 MIN_BYTES = 50
@@ -314,9 +314,11 @@ def repeat_groups(docs: DataFrame, width: int = MIN_BYTES) -> DataFrame:
     other = F.lag("doc_id").over(by_route).isNotNull() | F.lead("doc_id").over(by_route).isNotNull()
     found = rows.withColumn("other", other).where("places is not null and (local or other)")
     found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
-    placed = docs.join(stored(found, "anchors"), "doc_id")
+    found = stored(found, "anchors")
+    placed = docs.join(found, "doc_id")
     schema = "anchor long, b1 long, b2 long, bytes binary, doc_id long, places array<int>"
     blocks = stored(map_batches(placed, lambda b: _block_rows(b, width), schema), "blocks")
+    discard(found)
 
     keys = ["anchor", "b1", "b2"]
     distinct = blocks.groupBy(*keys, "bytes").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -332,6 +334,7 @@ def repeat_groups(docs: DataFrame, width: int = MIN_BYTES) -> DataFrame:
         "b1", "b2", F.xxhash64("w").alias("group_id"), F.col("start").cast("int").alias("start"), F.lit(width).alias("length"), "first_doc"
     )
     repeats = stored(repeats.unionByName(split), "repeats")
+    discard(distinct)
     places = blocks.select("b1", "b2", "doc_id", "places")
     return places.join(repeats, ["b1", "b2"]).where("doc_id > first_doc").select(
         "group_id", "length", "first_doc", "doc_id", F.transform("places", lambda p: p + F.col("start")).alias("starts")
