@@ -257,3 +257,12 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("component", "class_id", "doc_id").alias("component_id"),
     )
+
+
+def one_per_component(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, with all columns, without those whose component has a smaller id. Rows without an id stay."""
+    found = jaccard_components(docs, width, percent)
+    others = stored(found.where("doc_id != component_id").select("doc_id").distinct(), "others")
+    others = others.withColumnRenamed("doc_id", "__other")
+    same = docs["doc_id"].cast("long") == F.col("__other")
+    return docs.join(F.broadcast(others) if _few(others) else others, same, "left_anti")

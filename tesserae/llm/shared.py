@@ -66,7 +66,7 @@ def ship(spark: SparkSession) -> None:
     context._tesserae_shipped = True
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """`mapInArrow` for a function of one batch that gives any number of batches."""
     spark = df.sparkSession
     ship(spark)
@@ -84,3 +84,12 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.
 def texts_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names, so that other columns of the caller can't clash."""
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+
+
+def filter_rows(docs: DataFrame, keep: Callable[[pa.Array], Iterable[bool]]) -> DataFrame:
+    """The rows of `docs`, with all their columns, for whose texts `keep` holds. It gets the texts of a batch."""
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kept = keep(batch.column(batch.schema.get_field_index("text")).cast(pa.string()))
+        yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)

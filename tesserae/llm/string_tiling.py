@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import map_batches, ship
+from tesserae.llm.shared import filter_rows, map_batches, ship, texts_of
 from tesserae.llm.toxicity import words_of
 
 SEED = 5
@@ -142,18 +142,10 @@ def coverage(docs: DataFrame, items: DataFrame) -> DataFrame:
     Null and empty texts share nothing, nor do items of fewer than `SEED` words. Repeated rows give repeated results. Other
     columns are not looked at; an empty table on either side gives an empty result. Hashes of words stand for words.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id is not null and text is not null")
-    nbytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-nbytes // BLOCK_ITEMS_BYTES))
+    docs = texts_of(docs)
     schema = "doc_id long, item_id long, n_words long, n_tiled long, n_tiles long"
     result = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).toArrow().sort_by("item_id")
-        sent = spark.sparkContext.broadcast(Items(part.column("item_id").to_numpy(), part.column("text").combine_chunks()))
+    for sent in _item_blocks(items):
 
         def compare(batch: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:
             own, ids, rows = sent.value, batch.column("doc_id").to_pylist(), []
@@ -168,6 +160,19 @@ def coverage(docs: DataFrame, items: DataFrame) -> DataFrame:
     return result
 
 
+def _item_blocks(items: DataFrame) -> Iterator:
+    """Broadcasts of all items, `BLOCK_ITEMS_BYTES` of text or so in each."""
+    spark = items.sparkSession
+    ship(spark)
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.where("item_id is not null and text is not null")
+    nbytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-nbytes // BLOCK_ITEMS_BYTES))
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).toArrow().sort_by("item_id")
+        yield spark.sparkContext.broadcast(Items(part.column("item_id").to_numpy(), part.column("text").combine_chunks()))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """`(doc_id, item_id, n_tiled, coverage, contaminated)`: for each document that shares a seed with an item, the item it
     covers most (ties: more words, then the smallest id), and whether that share reaches `threshold`."""
@@ -178,3 +183,19 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = COVERAGE)
     return best.select(
         "doc_id", (-F.col("b.item")).alias("item_id"), "b.n_tiled", "b.coverage", (F.col("b.coverage") >= threshold).alias("contaminated")
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = COVERAGE) -> DataFrame:
+    """The rows of `docs`, with all columns, that cover no item up to `threshold`; rows without an id are judged alike."""
+    for sent in _item_blocks(items):
+
+        def keep(texts: pa.Array, sent=sent) -> np.ndarray:
+            clean = np.ones(len(texts), bool)
+            for block in tb.blocks(texts):
+                for d, i, tiled, _ in sent.value.compare(block):
+                    if tiled >= threshold * len(sent.value.of(i)):
+                        clean[block.first + d] = False
+            return clean
+
+        docs = filter_rows(docs, keep)
+    return docs

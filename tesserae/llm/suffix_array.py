@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.llm import textbytes as tb
 from tesserae.llm.shared import discard, map_batches, ship, stored, texts_of
@@ -394,23 +395,49 @@ def character_span(data: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _with_spans(docs: DataFrame, width: int, *carried) -> DataFrame:
+    """Ids, texts and carried columns, with the spans to remove and whether the whole text is a copy."""
+    texts = texts_of(docs)
+    same = stored(copies(texts).where(F.col("n") >= width).select("doc_id").distinct(), "copies")
+    whole = F.broadcast(same) if _few(same) else same
+    once = texts.join(whole, "doc_id", "left_anti")
+    found = repeat_groups(once, width).select("doc_id", "length", F.explode("starts").alias("start"))
+    ends = (F.col("start") + F.col("length")).alias("end")
+    # spans of one start differ only in length, so the longest will do
+    spans = found.select("doc_id", "start", ends).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
+    spans = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    return rows.join(stored(spans, "spans"), "doc_id", "left").join(whole.withColumn("whole", F.lit(True)), "doc_id", "left")
+
+
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+
+
 def deduplicated(docs: DataFrame, width: int = MIN_BYTES, with_text: bool = False) -> DataFrame:
     """`(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)` per row of `docs(doc_id, text)`.
 
     Removed is every byte covered by a string of `width` bytes that also starts in a document with a smaller id, judged on
     the input. Null and empty texts, texts shorter than `width` and rows without an id keep all they have. An id stands for one
-    text; repeated rows get the same result each. `kept` is null unless `with_text`: then spans shrink to whole characters, so that the
-    kept text stays valid. Other columns are not looked at; an empty table gives an empty result.
+    text; repeated rows get the same result each. `kept` is null unless `with_text`: then spans shrink to whole characters,
+    so that the kept text stays valid. Other columns are not looked at; an empty table gives an empty result.
     """
-    docs = texts_of(docs)
-    same = stored(copies(docs).where(F.col("n") >= width).select("doc_id").distinct(), "copies")
-    whole = F.broadcast(same) if _few(same) else same
-    once = docs.join(whole, "doc_id", "left_anti")
-    found = repeat_groups(once, width).select("doc_id", "length", F.explode("starts").alias("start"))
-    ends = (F.col("start") + F.col("length")).alias("end")
-    # spans of one block and start differ only in length, so the longest will do
-    spans = found.select("doc_id", "start", ends).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    rows = docs.join(stored(spans, "spans"), "doc_id", "left").join(whole.withColumn("whole", F.lit(True)), "doc_id", "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    return map_batches(rows, lambda b: _cut(b, with_text), schema)
+    return map_batches(_with_spans(docs, width), lambda b: _cut(b, with_text), CUT)
+
+
+def without_repeats(docs: DataFrame, width: int = MIN_BYTES) -> DataFrame:
+    """The rows of `docs`, with all columns: texts without their repeated parts, and `n_chars`, if there, to match.
+
+    Only whole characters are removed. A null text stays null; a text that is a copy becomes empty.
+    """
+    carried = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("carried")
+    rows = _with_spans(docs, width, carried)
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for done in _cut(batch, True):
+            yield pa.record_batch([batch.column("carried"), done.column("kept")], ["carried", "kept"])
+
+    schema = T.StructType([rows.schema["carried"], T.StructField("kept", T.StringType())])
+    text = F.when(F.col(f"carried.c{docs.columns.index('text')}").isNotNull(), F.col("kept"))
+    own = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    names = [own.get(c, F.col(f"carried.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+    return map_batches(rows, cut, schema).select(*names)

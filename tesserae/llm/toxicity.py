@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import map_batches, texts_of
+from tesserae.llm.shared import filter_rows, map_batches, texts_of
 
 TRAIN_ROWS = 1_500
 WINDOW, STRIDE = 32, 24
@@ -377,3 +377,14 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
             )
 
     return map_batches(texts_of(docs), score, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all columns, whose texts score under `threshold`; rows without an id are judged alike."""
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        parts = [sent.value.scores(block) < threshold for block in tb.blocks(texts)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+    return filter_rows(docs, keep)
