@@ -22,7 +22,7 @@ from tesserae.llm import textbytes as tb
 from tesserae.llm.shared import map_batches, texts_of
 from tesserae.llm.toxicity import Lexicon
 
-TRAIN_ROWS = 1_000
+TRAIN_ROWS = 800
 GRAMS = (2, 3, 4, 5)
 BITS, DIM = 16, 16
 STEPS, BATCH, RATE = 600, 64, 4.0
@@ -30,13 +30,13 @@ REJECT = 0.01
 UNKNOWN = "und"
 
 
-def _words(texts: pa.Array) -> tuple[tb.Block, tb.Words, np.ndarray, np.ndarray]:
-    """Runs of letters, lower-cased, of one block of texts."""
-    data = pc.utf8_lower(texts.fill_null("").cast(pa.large_string()))
-    block = next(tb.blocks(data, 1 << 62))
-    letters = np.where((block.data >= 128) | ((block.data - np.uint8(97)) < 26), block.data, np.uint8(32))
-    found = tb.words(block, letters)
-    return block, found, tb.range_hash(tb.prefix_hash(letters), found.start, found.end), letters
+def _letters(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= 128) | ((data - np.uint8(97)) < 26), data, np.uint8(32))
+
+
+def _words(texts: pa.Array) -> tb.WordList:
+    """Runs of letters, lower-cased."""
+    return tb.word_list(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())), _letters)
 
 
 def _subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +56,8 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Class scores of each text before the softmax; texts without words get the level alone."""
-        _, found, hashes, data = _words(texts)
+        found = _words(texts)
+        hashes, data = found.hashes, found.data
         n, k = len(found.offsets) - 1, len(self.languages)
         if not len(hashes):
             return np.tile(self.level, (n, 1))
@@ -79,6 +80,11 @@ class Model:
         return best, p[np.arange(len(p)), best]
 
 
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    for block in tb.blocks(texts):
+        yield texts.slice(block.first, block.last - block.first)
+
+
 def train(texts: pa.Array, languages: list[str], label: np.ndarray, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     k = len(languages)
@@ -89,7 +95,8 @@ def train(texts: pa.Array, languages: list[str], label: np.ndarray, seed: int =
         own = np.flatnonzero(label == c)
         if len(own) >= 5:
             held[rng.permutation(own)[: len(own) // 5]] = True
-    _, found, hashes, data = _words(texts)
+    found = _words(texts)
+    data = found.data
     size = np.diff(found.offsets)
     usable = [np.flatnonzero((label == c) & ~held & (size > 0)) for c in range(k)]
     emb = (rng.standard_normal((1 << BITS, DIM)) * 0.1).astype(np.float32)
@@ -120,7 +127,7 @@ def train(texts: pa.Array, languages: list[str], label: np.ndarray, seed: int =
         emb[used] -= pace * 10 * emb_slope
     model = Model(languages, emb @ weight, level.astype(float))
     check = held if held.any() else np.ones(len(label), bool)
-    z = model.scores(texts.filter(pa.array(check)))
+    z = np.concatenate([model.scores(part) for part in _pieces(texts.filter(pa.array(check)))])
     y = label[check]
 
     def loss(heat: float) -> float:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
 from tesserae.llm.shared import filter_rows, map_batches, ship, texts_of
-from tesserae.llm.toxicity import words_of
+from tesserae.llm.toxicity import letters_and_digits, words_of
 
 SEED = 5
 COVERAGE = 0.6
@@ -98,12 +98,8 @@ class Items:
 
     def __init__(self, ids: np.ndarray, texts: pa.Array) -> None:
         self.ids = ids
-        block = next(tb.blocks(texts, 1 << 62), None)
-        if block is None:
-            self.words, self.offsets, self.seeds, self.item = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, int)
-            return
-        found, self.words, _ = words_of(block)
-        self.offsets = found.offsets
+        found = tb.word_list(texts, letters_and_digits)
+        self.words, self.offsets = found.hashes, found.offsets
         seeds, whole = tb.word_windows(self.words, self.offsets, SEED)
         pairs = np.unique(np.stack([seeds[whole], tb.document_of(self.offsets)[whole].astype(np.uint64)]), axis=1)
         self.seeds, self.item = pairs[0], pairs[1].astype(np.int64)

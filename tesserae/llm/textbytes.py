@@ -9,7 +9,7 @@ and one multiplication with the inverse power. They depend on the bytes alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,3 +167,30 @@ def word_windows(values: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
         out[: n - width + 1] = mix(part)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     return out, ends - np.arange(n) >= width
+
+
+@dataclass
+class WordList:
+    """Words of any number of texts: hashes, byte ranges in `data`, and the range of words of each text."""
+
+    hashes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    offsets: np.ndarray
+    data: np.ndarray
+
+
+def word_list(texts: pa.Array, prepare: Callable[[np.ndarray], np.ndarray]) -> WordList:
+    """Words of all texts, block by block, after `prepare` has set what isn't part of a word to spaces."""
+    parts, base, first = [], 0, 0
+    for block in blocks(texts):
+        data = prepare(block.data)
+        found = words(block, data)
+        hashes = range_hash(prefix_hash(data), found.start, found.end)
+        parts.append((hashes, found.start + base, found.end + base, found.offsets[1:] + first, data))
+        base, first = base + len(data), first + len(hashes)
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return WordList(none.astype(np.uint64), none, none, np.zeros(1, np.int64), none.astype(np.uint8))
+    hashes, start, end, ends, data = (np.concatenate(x) for x in zip(*parts))
+    return WordList(hashes, start, end, np.concatenate([[0], ends]), data)

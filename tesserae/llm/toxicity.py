@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tesserae.llm import textbytes as tb
 from tesserae.llm.shared import filter_rows, map_batches, texts_of
 
-TRAIN_ROWS = 1_500
+TRAIN_ROWS = 1_800
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 6, 6, 8
 GRAMS = (4, 5, 6)
@@ -32,11 +32,16 @@ WORD_DROPOUT, LEAST_DOCS = 0.5, 5
 THRESHOLD = 0.7
 
 
+def letters_and_digits(data: np.ndarray) -> np.ndarray:
+    """Lower-cased, with a space for every ASCII character that is neither letter nor digit."""
+    data = tb.lower(data)
+    keep = (data >= 128) | ((data - np.uint8(97)) < 26) | ((data - np.uint8(48)) < 10)
+    return np.where(keep, data, np.uint8(32))
+
+
 def words_of(block: tb.Block) -> tuple[tb.Words, np.ndarray, np.ndarray]:
     """Runs of letters and digits, lower-cased: ranges, hashes and the bytes they refer to."""
-    data = tb.lower(block.data)
-    keep = (data >= 128) | ((data - np.uint8(97)) < 26) | ((data - np.uint8(48)) < 10)
-    data = np.where(keep, data, np.uint8(32))
+    data = letters_and_digits(block.data)
     found = tb.words(block, data)
     return found, tb.range_hash(tb.prefix_hash(data), found.start, found.end), data
 
@@ -212,6 +217,7 @@ class Scorer:
 
     def __init__(self, network: Network, slope: float, level: float) -> None:
         self.network, self.slope, self.level = network, slope, level
+        network.word_counts = network.gram_counts = None  # only training needs them
 
     def logits(self, block: tb.Block) -> np.ndarray:
         """The highest window of each document of a block; -inf where there are no words."""
@@ -233,22 +239,29 @@ class Scorer:
         return np.where(np.isfinite(top), _sigmoid(self.slope * np.where(np.isfinite(top), top, 0) + self.level), 0.0)
 
 
-def _statistics(offsets, word, label, lexicon: Lexicon, n_words: int) -> tuple[tuple, tuple]:
+WORDS_AT_ONCE, PAIRS_AT_ONCE = 50_000, 50_000
+
+
+def _statistics(offsets, word, label, data, start, end) -> tuple[tuple, tuple]:
     """For each word and each gram bucket, the documents labelled 1 and all documents that have it."""
-    doc = tb.document_of(offsets)
-    pairs = np.unique((doc << 32) | word)
+    n_words = len(start)
+    pairs = np.unique((tb.document_of(offsets) << 32) | word)
     pair_doc, pair_word = pairs >> 32, pairs & 0xFFFFFFFF
     total = np.bincount(pair_word, minlength=n_words)
     positive = np.bincount(pair_word, label[pair_doc], n_words)
-    grams = [lexicon.grams(w) for w in GRAMS]
-    bucket = np.concatenate([(g >> np.uint64(64 - GRAM_BITS)).astype(np.int64) for g, _ in grams])
-    owner = np.concatenate([o for _, o in grams])
-    order = np.argsort(owner, kind="stable")
-    bucket, bounds = bucket[order], np.searchsorted(owner[order], np.arange(n_words + 1))
+    buckets, sizes = [], []
+    for at in range(0, n_words, WORDS_AT_ONCE):
+        some = slice(at, at + WORDS_AT_ONCE)
+        lexicon = Lexicon(data, start[some], end[some])
+        grams = [lexicon.grams(w) for w in GRAMS]
+        owner = np.concatenate([o for _, o in grams])
+        bucket = np.concatenate([(g >> np.uint64(64 - GRAM_BITS)).astype(np.int32) for g, _ in grams])
+        buckets.append(bucket[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=lexicon.n))
+    bucket, size = np.concatenate(buckets), np.concatenate(sizes)
+    bounds = np.concatenate([[0], np.cumsum(size)])
     gram_total, gram_positive = np.zeros(1 << GRAM_BITS), np.zeros(1 << GRAM_BITS)
-    size = np.diff(bounds)
-    step = 200_000
-    cuts = np.searchsorted(pair_doc, pair_doc[np.arange(0, len(pairs), step)]) if len(pairs) else np.zeros(0, int)
+    cuts = np.searchsorted(pair_doc, pair_doc[np.arange(0, len(pairs), PAIRS_AT_ONCE)]) if len(pairs) else np.zeros(0, int)
     cuts = np.unique(np.append(cuts, len(pairs)))
     for lo, hi in zip(cuts[:-1], cuts[1:]):  # whole documents
         w = pair_word[lo:hi]
@@ -265,17 +278,16 @@ def train(texts: pa.Array, label: np.ndarray, prior: float, seed: int = 7) -> Sc
     """Fit the network on whole texts. `prior` is the rate of label 1 among all labelled rows."""
     rng = np.random.default_rng(seed)
     label = np.asarray(label, np.float64)
-    block = next(tb.blocks(texts, 1 << 62), None) if len(texts) else None
-    if block is None or label.min() == label.max():  # nothing to tell apart
+    if not len(texts) or label.min() == label.max():  # nothing to tell apart
         none = (np.zeros(1), np.zeros(1))
         network = Network(np.zeros(0, np.uint64), none, (np.zeros(1 << GRAM_BITS), np.zeros(1 << GRAM_BITS)), 0.5)
         sure = float(label.mean()) if len(label) else 0.0
         return Scorer(network, 0.0, np.log((sure + 1e-3) / (1 - sure + 1e-3)))
-    found, hashes, data = words_of(block)
-    distinct, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+    found = tb.word_list(texts, letters_and_digits)
+    data = found.data
+    distinct, first, word = np.unique(found.hashes, return_index=True, return_inverse=True)
     start, end = found.start[first], found.end[first]
-    lexicon = Lexicon(data, start, end)
-    (positive, total), gram_counts = _statistics(found.offsets, word, label, lexicon, len(distinct))
+    (positive, total), gram_counts = _statistics(found.offsets, word, label, data, start, end)
     known = total >= LEAST_DOCS
     rate = min(max(float(label.mean()), 1e-3), 1 - 1e-3)
     network = Network(distinct[known], (np.append(positive[known], 0), np.append(total[known], 0)), gram_counts, rate, seed)
@@ -285,7 +297,12 @@ def train(texts: pa.Array, label: np.ndarray, prior: float, seed: int = 7) -> Sc
         """The logit of each window, or its strongest word or gram."""
         level = np.empty(len(at))
         for value in (0.0, 1.0):
-            x, _ = network.inputs(distinct, lexicon, np.full(len(distinct), value))
+            parts = []
+            for i in range(0, len(distinct), WORDS_AT_ONCE):
+                some = slice(i, i + WORDS_AT_ONCE)
+                x, _ = network.inputs(distinct[some], Lexicon(data, start[some], end[some]), np.full(len(distinct[some]), value))
+                parts.append(x[:-1])
+            x = np.concatenate([*parts, x[-1:]])
             peak = x[:, -2] + x[:, -1]
             mine = np.flatnonzero(label[doc] == value)
             for i in range(0, len(mine), 4096):
