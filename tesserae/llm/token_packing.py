@@ -34,9 +34,12 @@ from tesserae.llm.shared import map_batches, shared_folder, ship, stored, texts_
 BLOCK_IDS = 4096
 HEADER = struct.Struct("<4sIQQII")
 END_ID = 1
-DOCS_PER_FILE = 20_000
-CACHE_WORDS = 400_000
-TAIL = ".,!?;:"
+DOCS_PER_FILE = 10_000
+CACHE_WORDS = 900_000
+ENCODE_BYTES = 8 << 20
+#: one run of these at the end of a word is a token run of its own, if a plain letter or digit stands before it
+TAIL = ".,!?;:#$%&*+-/=@^_~"
+PLAIN = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿ")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -143,6 +146,8 @@ class WordEncoder:
         tails, heads = [], []
         for w in words:
             head = w.rstrip(TAIL)
+            if head and head[-1] not in PLAIN:
+                head = w
             tails.append(w[len(head) :])
             heads.append(head.lower() if head.isascii() else head)
         new = dict.fromkeys(x for x in [*heads, *set(tails)] if x not in self.row)
@@ -196,7 +201,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for block in tb.blocks(batch.column("text")):
+        for block in tb.blocks(batch.column("text"), ENCODE_BYTES):
             part = batch.slice(block.first, block.last - block.first)
             ids, ends = own.encode(part.column("text"))
             starts = np.concatenate([[0], ends[:-1]])

@@ -37,7 +37,7 @@ def test_random_access():
         assert [len(reader.document(i)) for i in range(10)] == np.diff(ends, prepend=0).tolist()
 
 
-TRICKY = ["It's THE end... don't!!", "ÉCOLE école é İstanbul ΟΔΟΣ", "<|endoftext|> a<|startoftext|>b", "a b c\x1cd", "12345 3.14", "!?.,;:", "x.", ".x", "'s 't", "中文，标点。"]
+TRICKY = ["It's THE end... don't!!", "ÉCOLE école é İstanbul ΟΔΟΣ", "<|endoftext|> a<|startoftext|>b", "a b c\x1cd", "12345 3.14", "!?.,;:", "x.", ".x", "'s 't", "中文，标点。", "a'. a<. İ. e\u0301. x%%% y###, z|> q-- '. ... %x% a.b."]
 
 
 def test_words_encode_as_whole_texts():
