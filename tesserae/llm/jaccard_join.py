@@ -6,8 +6,8 @@ order of all shingles. Frequent shingles come last in the order used here, so pr
 1. Every text becomes its set of shingles. Equal sets form a class. Frequent shingles are counted, block by block.
 2. Sets with the same size and the same prefix form a group, and only one row per group enters the join on prefix shingles.
 3. Group pairs are filtered by size and by the number of common prefix shingles, which bounds the overlap from above.
-4. Groups are expanded to their classes, whose whole sets are intersected. Before that, stars are verified, one link or two
-   for each group; classes that are already connected need no further comparison, so that a large cluster of
+4. Groups are expanded to their classes, whose whole sets are intersected. Before that, stars are verified, a few links for
+   each group; classes that are already connected need no further comparison, so that a large cluster of
    near copies costs a linear number of comparisons and not all pairs.
 
 Shingles are compared as 64-bit hashes of their words, sets as 128-bit sums of mixed hashes.
@@ -30,7 +30,7 @@ from tesserae.scale import BROADCAST_ROWS
 WORDS, PERCENT = 5, 75
 HOT_SHINGLES = 250_000
 LOCAL_REPEATS, COUNTED_TOGETHER = 3, 4_000_000
-STAR_ROUNDS = 2
+STAR_ROUNDS, HUBS = 2, 3
 
 
 def shingle_sets(block: tb.Block, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -199,39 +199,38 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
 
     by_token = Window.partitionBy("token")
     cold = groups.select("g", "n", F.explode("cold").alias("token"))
-    cold = cold.withColumns({"size": F.count("*").over(by_token), "head": F.min("g").over(by_token)}).where("size > 1")
+    cold = cold.withColumn("size", F.count("*").over(by_token)).where("size > 1").drop("size")
     often = groups.select("g", "n", F.explode("often").alias("token"))
-    heads = often.groupBy("token").agg(F.count("*").alias("size"), F.min("g").alias("head")).where("size > 1")
-    often = often.join(F.broadcast(heads), "token").select("g", "n", "token", "size", "head")  # HOT_SHINGLES rows at most
+    several = often.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
+    often = often.join(F.broadcast(several), "token", "left_semi").select("g", "n", "token")  # HOT_SHINGLES rows at most
     shared = stored(cold.unionByName(often), "buckets")
 
-    # stars: each class with the first of its group; each group with the one that heads most of its buckets. The order in
-    # which buckets have heads changes from round to round, so a group that one hub is too far from may be near another.
+    # stars: each class with the first of its group; each group with the one that heads most of its buckets, for some orders
+    # of the groups that decide who is head: a group that one hub is too far from may be near another
     first = members.groupBy("g").agg(F.min("class_id").alias("y"))
     hubs = [members.join(first, "g").select(F.col("class_id").alias("x"), "y")]
     members = members.withColumn("known", F.col("class_id"))
-    stars = None
+    stars, buckets = None, shared.select("token", "g", "n")
     for turn in range(STAR_ROUNDS):
-        lead = shared.select("token", "g", "n") if turn else shared.select("token", "g", "n", "head")
-        if turn:
-            heads = lead.groupBy("token").agg(F.min_by("g", F.xxhash64("g", F.lit(turn))).alias("head"))
-            lead = lead.join(heads, "token")
-        most = lead.where("g != head").groupBy("g", "n", "head").count().where("10 * count >= n")  # fewer can't be alike
-        most = most.groupBy("g").agg(F.max_by("head", F.struct("count", "head")).alias("h"))
-        across = most.join(first, "g").select("h", F.col("y").alias("x")).join(first.withColumnRenamed("g", "h"), "h").select("x", "y")
+        wanted = hubs.pop() if hubs else None
+        for k in range(HUBS):
+            heads = buckets.groupBy("token").agg(F.min_by("g", F.xxhash64("g", F.lit(turn * HUBS + k))).alias("head"))
+            most = buckets.join(heads, "token").where("g != head").groupBy("g", "n", "head").count()
+            most = most.where("10 * count >= n").groupBy("g").agg(F.max_by("head", F.struct("count", "head")).alias("h"))  # fewer can't be alike
+            across = most.join(first, "g").select("h", F.col("y").alias("x")).join(first.withColumnRenamed("g", "h"), "h").select("x", "y")
+            wanted = across if wanted is None else wanted.unionByName(across)
         known = members.select(F.col("class_id").alias("x"), F.col("known").alias("kx"))
-        wanted = across.unionByName(hubs.pop()) if hubs else across
         wanted = wanted.where("x != y").distinct().join(known, "x").join(known.toDF("y", "ky"), "y").where("kx != ky").select("x", "y")
         found = _verified(wanted, docs, width, percent)
         stars = found if stars is None else stars.unionByName(found)
         joined = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")))
         members = members.drop("known").join(joined, F.col("class_id") == F.col("id"), "left")
         members = stored(members.select("class_id", "g", "n", F.coalesce("component", "class_id").alias("known")), "members")
+        spans = members.groupBy("g").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
+        spanned = shared.select("token", "g", "n").join(spans, "g")
+        open_tokens = spanned.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("token")
+        buckets = stored(spanned.join(open_tokens, "token", "left_semi").select("token", "g", "n", "lo", "hi"), "open")
 
-    spans = members.groupBy("g").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
-    buckets = shared.join(spans, "g")
-    open_tokens = buckets.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("token")
-    buckets = stored(buckets.join(open_tokens, "token", "left_semi").select("token", "g", "n", "lo", "hi"), "open")
     a = buckets.select("token", *(F.col(c).alias(f"{c}1") for c in ("g", "n", "lo", "hi")))
     b = buckets.select("token", *(F.col(c).alias(f"{c}2") for c in ("g", "n", "lo", "hi")))
     rest = [n - F.expr(f"({n_} - ({n_} * {percent} + 99) div 100 + 1)") for n, n_ in ((F.col("n1"), "n1"), (F.col("n2"), "n2"))]
