@@ -30,9 +30,15 @@ def item_obs(spark, folder):
 
 DIGEST_SQL = """
 ids AS (SELECT DISTINCT l_returnflag AS region, l_suppkey AS id FROM lineitem WHERE l_suppkey > 0),
-bodies AS (SELECT region, count(*) AS n, string_agg(lpad(lower(hex(id)), 16, '0'), '' ORDER BY id) AS body FROM ids GROUP BY region),
-digests AS (SELECT region, n AS n_obs, 'sha256:' || sha256(unhex(lpad(lower(hex(length('tesserae/instance-set'))), 16, '0') || lower(hex(encode('tesserae/instance-set')))
-   || '0001' || lpad(lower(hex(length(region))), 16, '0') || lower(hex(encode(region))) || lpad(lower(hex(n)), 16, '0') || body)) AS digest FROM bodies)"""
+leaves AS (SELECT region, id >> 16 AS b, sha256(unhex(string_agg(lpad(lower(hex(id)), 16, '0'), '' ORDER BY id))) AS d FROM ids GROUP BY ALL),
+level1 AS (SELECT region, b >> 16 AS b, sha256(unhex(string_agg(lpad(lower(hex(b)), 16, '0') || d, '' ORDER BY b))) AS d FROM leaves GROUP BY ALL),
+level2 AS (SELECT region, b >> 16 AS b, sha256(unhex(string_agg(lpad(lower(hex(b)), 16, '0') || d, '' ORDER BY b))) AS d FROM level1 GROUP BY ALL),
+roots AS (SELECT region, b >> 16 AS b, sha256(unhex(string_agg(lpad(lower(hex(b)), 16, '0') || d, '' ORDER BY b))) AS d FROM level2 GROUP BY ALL),
+digests AS (
+  SELECT roots.region, n AS n_obs, 'sha256-tree:' || sha256(unhex(
+    lpad(lower(hex(length('tesserae/instance-set'))), 16, '0') || lower(hex(encode('tesserae/instance-set'))) || '0001'
+    || lpad(lower(hex(length(roots.region))), 16, '0') || lower(hex(encode(roots.region))) || lpad(lower(hex(n)), 16, '0') || d)) AS digest
+  FROM roots JOIN (SELECT region, count(*) AS n FROM ids GROUP BY region) c ON c.region = roots.region)"""
 
 
 @query("region_binding_digest", f"WITH {DIGEST_SQL} SELECT region, n_obs, digest, CAST(NULL AS VARCHAR) AS problem FROM digests")

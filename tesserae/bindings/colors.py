@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.bindings.registry import query, table
-from tesserae.functions.palette import DISTINCT_COLORS, NEUTRAL_COLOR
+from tesserae.functions.palette import DISTINCT_COLORS, NEUTRAL_COLOR, color_value
 from tesserae.operators import encode as E
 
 COLORS_SQL = "[" + ", ".join(f"'{c}'" for c in DISTINCT_COLORS) + "]"
@@ -27,8 +27,14 @@ SEEN_SQL = """
 seen AS (SELECT value, row_number() OVER (ORDER BY first_pos) - 1 AS pos FROM
          (SELECT o_orderpriority AS value, min(o_orderkey) AS first_pos FROM orders GROUP BY 1))"""
 
-# Four colors over five categories: two categories share one, one is the neutral color, one transparent.
-PICKED = ("#FF0000", "#ff0000ff", NEUTRAL_COLOR, "#00000000", "#0F0")
+# Four colors over five categories: two categories share one under two spellings, one is the neutral color, one transparent.
+PICKED = ("Red", "#ff0000ff", NEUTRAL_COLOR, "none", "#0F0")
+
+# Spellings that are one color each, and the color.
+SPELLINGS = (
+    ("red", "#FF0000", "#f00", "R", "ff0000ff"), ("tab:blue", "C0", "#1F77B4", "C10", "1f77b4ff"), ("0.5", "#808080", "Gray", "G", "808080ff"),
+    ("k", "Black", "0", "#000000FF", "000000ff"), ("#1234", "#11223344", "#11223344", "1.5", "11223344"),
+)
 
 
 def picked_palette(spark, folder):
@@ -78,13 +84,15 @@ def typed_category_values(spark, folder):
 
 @query("companion_palette", f"""
 WITH seen AS (SELECT p_type AS category, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS pos FROM part GROUP BY p_type),
-colored AS (SELECT p_type, substr(md5(p_type), 1, 6) AS c FROM part GROUP BY p_type)
+colored AS (SELECT p_type, CASE WHEN bool_or(p_size % 2 = 0) AND NOT bool_or(p_size % 2 = 1) THEN upper(any_value(c)) WHEN bool_or(p_size % 2 = 0)
+  THEN least(upper(any_value(c)), any_value(c) || 'ff') ELSE any_value(c) || 'ff' END AS c FROM (SELECT *, substr(md5(p_type), 1, 6) AS c FROM part) GROUP BY p_type)
 SELECT pos, category, '#' || c AS color, 'stored' AS source FROM seen JOIN colored ON p_type = category
 UNION ALL SELECT pos + 100, category, {color_sql('pos')}, 'default_invalid' FROM seen""")
 def companion_palette(spark, folder):
+    own = F.substring(F.md5("p_type"), 1, 6)
     parts = table(spark, folder, "part").withColumns(
         {
-            "own": F.concat(F.lit("#"), F.substring(F.md5("p_type"), 1, 6)),
+            "own": F.concat(F.lit("#"), F.when(F.col("p_size") % 2 == 0, F.upper(own)).otherwise(F.concat(own, F.lit("ff")))),
             "mixed": F.concat(F.lit("#"), F.substring(F.md5("p_brand"), 1, 6)),
         }
     )
@@ -94,6 +102,15 @@ def companion_palette(spark, folder):
     return good.unionByName(bad)
 
 
+@query("color_values", f"""
+WITH spelled AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_custkey % 4 AS j, {[list(row) for row in SPELLINGS]!r} AS t FROM orders)
+SELECT o_orderkey, t[k + 1][j + 1] AS spelling, CASE WHEN t[k + 1][j + 1] NOT IN ('R', 'G', '1.5') THEN '#' || t[k + 1][5] END AS color FROM spelled""")
+def color_values(spark, folder):
+    listed = F.lit([list(row) for row in SPELLINGS])
+    spelling = F.get(F.get(listed, F.pmod("o_orderkey", F.lit(5)).cast("int")), F.pmod("o_custkey", F.lit(4)).cast("int"))
+    return table(spark, folder, "orders").select("o_orderkey", spelling.alias("spelling"), color_value(spelling).alias("color"))
+
+
 @query("value_range", "SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer")
 def value_range(spark, folder):
     return E.value_range(table(spark, folder, "customer"), "c_acctbal")

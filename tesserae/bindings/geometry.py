@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.bindings.registry import query, table
-from tesserae.functions.geometry import box_ring, point
+from tesserae.functions.geometry import box_ring, point, polygon_area
 from tesserae.functions.numeric import Affine
 from tesserae.operators import annotate as A
 from tesserae.operators import shapes as S
@@ -95,6 +96,7 @@ def customer_polygons(spark, folder):
         F.when(F.col("c_mktsegment") == "BUILDING", F.array(ring(star)))
         .when(F.col("c_mktsegment") == "MACHINERY", F.array(F.array(corners[0], corners[1], corners[0])))
         .when((F.col("c_mktsegment") == "HOUSEHOLD") & (F.col("c_acctbal") > 5000), F.array(ring(pentagon), far))
+        .when((F.col("c_mktsegment") == "HOUSEHOLD") & (F.col("c_acctbal") < 0), F.array(ring(pentagon), inner, box_ring(x - 1, y - 1, x + 1, y + 1)))
         .when(F.col("c_mktsegment") == "HOUSEHOLD", F.array(ring(pentagon), inner))
         .when(F.col("c_acctbal") < 0, F.array(ring(pentagon[:-1])))
         .otherwise(F.array(ring(pentagon)))
@@ -104,17 +106,29 @@ def customer_polygons(spark, folder):
 
 @query("validate_polygons", """
 SELECT c_custkey AS polygon_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'self_intersection' WHEN c_mktsegment = 'MACHINERY' THEN 'too_few_vertices'
-  WHEN c_mktsegment = 'HOUSEHOLD' THEN CASE WHEN c_acctbal > 5000 THEN 'hole_outside' END WHEN c_acctbal < 0 THEN 'not_closed' END AS problem FROM customer""")
+  WHEN c_mktsegment = 'HOUSEHOLD' THEN CASE WHEN c_acctbal > 5000 THEN 'hole_outside' WHEN c_acctbal < 0 THEN 'nested_holes' END
+  WHEN c_acctbal < 0 THEN 'not_closed' END AS problem FROM customer""")
 def validate_polygons(spark, folder):
     return G.validate_polygons(customer_polygons(spark, folder))
 
 
 @query("scan_shapes", """
-SELECT c_custkey AS instance_id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'too_few_vertices'
-  WHEN c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD') AND c_acctbal < 0 THEN 'not_closed' END AS problem FROM customer""")
+WITH rows AS (
+  SELECT c_custkey, CASE WHEN c_mktsegment = 'FURNITURE' AND c_acctbal > 9000 THEN NULL WHEN c_acctbal > 8000 THEN 1000000000 + c_nationkey ELSE c_custkey END AS instance_id,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN 'self_intersection' WHEN c_mktsegment = 'MACHINERY' THEN 'too_few_vertices'
+      WHEN c_mktsegment = 'HOUSEHOLD' THEN CASE WHEN c_acctbal > 5000 THEN 'hole_outside' WHEN c_acctbal < 0 THEN 'nested_holes' END
+      WHEN c_acctbal < 0 THEN 'not_closed' END AS polygon
+  FROM customer)
+SELECT c_custkey, instance_id, CASE WHEN instance_id IS NULL THEN 'missing_identity' WHEN polygon IS NOT NULL THEN polygon
+  WHEN count(*) OVER (PARTITION BY instance_id) > 1 THEN 'duplicate_identity' END AS problem FROM rows""")
 def scan_shapes(spark, folder):
-    shapes = customer_polygons(spark, folder).withColumnRenamed("polygon_id", "instance_id")
-    return T.scan_shapes(shapes).select("instance_id", "problem")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    shapes = customer_polygons(spark, folder).withColumnRenamed("polygon_id", "c_custkey").join(customers, "c_custkey")
+    identity = (
+        F.when((F.col("c_mktsegment") == "FURNITURE") & (F.col("c_acctbal") > 9000), F.lit(None).cast("long"))
+        .when(F.col("c_acctbal") > 8000, F.lit(1_000_000_000) + F.col("c_nationkey")).otherwise(F.col("c_custkey"))
+    )
+    return T.scan_shapes(shapes.withColumn("instance_id", identity.cast("long"))).select("c_custkey", "instance_id", "problem")
 
 
 def nested_boxes(spark, folder):
@@ -127,27 +141,40 @@ def nested_boxes(spark, folder):
         F.col("l_suppkey").alias("group_id"), F.col("l_linenumber").cast("long").alias("polygon_id"),
         F.array(box_ring(x, F.lit(5.0), x + 17 + F.pmod("p", F.lit(5)), F.lit(15.0))).alias("rings"),
     )
-    shells = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("group_id"), F.lit(0).cast("long").alias("polygon_id"),
-        F.array(box_ring(F.lit(0.0), F.lit(0.0), F.lit(163.0), F.lit(20.0))).alias("rings"),
-    )
-    return shells.unionByName(boxes)
+    lit = F.lit
+    shell = F.array(box_ring(lit(0.0), lit(0.0), lit(163.0), lit(20.0)), box_ring(lit(1.0), lit(1.0), lit(3.0), lit(3.0)))
+    suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("group_id"), F.pmod("s_nationkey", lit(5)).alias("kind"))
+
+    def extra(kind: int | None, polygon_id: int, rings) -> DataFrame:
+        rows = suppliers if kind is None else suppliers.where(F.col("kind") == kind)
+        return rows.select("group_id", lit(polygon_id).cast("long").alias("polygon_id"), rings.alias("rings"))
+
+    framed = F.array(box_ring(lit(5.0), lit(1.0), lit(15.0), lit(4.0)), box_ring(lit(6.0), lit(2.0), lit(7.0), lit(3.0)))
+    inner = F.array(box_ring(lit(1.5), lit(1.5), lit(2.0), lit(2.0)))
+    return extra(None, 0, shell).unionByName(boxes).unionByName(extra(1, 100, shell)).unionByName(extra(2, 101, framed)).unionByName(extra(3, 102, inner))
 
 
 NESTED_SQL = """
 boxes AS (SELECT l_suppkey AS g, l_linenumber AS k, l_linenumber * 20 + min(l_partkey) % 3 AS x0, l_linenumber * 20 + min(l_partkey) % 3 + 17 + min(l_partkey) % 5 AS x1
           FROM lineitem GROUP BY l_suppkey, l_linenumber),
-facts AS (SELECT s_suppkey AS g, (SELECT count(*) FROM boxes WHERE g = s_suppkey) AS n,
+facts AS (SELECT s_suppkey AS g, s_nationkey % 5 AS kind, (SELECT count(*) FROM boxes WHERE g = s_suppkey) + (s_nationkey % 5 IN (1, 2, 3))::INT AS n,
+          (SELECT coalesce(sum(x1 - x0), 0) FROM boxes WHERE g = s_suppkey) AS widths,
           (SELECT count(*) FROM boxes WHERE g = s_suppkey AND x1 >= 163) AS out_or_touch, (SELECT count(*) FROM boxes WHERE g = s_suppkey AND x1 > 163) AS outside,
-          (SELECT count(*) FROM boxes a JOIN boxes b ON a.g = b.g AND a.k < b.k WHERE a.g = s_suppkey AND a.x1 >= b.x0) AS meet FROM supplier)"""
+          (SELECT count(*) FROM boxes a JOIN boxes b ON a.g = b.g AND a.k < b.k WHERE a.g = s_suppkey AND a.x1 >= b.x0) AS meet FROM supplier),
+judged AS (SELECT *, CASE WHEN n = 0 THEN 'too_few_polygons' WHEN kind = 1 THEN 'ambiguous_shell' WHEN kind = 2 THEN 'hole_has_interiors'
+  WHEN outside > 0 THEN 'not_contained' WHEN out_or_touch > 0 THEN 'touches_shell' WHEN meet > 0 THEN 'overlap' WHEN kind = 3 THEN 'nested' END AS problem FROM facts)"""
 
 
 @query("assemble_holes", f"""
-WITH {NESTED_SQL} SELECT CAST(g AS BIGINT) AS group_id, CAST(0 AS BIGINT) AS shell_id, n AS n_holes,
-  CASE WHEN n = 0 THEN 'too_few_polygons' WHEN outside > 0 THEN 'not_contained' WHEN out_or_touch > 0 THEN 'touches_shell'
-       WHEN meet > 0 THEN 'overlap' END AS problem FROM facts""")
+WITH {NESTED_SQL} SELECT CAST(g AS BIGINT) AS group_id, CASE WHEN kind <> 1 THEN CAST(0 AS BIGINT) END AS shell_id, CAST(n AS BIGINT) AS n_holes, problem,
+  CASE WHEN problem IS NULL THEN n + 2 END AS n_rings, CASE WHEN problem IS NULL THEN (163 * 20 - 4 - widths * 10)::DOUBLE END AS area FROM judged""")
 def assemble_holes(spark, folder):
-    return G.assemble_holes(nested_boxes(spark, folder))
+    found = G.assemble_holes(nested_boxes(spark, folder))
+    made = F.col("rings").isNotNull()
+    return found.select(
+        "group_id", "shell_id", "n_holes", "problem", F.when(made, F.size("rings")).cast("long").alias("n_rings"),
+        F.when(made, F.round(polygon_area(F.col("rings")), 6)).alias("area"),
+    )
 
 
 @query("largest_polygon", """
@@ -166,13 +193,9 @@ def largest_polygon(spark, folder):
 
 
 @query("ellipse_to_polygon", """
-SELECT c_custkey AS instance_id, i AS vertex, round(c_acctbal + cos(i * 2 * pi() / 64) * 10 + sin(i * 2 * pi() / 64) * 0, 6) AS x,
-       round(c_nationkey + cos(i * 2 * pi() / 64) * 0 + sin(i * 2 * pi() / 64) * (1 + c_nationkey), 6) AS y
-FROM customer, (SELECT unnest(range(0, 65)) AS j), LATERAL (SELECT j % 64 AS k) WHERE false
-UNION ALL
-SELECT c_custkey, j, round(c_acctbal + cos((j % 64) * 2 * pi() / 64) * 10, 6), round(c_nationkey + sin((j % 64) * 2 * pi() / 64) * (1 + c_nationkey), 6)
-FROM customer, (SELECT unnest(range(0, 65)) AS j)""".split("UNION ALL")[1].replace("c_custkey,", "c_custkey AS instance_id,", 1)
-    .replace(" j,", " j AS vertex,", 1).replace("* 10, 6),", "* 10, 6) AS x,", 1).replace("(1 + c_nationkey), 6)", "(1 + c_nationkey), 6) AS y", 1))
+SELECT c_custkey AS instance_id, j AS vertex, round(c_acctbal + cos((j % 64) * 2 * pi() / 64) * 10, 6) AS x,
+  round(c_nationkey + sin((j % 64) * 2 * pi() / 64) * (1 + c_nationkey), 6) AS y
+FROM customer, (SELECT unnest(range(0, 65)) AS j)""")
 def ellipse_to_polygon(spark, folder):
     c = table(spark, folder, "customer")
     x, y, h = F.col("c_acctbal"), F.col("c_nationkey").cast("double"), F.col("c_nationkey") + 1.0

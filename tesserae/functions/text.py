@@ -31,9 +31,11 @@ def folded_name(name: Column) -> Column:
 
 
 def generated_suffix(value: Column, prefix: str) -> Column:
-    """The number N of an identifier `prefix_N`, null for any other identifier."""
+    """The number N of an identifier `prefix_N`, null for any other identifier; a number beyond 64 bits fails the query."""
     digits = F.regexp_extract(value, rf"^\Q{prefix}_\E(\d+)$", 1)
-    return F.when(F.length(digits) > 0, digits.try_cast("bigint"))
+    number = digits.try_cast("bigint")
+    too_large = F.raise_error(F.concat(F.lit("The number of a generated identifier is too large: "), value)).cast("bigint")
+    return F.when(F.length(digits) > 0, F.coalesce(number, too_large))
 
 
 def is_generated(value: Column, prefix: str) -> Column:
@@ -62,15 +64,12 @@ def styled_title(labels_name: Column, source_kind: Column, key: Column) -> Colum
     return F.concat(labels_name, F.lit("["), family, F.lit(":"), key, F.lit("]"))
 
 
-def bounded_detail(detail: Column, limit: int = 240) -> Column:
-    return F.left(detail, F.lit(limit))
-
-
 def thousands(count: Column) -> Column:
     return F.format_number(count.cast("long"), 0)
 
 
 def sampling_warning(loaded: Column, total: Column, budget: Column) -> Column:
+    # fixed value: the wording is part of the output
     return F.concat(
         F.lit("Showing "), thousands(loaded), F.lit(" of "), thousands(total),
         F.lit(" selected points because the render point budget is "), thousands(budget), F.lit("."),

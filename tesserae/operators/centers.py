@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.digest import DOMAIN, set_header_hex, sha256_of_hex, u64_hex
 from tesserae.functions.numeric import is_finite
-from tesserae.functions.text import bounded_detail
 from tesserae.scale import Sized, join_sized, settle
 
 KEYS = ["region", "instance_id"]
@@ -41,17 +40,15 @@ REGION_CODES = (
     "region_coordinates_invalid",
 )
 
-# A set digest needs its ids in one value. Above this many ids a region gets a tree digest instead.
-FLAT_DIGEST_IDS = 2_000_000
 BUCKET_BITS = 16
 
 
-def region_binding_digest(obs: DataFrame, *, domain: str = DOMAIN, flat_limit: int = FLAT_DIGEST_IDS) -> DataFrame:
+def region_binding_digest(obs: DataFrame, *, domain: str = DOMAIN) -> DataFrame:
     """Per region `n_obs, digest, problem` of its set of instance ids.
 
-    Ids are gathered in buckets of 65536 consecutive values, as sets, so that no buffer grows with the data. A region
-    within `flat_limit` concatenates its buckets to the plain digest (`sha256:`); a larger one hashes buckets, then
-    buckets of buckets, up to one root (`sha256-tree:`).
+    Ids are gathered in buckets of 65536 consecutive values, as sets, and hashed; buckets are hashed in buckets of buckets up
+    to one root, and the root with the header of the set. No buffer grows with the data, and a region has one kind of
+    digest whatever its size.
     """
     typed = obs.select("region", F.col("instance_id").cast("long").alias("id"))
     bucket = F.shiftright(F.col("id"), BUCKET_BITS)
@@ -70,15 +67,9 @@ def region_binding_digest(obs: DataFrame, *, domain: str = DOMAIN, flat_limit: i
     judged = settle(totals.select("region", "n_obs", problem.alias("problem")))
     body = F.array_join(F.transform(F.sort_array("ids"), u64_hex), "")
     level = join_sized(buckets, judged, "region").where("problem is null").select(
-        "region", "n_obs", "b", F.size("ids").alias("n"), body.alias("hex")
+        "region", "n_obs", "b", body.alias("hex")
     )
-    flat = level.where(F.col("n_obs") <= flat_limit).groupBy("region", "n_obs").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "hex"))), lambda s: s["hex"]), "").alias("hex")
-    )
-    flat = flat.select(
-        "region", F.concat(F.lit("sha256:"), sha256_of_hex(F.concat(set_header_hex(F.col("region"), F.col("n_obs"), domain), F.col("hex")))).alias("digest")
-    )
-    tree = level.where(F.col("n_obs") > flat_limit).select("region", "n_obs", "b", sha256_of_hex(F.col("hex")).alias("d"))
+    tree = level.select("region", "n_obs", "b", sha256_of_hex(F.col("hex")).alias("d"))
     for _ in range(64 // BUCKET_BITS - 1):
         tree = tree.groupBy("region", "n_obs", F.shiftright("b", BUCKET_BITS).alias("b")).agg(
             sha256_of_hex(
@@ -90,7 +81,7 @@ def region_binding_digest(obs: DataFrame, *, domain: str = DOMAIN, flat_limit: i
     tree = tree.select(
         "region", F.concat(F.lit("sha256-tree:"), sha256_of_hex(F.concat(set_header_hex(F.col("region"), F.col("n_obs"), domain), F.col("d")))).alias("digest")
     )
-    return judged.df.join(flat.unionByName(tree), "region", "left").select("region", "n_obs", "digest", "problem")
+    return judged.df.join(tree, "region", "left").select("region", "n_obs", "digest", "problem")
 
 
 # Registry ---------------------------------------------------------------------------------------------------------
@@ -195,7 +186,7 @@ def parse_entries(registry: DataFrame) -> DataFrame:
         & equals("$.calculation.method", METHOD) & equals("$.calculation.weighting", WEIGHTING) & equals("$.calculation.background_value", "0")
         & equals("$.calculation.pixel_coordinate_convention", PIXEL_CONVENTION) & equals("$.calculation.implementation", IMPLEMENTATION)
         & (algorithm > 0) & _keys_are(_text(e, "$.coverage"), ("scope", "n_obs", "instance_set_digest"))
-        & equals("$.coverage.scope", "all_rows_for_region") & (n_obs > 0) & digest.rlike("^sha256(-tree)?:[0-9a-f]{64}$")
+        & equals("$.coverage.scope", "all_rows_for_region") & (n_obs > 0) & digest.rlike("^sha256-tree:[0-9a-f]{64}$")
         & _keys_are(_text(e, "$.source"), ("element_path", "dims", "shape", "dtype"))
         & equals("$.source.element_path", F.concat(F.lit("labels/"), F.col("region"))) & equals("$.source.dims", '["y","x"]')
         & (F.size(shape) == 2) & F.forall(shape, lambda v: v > 0) & _text(e, "$.source.dtype").isin(*INTEGER_DTYPES)
@@ -256,7 +247,7 @@ def center_cache_state(
         "region",
         F.when(F.col("__top").isNotNull(), "invalid").when(F.col("entry_ok").isNull(), "partial")
         .when(codes != "", "stale").otherwise("valid").alias("state"),
-        bounded_detail(F.coalesce("__top", codes)).alias("codes"),
+        F.coalesce("__top", codes).alias("codes"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tesserae.functions.numeric import clip, finite_or_null, is_finite, unit_position
 from tesserae.functions.palette import (
-    DISTINCT_COLORS, NEUTRAL_COLOR, SOLID_POINT_COLOR, default_color, is_color,
+    DISTINCT_COLORS, NEUTRAL_COLOR, SOLID_POINT_COLOR, color_value, default_color, is_color,
 )
 from tesserae.scale import Sized, join_sized, number_rows, settle
 
@@ -98,12 +98,8 @@ def high_cardinality(df: DataFrame, value: str) -> DataFrame:
 
 
 def same_color(color: Column) -> Column:
-    """Colors in one spelling: lower case, eight hexadecimal digits, or the name."""
-    text = F.lower(color)
-    digits = F.regexp_extract(text, "^#([0-9a-f]+)$", 1)
-    doubled = F.regexp_replace(digits, "(.)", "$1$1")
-    long_form = F.when(F.length(digits).isin(3, 4), doubled).otherwise(digits)
-    return F.when(F.length(digits) > 0, F.concat(F.lit("#"), F.rpad(long_form, 8, "f"))).otherwise(text)
+    """Colors by value; what is no color keeps its spelling."""
+    return F.coalesce(color_value(color), color)
 
 
 def companion_palette(df: DataFrame, categories: DataFrame, value: str, color: str | None) -> DataFrame:
@@ -113,10 +109,11 @@ def companion_palette(df: DataFrame, categories: DataFrame, value: str, color: s
         return categories.select(
             "pos", "category", default_color(F.col("pos") + 1).alias("color"), F.lit("default_missing").alias("source")
         )
-    spelled = F.when(is_color(F.col(color)), same_color(F.col(color)))
-    per_category = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("category")).agg(
-        F.count(color).alias("n"), F.count(spelled).alias("n_valid"),
-        F.min(spelled).alias("low"), F.max(spelled).alias("high"), F.min_by(F.col(color), spelled).alias("color"),
+    spellings = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("category"), F.col(color).alias("color")).agg(F.lit(1).alias("one"))
+    spellings = spellings.withColumn("spelled", color_value(F.col("color")))
+    per_category = spellings.groupBy("category").agg(
+        F.count("color").alias("n"), F.count("spelled").alias("n_valid"),
+        F.min("spelled").alias("low"), F.max("spelled").alias("high"), F.min("color").alias("color"),
     )
     good = (F.col("n") > 0) & (F.col("n") == F.col("n_valid")) & (F.col("low") == F.col("high"))
     judged = join_sized(categories, settle(per_category.withColumn("good", good)), "category", "left").withColumn(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ UINT32_MAX = 4294967295
 DEFAULT_BUDGET = 100_000
 DEFAULT_SEED = 42
 FEW_LABELS = 64
+NAMED_UNKNOWN = 100
 
 
 def problem_of(rules: list[tuple[Column, str]]) -> Column:
@@ -179,9 +181,12 @@ def resolve_values(dictionary: ValueDictionary, requested: DataFrame | Sequence[
 
 
 def require_known_values(dictionary: ValueDictionary, requested: DataFrame | Sequence[str]) -> None:
-    unknown = [row[0] for row in unknown_values(dictionary.values, requested).orderBy("value").take(6)]
-    if unknown:
-        raise ValueError(f"Unknown selected point value(s): {', '.join(map(repr, unknown[:5]))}.")
+    missing = unknown_values(dictionary.values, requested)
+    number = missing.count()
+    if number:
+        named = [repr(row[0]) for row in missing.orderBy("value").take(NAMED_UNKNOWN)]
+        rest = f" and {number - len(named)} more" if number > len(named) else ""
+        raise ValueError(f"The dictionary lacks {number} requested value(s): {', '.join(named)}{rest}.")
 
 
 def filter_by_values(
@@ -269,9 +274,9 @@ def select_within_budget(
 ) -> Selection:
     """All selected points, or a seeded sample of at most `budget` of them.
 
-    The total is known from the dictionary, so a sample is thinned to about `budget` rows while scanning; only
+    The total is known from the dictionary, so a sample is thinned to little more than `budget` rows while scanning; only
     that remainder is ordered to cut it to size. With an identity column the choice depends on it and on the
-    seed alone, whatever the partitioning.
+    seed alone; without one it also depends on the partitioning, as repeated points can't be told apart.
     """
     if isinstance(budget, bool) or not isinstance(budget, int) or budget <= 0:
         raise ValueError("The render point budget must be a positive integer.")
@@ -282,13 +287,12 @@ def select_within_budget(
     points = filter_by_values(df, columns, dictionary, selected)
     sampled = total > budget
     if sampled:
-        fraction = budget / total
-        if columns.points_id:
-            priority = F.xxhash64(F.col(columns.points_id), F.lit(seed))
-            cut = min(int(-(2**63) + fraction * 2**64), 2**63 - 1)
-            points = points.withColumn("__priority", priority).where(F.col("__priority") < F.lit(cut))
-        else:
-            points = points.sample(fraction, seed).withColumn("__priority", F.rand(seed))
-        points = points.orderBy("__priority").limit(budget).drop("__priority")
+        # thinned to a little more than the budget (six standard deviations), so that the cut gives its exact size
+        fraction = (budget + 6 * math.sqrt(budget)) / total
+        key = [columns.points_id] if columns.points_id else [columns.y, columns.x, F.monotonically_increasing_id()]
+        priority = F.xxhash64(*key, F.lit(seed))
+        cut = min(int(-(2**63) + fraction * 2**64), 2**63 - 1)
+        points = points.withColumn("__priority", priority).where(F.col("__priority") <= F.lit(cut))
+        points = points.orderBy("__priority", columns.y, columns.x).limit(budget).drop("__priority")
     points = points.withColumns({c: F.col(c).cast("float") for c in (columns.y, columns.x)})
     return Selection(points, int(total), budget, sampled)

@@ -224,7 +224,7 @@ def crossing_polygons(polygons: DataFrame, id_column: str = "polygon_id", rings:
 
 def validate_polygons(polygons: DataFrame, id_column: str = "polygon_id", rings: str = "rings") -> DataFrame:
     """`id, problem` per polygon: empty, not_finite, not_closed, too_few_vertices, no_area, self_intersection,
-    ring_crossing or hole_outside; null for a valid polygon."""
+    ring_crossing, hole_outside or nested_holes; null for a valid polygon."""
     ring_problems = F.filter(F.transform(F.col(rings), ring_problem), lambda p: p.isNotNull())
     local = F.when(F.col(rings).isNull() | (F.size(rings) == 0), F.lit("empty")).otherwise(first(ring_problems))
     judged = polygons.select(id_column, rings, local.alias("local"))
@@ -233,14 +233,26 @@ def validate_polygons(polygons: DataFrame, id_column: str = "polygon_id", rings:
     shell = ring_edges(first(F.col(rings)))
     outside = F.exists(
         F.slice(F.col(rings), F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))),
-        lambda ring: F.exists(ring, lambda p: ~covers(shell, p["x"], p["y"])),
+        lambda ring: F.exists(_probes(ring), lambda p: ~covers(shell, p["x"], p["y"])),
     )
     stray = F.when(F.col("local").isNull() & (F.size(rings) > 1) & outside, F.lit("hole_outside"))
-    return judged.join(crossing, id_column, "left").select(
-        id_column, F.coalesce("local", "crossing", stray).alias("problem")
+    holes = sound.where(F.size(rings) > 2).select(id_column, F.posexplode(rings).alias("owner", "ring")).where("owner > 0")
+    holes = settle(holes).df
+    probes = holes.select(id_column, "owner", F.explode(_probes(F.col("ring"))).alias("p")).select(id_column, "owner", "p.x", "p.y")
+    nested = _strictly_inside_others(probes, holes.select(id_column, "owner", F.array("ring").alias("rings")), id_column)
+    nested = nested.distinct().withColumn("nested", F.lit("nested_holes"))
+    return judged.join(crossing, id_column, "left").join(nested, id_column, "left").select(
+        id_column, F.coalesce("local", "crossing", stray, "nested").alias("problem")
     )
 
 
+def _probes(ring: Column) -> Column:
+    """Vertices and edge middles of a ring."""
+    return F.concat(ring, F.transform(
+        ring_edges(ring), lambda s: F.struct(((s["x1"] + s["x2"]) / 2).alias("x"), ((s["y1"] + s["y2"]) / 2).alias("y"))
+    ))
+
+
 # Holes ------------------------------------------------------------------------------------------------------------
 
 
@@ -257,7 +269,9 @@ def largest_polygon(polygons: DataFrame, group: str = "group_id", id_column: str
 
 
 def assemble_holes(polygons: DataFrame, group: str = "group_id", id_column: str = "polygon_id", rings: str = "rings") -> DataFrame:
-    """Per group: the largest polygon as shell, the others as its holes. `shell_id, n_holes, problem`.
+    """Per group: the largest polygon as shell, the others as its holes. `shell_id, n_holes, problem, rings`.
+
+    `rings` is the assembled polygon of a group without a problem: the shell, the holes it had, and the new ones by id.
 
     Holes must lie strictly inside the shell without touching it; holes (those the shell has already included) may
     touch each other in points only and must not nest.
@@ -286,8 +300,7 @@ def assemble_holes(polygons: DataFrame, group: str = "group_id", id_column: str
     touches = contacts.where(with_rim)
     overlaps = contacts.where(~with_rim & (F.col("kind") != "touch")).select(group).unionByName(copies.select(group))
     # A vertex or an edge middle of one hole strictly inside another: nesting or overlap, found through shared cells.
-    middles = F.transform(ring_edges(F.col("ring")), lambda s: F.struct(((s["x1"] + s["x2"]) / 2).alias("x"), ((s["y1"] + s["y2"]) / 2).alias("y")))
-    probes = holes.select(group, "owner", F.explode(F.concat(F.col("ring"), middles)).alias("p")).select(group, "owner", "p.x", "p.y")
+    probes = holes.select(group, "owner", F.explode(_probes(F.col("ring"))).alias("p")).select(group, "owner", "p.x", "p.y")
     nested = _strictly_inside_others(probes, all_rings.where("owner <> 'shell'"), group)
     with_interiors = added.where(F.size(rings) > 1)
     findings = {
@@ -298,13 +311,16 @@ def assemble_holes(polygons: DataFrame, group: str = "group_id", id_column: str
         rows = found.select(group, F.lit(name).alias("finding"))
         listed = rows if listed is None else listed.unionByName(rows)
     flagged = listed.groupBy(group).agg(*[F.bool_or(F.col("finding") == name).alias(name) for name in findings])
-    judged = shells.join(flagged, group, "left")
-    return judged.select(
+    new = added.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(id_column).alias("k"), first(F.col(rings)).alias("ring")))).alias("__new"))
+    judged = shells.join(flagged, group, "left").join(shell_rows.select(group, "__rings"), group, "left").join(new, group, "left")
+    judged = judged.select(
         group, "shell_id", (F.col("n_polygons") - 1).alias("n_holes"),
+        F.concat("__rings", F.transform("__new", lambda s: s["ring"])).alias("rings"),
         F.when(F.col("n_polygons") < 2, "too_few_polygons").when(~F.col("is_unique"), "ambiguous_shell")
         .when(F.col("interiors"), "hole_has_interiors").when(F.col("outside") | F.col("leaves"), "not_contained")
         .when(F.col("touches"), "touches_shell").when(F.col("overlaps"), "overlap").when(F.col("nested"), "nested").alias("problem"),
     )
+    return judged.select(group, "shell_id", "n_holes", "problem", F.when(F.col("problem").isNull(), F.col("rings")).alias("rings"))
 
 
 def _strictly_inside_others(probes: DataFrame, polygons: DataFrame, group: str) -> DataFrame:

@@ -24,8 +24,6 @@ BROADCAST_BYTES = 128 << 20
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 4096
 HOT_ROWS = 2_000_000
-HOT_KEYS = 1000
-SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -56,16 +54,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def _width(kind: T.DataType, column: Column) -> Column:
+    """Estimated bytes of a value, from lengths alone."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        total = F.lit(8 * len(kind.fields))
+        for field in kind.fields:
+            if not _fixed(field.dataType):
+                total = total + _width(field.dataType, column[field.name])
+        return total
+    if isinstance(kind, T.ArrayType):
+        return F.lit(16) + _elements(kind.elementType, column)
+    if isinstance(kind, T.MapType):
+        return F.lit(32) + _elements(kind.keyType, F.map_keys(column)) + _elements(kind.valueType, F.map_values(column))
+    return F.lit(8)
+
+
+def _fixed(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_fixed(field.dataType) for field in kind.fields)
+    return not isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType))
+
+
+def _elements(kind: T.DataType, values: Column) -> Column:
+    if _fixed(kind):
+        return F.coalesce(F.size(values), F.lit(0)) * (8 * len(kind.fields) if isinstance(kind, T.StructType) else 8)
+    total = F.aggregate(values, F.lit(0).cast("long"), lambda sum_, v: sum_ + _width(kind, v).cast("long"))
+    return F.coalesce(total, F.lit(0))
+
+
 def _row_bytes(df: DataFrame) -> Column:
     total = F.lit(16)
     for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            total = total + F.coalesce(F.octet_length(column), F.lit(0)) + 16
-        elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            total = total + F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)) + 32
-        else:
-            total = total + 8
+        total = total + _width(field.dataType, F.col(f"`{field.name}`"))
     return F.sum(total.cast("long"))
 
 
@@ -87,22 +109,26 @@ def settle(df: DataFrame) -> Sized:
 def spread_hot_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Add a `__salt` key to both sides so that no key of `left` stays in one task.
 
-    At most `HOT_KEYS` keys with more than `HOT_ROWS` rows each are looked up (no other key can hold more than
-    1/HOT_KEYS of the rows). Their left rows are salted by the input partition they come from: that does not change
-    when a task is retried, and it also separates identical copies, which a hash of the row would not. Their right
-    rows are repeated per salt. Missing keys match nothing and are spread likewise.
+    Keys with more than `HOT_ROWS` rows get one salt for each `HOT_ROWS` of them. Their left rows are salted by the input
+    partition they come from: that does not change when a task is retried, and it also separates identical copies, which
+    a hash of the row would not. Their right rows are repeated per salt. The list of hot keys is broadcast: it is counted,
+    and the level of heat is doubled until it is small enough. Missing keys match nothing and are spread likewise.
     """
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS)
-    hot = settle(counts.orderBy(F.desc("__n")).limit(HOT_KEYS).select(*keys, F.lit(True).alias("__hot"))).df
-    part = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    hot, level = settle(counts), HOT_ROWS
+    while not hot.broadcastable:
+        level *= 2
+        hot = settle(hot.df.where(F.col("__n") > level))
+    listed = F.broadcast(hot.df.select(*keys, F.ceil(F.col("__n") / HOT_ROWS).cast("int").alias("__salts")))
+    part = F.spark_partition_id()
     absent = F.lit(False)
     for key in keys:
         absent = absent | F.col(key).isNull()
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "__salt", F.when(absent | F.col("__hot"), part).otherwise(F.lit(0))
-    ).drop("__hot")
-    repeats = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(repeats)).drop("__hot")
+    salted = left.join(listed, keys, "left").withColumn(
+        "__salt", F.when(absent, part).when(F.col("__salts") > 1, F.pmod(part, F.col("__salts"))).otherwise(F.lit(0))
+    ).drop("__salts")
+    repeats = F.when(F.col("__salts") > 1, F.sequence(F.lit(0), F.col("__salts") - 1)).otherwise(F.array(F.lit(0)))
+    repeated = right.join(listed, keys, "left").withColumn("__salt", F.explode(repeats)).drop("__salts")
     return salted, repeated
 
 
@@ -119,8 +145,7 @@ def join_sized(left: DataFrame, right: DataFrame | Sized, on: str | list[str], h
 def _string_splits(df: DataFrame, column: str, ranges: int, rows: int) -> list[str]:
     """About `ranges` split points of a column of distinct strings, picked by hash, so they are repeatable."""
     keep = F.pmod(F.xxhash64(F.col(column)), F.lit(max(1, rows // ranges))) == 0
-    picked = df.where(keep).select(column).orderBy(column).limit(4 * ranges)
-    return [row[0] for row in picked.collect()]
+    return sorted(row[0] for row in df.where(keep).select(column).collect())  # about `ranges` of them
 
 
 def order_splits(source: DataFrame | Sized, column: str, rows_per_range: int | None = None) -> list:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import first, polygon_area, ring_problem
+from tesserae.scale import join_sized
 
 
 @dataclass(frozen=True)
@@ -70,17 +70,20 @@ def scan_obs_table(df: DataFrame, linkage: Linkage) -> DataFrame:
 
 
 def scan_shapes(df: DataFrame, id_column: str = "instance_id", rings: str = "rings") -> DataFrame:
-    """Shapes with `problem`: null for a row fit for editing (identity present, one valid polygon with area).
+    """Shapes with `problem`: null for a row fit for editing, which has an identity of its own and one valid polygon.
 
-    Uniqueness of the identity is a property of the whole element: see `duplicate_shape_ids`.
+    Else missing_identity, what `validate_polygons` says, or duplicate_identity. Equal rings are checked once.
     """
-    found = first(F.filter(F.transform(F.col(rings), ring_problem), lambda p: p.isNotNull()))
-    problem = (
-        F.when(F.col(id_column).isNull(), F.lit("missing_identity"))
-        .when(F.col(rings).isNull() | (F.size(rings) == 0), F.lit("empty"))
-        .otherwise(F.coalesce(found, F.when(polygon_area(F.col(rings)) <= 0, F.lit("no_area"))))
-    )
-    return df.withColumn("problem", problem)
+    from tesserae.operators.spatial import validate_polygons
+
+    keyed = df.withColumn("__shape", F.xxhash64(rings))
+    shapes = keyed.select("__shape", rings).dropDuplicates(["__shape"])
+    judged = validate_polygons(shapes, "__shape", rings).withColumnRenamed("problem", "__polygon")
+    repeated = duplicate_shape_ids(df.where(F.col(id_column).isNotNull()), id_column).select(id_column, F.lit("duplicate_identity").alias("__repeated"))
+    found = join_sized(join_sized(keyed, judged, "__shape", "left"), repeated, id_column, "left")
+    missing = F.when(F.col(id_column).isNull(), F.lit("missing_identity"))
+    problem = F.coalesce(missing, "__polygon", "__repeated")
+    return found.withColumn("problem", problem).select(*df.columns, "problem")
 
 
 def duplicate_shape_ids(df: DataFrame, id_column: str = "instance_id") -> DataFrame:
