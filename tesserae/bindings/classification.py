@@ -68,18 +68,38 @@ def training_classes(spark, folder):
     return C.training_classes(C.resolve_scopes(objects(spark, folder), None, ["left"]))
 
 
-@query("train_classifier")
+def checked_predictions(predicted, scoped):
+    """Per predicted object, whether its class was one to learn and its confidence is the largest of that many shares."""
+    learned = scoped.where("train_eligible and user_class is not null").agg(F.collect_set("user_class")).scalar()
+    known = F.array_contains(learned, F.col("pred_class"))
+    sure = F.col("pred_confidence").between(1 / F.size(learned) - 1e-9, F.lit(1.0))
+    return predicted.select("region", "instance_id", known.alias("class_is_known"), sure.alias("confidence_is_share"))
+
+
+@query("train_classifier", f"""
+WITH {OBJECT_SQL} SELECT region, instance_id, true AS class_is_known, true AS confidence_is_share FROM objects WHERE valid""")
 def train_classifier(spark, folder):
     scoped = C.resolve_scopes(objects(spark, folder), None, None)
     trained = C.train_classifier(scoped, [f"f{i}" for i in range(64)], trees=20)
-    return C.predict_classifier(objects(spark, folder), trained)
+    return checked_predictions(C.predict_classifier(objects(spark, folder), trained), scoped)
 
 
-@query("predict_classifier")
+@query("predict_classifier", f"""
+WITH {OBJECT_SQL} SELECT region, instance_id, true AS class_is_known, true AS confidence_is_share FROM objects WHERE valid AND region = 'right'""")
 def predict_classifier(spark, folder):
     scoped = C.resolve_scopes(objects(spark, folder), ["left"], ["right"])
     trained = C.train_classifier(scoped, [f"f{i}" for i in range(64)], trees=20)
-    return C.predict_classifier(objects(spark, folder).where("region = 'right'"), trained)
+    return checked_predictions(C.predict_classifier(objects(spark, folder).where("region = 'right'"), trained), scoped)
+
+
+@query("classify_separable", f"""
+WITH {OBJECT_SQL} SELECT region, instance_id, CASE WHEN region = 'left' THEN 1 ELSE 2 END AS pred_class FROM objects""")
+def classify_separable(spark, folder):
+    """Features of two values that give the class away are learned exactly."""
+    rows = objects(spark, folder).withColumn("features", F.array(F.when(F.col("region") == "left", 0.0).otherwise(1.0), F.lit(3.0)))
+    labeled = rows.withColumn("user_class", F.when(F.col("region") == "left", F.lit(1)).otherwise(F.lit(2)).cast("long"))
+    trained = C.train_classifier(C.resolve_scopes(labeled, None, None), ["side", "constant"], trees=8)
+    return C.predict_classifier(rows, trained).select("region", "instance_id", F.col("pred_class").cast("int").alias("pred_class"))
 
 
 PREDICTED_SQL = OBJECT_SQL + """,
@@ -192,7 +212,13 @@ def item_objects(spark, folder):
     return pixels.select("region", F.col("label").alias("instance_id")).distinct(), pixels
 
 
-@query("apply_model")
+ITEM_OBJECT_SQL = """
+items AS (SELECT DISTINCT l_returnflag AS region, l_suppkey AS instance_id FROM lineitem WHERE l_suppkey > 0)"""
+
+
+@query("apply_model", f"""
+WITH {ITEM_OBJECT_SQL} SELECT region, count(*) AS objects, CASE WHEN region = 'A' THEN 0 ELSE count(*) END AS predicted,
+  CASE WHEN region = 'A' THEN 0 ELSE count(*) END AS of_known_classes FROM items GROUP BY region""")
 def apply_model(spark, folder):
     """Train on one region whose classes follow from its features, then apply to the two others."""
     obs, pixels = item_objects(spark, folder)
@@ -203,16 +229,25 @@ def apply_model(spark, folder):
     written, _ = apply_classifier_to_pixels(
         obs, pixels, trained, ["N", "R"], ["A", "N", "R"], channels=["O", "F"], intensity=intensity, morphology=morphology
     )
-    return written
+    known = F.col("pred_class").isin(*trained.class_ids) & F.col("pred_confidence").between(0.5, 1.0)
+    return written.groupBy("region").agg(
+        F.count(F.lit(1)).alias("objects"), F.count("pred_class").alias("predicted"), F.count_if(known).alias("of_known_classes")
+    )
 
 
-@query("apply_config")
+@query("apply_config", f"""
+WITH {ITEM_OBJECT_SQL} SELECT true AS applied, CAST(NULL AS VARCHAR) AS classifier_path, '{{"trees":"5","seed":"{C.SEED}"}}' AS source_classifier_config,
+  'table' AS table_name, 'features' AS feature_key, 'N' AS regions, count(*) AS n_predicted_rows, 0 AS n_skipped_feature_invalid_rows,
+  'pred_class' AS pred_class_column, 'pred_confidence' AS pred_confidence_column, true AS stamp_is_utc FROM items WHERE region = 'N'""")
 def apply_config(spark, folder):
     obs, pixels = item_objects(spark, folder)
     features, names = feature_matrix(pixels, ["O", "F"], ["mean"], [])
     labeled = features.withColumn("user_class", F.when(F.col("features")[0] > 52000, F.lit(2)).otherwise(F.lit(1)))
     trained = C.train_classifier(C.resolve_scopes(labeled, None, None), names, trees=5)
-    return apply_classifier_to_pixels(obs, pixels, trained, ["N"], ["A", "N", "R"], channels=["O", "F"], intensity=["mean"])[1].drop("apply_timestamp")
+    row = apply_classifier_to_pixels(obs, pixels, trained, ["N"], ["A", "N", "R"], channels=["O", "F"], intensity=["mean"])[1]
+    stamp = F.col("apply_timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$")
+    recent = F.abs(F.unix_timestamp(F.to_timestamp("apply_timestamp")) - F.unix_timestamp(F.current_timestamp())) < 86400
+    return row.withColumn("regions", F.array_join("prediction_regions", ",")).withColumn("stamp_is_utc", stamp & recent).drop("apply_timestamp", "prediction_regions")
 
 
 def annotated(spark, folder):

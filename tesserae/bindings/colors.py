@@ -65,7 +65,7 @@ SELECT * FROM (VALUES ('doc_id', 'instance'), ('quality', 'categorical'), ('toxi
   ('lang', 'categorical'), ('share', 'continuous'), ('long', 'categorical'), ('nothing', 'none')) t("column", kind)
 WHERE (SELECT count(DISTINCT quality) FROM labels) = 2""")
 def classify_column_kind(spark, folder):
-    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").select(
+    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left").select(
         "doc_id", "quality", "toxic", "n_chars", "lang", (F.col("n_chars") / 1000).alias("share"),
         (F.col("n_chars") > 500).alias("long"), F.when(F.col("n_chars") < 0, "x").alias("nothing"),
         F.lit("#fff").alias("lang_color"),

@@ -147,10 +147,18 @@ def percentiles(spark, folder):
     return H.percentiles(H.exclude_values(values), [0, 1, 25, 50, 99.5, 100, 25]).withColumn("value", F.round("value", 6))
 
 
-@query("percentiles_approximate")
+@query("percentiles_approximate", "SELECT unnest([1.0::DOUBLE, 50, 99]) AS p, (SELECT count(*) FROM lineitem) AS n, true AS rank_is_near")
 def percentiles_approximate(spark, folder):
+    """The share of values below each percentile is off by a thousandth at most."""
     values = table(spark, folder, "lineitem").select(F.col("l_extendedprice").alias("value"))
-    return H.approximate_percentiles(H.exclude_values(values), [1, 50, 99])
+    found = H.approximate_percentiles(H.exclude_values(values), [1, 50, 99])
+    three = found.agg(F.collect_list(F.struct(F.col("q").cast("double").alias("p"), F.col("value").alias("at")))).scalar()
+    ends = values.select("value", F.inline(three))
+    shares = ends.groupBy("p").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("value") < F.col("at")).cast("int")).alias("below"),
+        F.avg((F.col("value") <= F.col("at")).cast("int")).alias("up_to"),
+    )
+    return shares.select("p", "n", ((F.col("below") <= F.col("p") / 100 + 0.001) & (F.col("up_to") >= F.col("p") / 100 - 0.001)).alias("rank_is_near"))
 
 
 @query("canonical_centers", f"""
@@ -166,11 +174,13 @@ def canonical_centers(spark, folder):
 
 
 @query("missing_centers", f"""
-WITH {PIXEL_SQL} SELECT 'A' AS region, CAST(s_suppkey AS BIGINT) AS instance_id FROM supplier
-WHERE s_suppkey NOT IN (SELECT label FROM pixels WHERE region = 'A')""")
+WITH {PIXEL_SQL}, requested AS (SELECT DISTINCT l_returnflag AS region, CAST(s_suppkey AS BIGINT) AS instance_id
+                                FROM supplier, (SELECT DISTINCT l_returnflag FROM lineitem))
+SELECT r.region, instance_id FROM requested r WHERE NOT EXISTS (SELECT 1 FROM pixels p WHERE p.region = r.region AND p.label = r.instance_id)""")
 def missing_centers(spark, folder):
-    suppliers = table(spark, folder, "supplier").select(F.lit("A").alias("region"), F.col("s_suppkey").alias("instance_id"))
-    return X.missing_centers(X.canonical_centers(foreground(spark, folder), suppliers))
+    suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("instance_id"))
+    regions = F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("region")
+    return X.missing_centers(X.canonical_centers(foreground(spark, folder), suppliers.select(regions, "instance_id")))
 
 
 def _channel_sql(channel: str) -> str:
@@ -222,6 +232,19 @@ def morphology_features(spark, folder):
     return features.withColumns({c: F.round(c, 6) for c in features.columns if c not in ("region", "label", "area")})
 
 
-@query("morphology_hull_features")
+@query("morphology_hull_features", f"""
+WITH {PIXEL_SQL} SELECT region, label, count(*) AS area, true AS hull_holds_object, true AS residual_is_share, true AS full_boxes_have_their_area
+FROM plain GROUP BY ALL""")
 def morphology_hull_features(spark, folder):
-    return X.morphology_features(foreground(spark, folder))
+    """A hull has at least the pixels of its object; what it adds is a share; a filled box is its own hull."""
+    pixels = foreground(spark, folder)
+    boxes = pixels.groupBy("region", "label").agg(
+        ((F.max("y") - F.min("y") + 1) * (F.max("x") - F.min("x") + 1) == F.count(F.lit(1))).alias("full")
+    )
+    rows = X.morphology_features(pixels).join(boxes, ["region", "label"])
+    hull, area = F.col("convex_area"), F.col("area")
+    return rows.select(
+        "region", "label", area.cast("long").alias("area"), (hull >= area).alias("hull_holds_object"),
+        (F.abs(F.col("convex_hull_resid") - (hull - area) / hull) < 1e-9).alias("residual_is_share"),
+        (~F.col("full") | (hull == area)).alias("full_boxes_have_their_area"),
+    )

@@ -92,6 +92,35 @@ def validate_points(spark, folder):
     return P.validate_points(event_points(spark, folder), EVENTS)
 
 
+def faulty_points(spark, folder):
+    """Events with infinite and missing coordinates, blank and missing labels and missing ids, by their attributes."""
+    user, kind = F.col("user_id"), F.col("event_type")
+    x = F.when(user % 11 == 0, F.lit(float("nan"))).when(user % 13 == 0, F.lit(float("-inf"))).when(user % 17 != 0, user.cast("double"))
+    y = F.when(F.col("value") > 50, F.lit(float("inf"))).otherwise(F.col("value"))
+    label = F.when(kind == "error", F.lit(None).cast("string")).when(kind == "click", F.lit(" \t\u00a0")).otherwise(kind)
+    return table(spark, folder, "events").select(
+        x.alias("x"), y.alias("y"), label.alias("gene"), F.when(user % 19 != 0, F.col("event_id")).alias("points_id")
+    )
+
+
+FAULTY_SQL = """
+SELECT count(*) AS n_points, count_if(user_id % 11 = 0 OR user_id % 13 = 0 OR user_id % 17 = 0) AS bad_x, count_if(value > 50 OR value IS NULL) AS bad_y,
+  count_if(event_type = 'error') AS missing_label, count_if(event_type = 'click') AS empty_label"""
+
+
+@query("validate_points_faulty", FAULTY_SQL + """, count_if(user_id % 19 = 0) AS missing_id,
+  count(DISTINCT CASE WHEN user_id % 19 <> 0 THEN event_id END) AS distinct_ids, 'bad_x' AS problem FROM events""")
+def validate_points_faulty(spark, folder):
+    return P.validate_points(faulty_points(spark, folder), EVENTS)
+
+
+@query("fused_validation_faulty", FAULTY_SQL + """, 'bad_x' AS problem FROM events""")
+def fused_validation_faulty(spark, folder):
+    plain = PointColumns(x="x", y="y", label="gene")
+    found = P.validation_of_profile(P.profile_points(faulty_points(spark, folder), plain).df, plain)
+    return found.select("n_points", "bad_x", "bad_y", "missing_label", "empty_label", "problem")
+
+
 @query("validate_points_duplicate_id", """
 SELECT count(*) AS n_points, count(*) - count(l_extendedprice) AS bad_x, count(*) - count(l_quantity) AS bad_y,
        count(*) - count(l_returnflag) AS missing_label, 0 AS empty_label, 0 AS missing_id,
@@ -158,10 +187,21 @@ def sort_selection(spark, folder):
     return P.sort_selection(P.resolve_values(dictionary, ["N-O", "A-F"]))
 
 
-@query("select_within_budget")
+@query("select_within_budget", """
+SELECT least(count(*), 500) AS loaded, least(count(*), 500) AS distinct_ids, least(count(*), 500) AS from_source, least(count(*), 500) AS known_values
+FROM events""")
 def select_within_budget(spark, folder):
+    """A sample has exactly the size of the budget, no row twice, and only rows and values of the source."""
     points = event_points(spark, folder)
-    return P.select_within_budget(points, EVENTS, P.value_dictionary(points, "gene"), budget=500).points
+    dictionary = P.value_dictionary(points, "gene")
+    chosen = P.select_within_budget(points, EVENTS, dictionary, budget=500).points
+    source = points.select("points_id", F.col("x").cast("float").alias("sx"), F.col("y").cast("float").alias("sy"), F.col("gene").alias("source_gene"))
+    both = chosen.join(source, "points_id", "left").join(dictionary.values.select(F.col("value_id"), F.col("value").alias("named")), "value_id", "left")
+    same = F.col("x").eqNullSafe(F.col("sx")) & F.col("y").eqNullSafe(F.col("sy")) & (F.col("gene") == F.col("source_gene"))
+    return both.agg(
+        F.count(F.lit(1)).alias("loaded"), F.count_distinct("points_id").alias("distinct_ids"), F.count_if(same).alias("from_source"),
+        F.count_if(F.col("gene") == F.col("named")).alias("known_values"),
+    )
 
 
 @query("select_within_budget_exact", """

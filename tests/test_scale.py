@@ -35,7 +35,7 @@ def test_hot_and_missing_keys_are_spread_without_changing_the_join(spark, monkey
     left = spark.createDataFrame(rows, "k string, v long").repartition(6)
     right = spark.createDataFrame([("hot", "H"), ("k3", "T"), ("k3", "U")], "k string, w string")
     want = sorted(map(str, left.join(right, "k", how).collect()))
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(scale, "HOT_ROWS", 100)
     assert sorted(map(str, scale.join_sized(left, right, "k", how).collect())) == want
     salted, repeated = scale.spread_hot_keys(left, right, ["k"])
