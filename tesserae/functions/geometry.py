@@ -115,11 +115,6 @@ def on_boundary(edges: Column, x: Column, y: Column) -> Column:
     return F.exists(edges, lambda s: on_edge(s, x, y))
 
 
-def strictly_inside(edges: Column, x: Column, y: Column) -> Column:
-    odd = F.aggregate(edges, F.lit(0), lambda n, s: n + crosses_ray(s, x, y).cast("int")) % 2 == 1
-    return odd & ~on_boundary(edges, x, y)
-
-
 def covers(edges: Column, x: Column, y: Column) -> Column:
     """Boundary counts as in, the inside of a hole as out, the rim of a hole as in."""
     odd = F.aggregate(edges, F.lit(0), lambda n, s: n + crosses_ray(s, x, y).cast("int")) % 2 == 1
@@ -133,6 +128,37 @@ def edges_in_slab(edges: Column, low: Column, high: Column) -> Column:
     )
 
 
+def edges_between(edges: Column, low: Column, high: Column) -> Column:
+    """Edges whose extent in x touches the interval."""
+    return F.filter(edges, lambda s: (F.greatest(s["x1"], s["x2"]) >= low) & (F.least(s["x1"], s["x2"]) <= high))
+
+
+def crosses_upward(s: Column, x: Column, y: Column) -> Column:
+    """The edge meets the vertical ray that starts at the point and runs upward. A point on the edge's line is taken to lie
+    to the right of it, as in `crosses_ray`, so that both rays tell the same parity."""
+    straddles = (s["x1"] > x) != (s["x2"] > x)
+    side, rising, forward = cross(s, x, y), s["y2"] > s["y1"], s["x2"] > s["x1"]
+    left = F.when(rising, side > 0).otherwise(side < 0)
+    level = F.when(forward, side < 0).otherwise(side > 0)
+    below = F.when(s["y1"] == s["y2"], level).when(rising == forward, ~left).otherwise(left)
+    return straddles & below
+
+
+def odd_at(edges: Column, x: Column, y: Column) -> Column:
+    """Whether the ray to the right of the point meets an odd number of edges."""
+    return F.aggregate(edges, F.lit(0), lambda n, s: n + crosses_ray(s, x, y).cast("int")) % 2 == 1
+
+
+def odd_in_cell(edges: Column, base: Column, x: Column, y: Column, ref_x: Column, ref_y: Column) -> Column:
+    """The parity of a point from that of its cell's reference point, `base`: the path between them, along y and then along
+    x, stays in the cell, so only edges that touch the cell can change it."""
+    changes = F.aggregate(
+        edges, F.lit(0), lambda n, s: n + (crosses_ray(s, x, y) != crosses_ray(s, ref_x, y)).cast("int")
+        + (crosses_upward(s, ref_x, y) != crosses_upward(s, ref_x, ref_y)).cast("int"),
+    )
+    return base != (changes % 2 == 1)
+
+
 def ring_problem(ring: Column) -> Column:
     """First failed rule of a ring that must be closed, finite and enclose an area (self-crossing is separate)."""
     distinct = F.size(F.array_distinct(ring))

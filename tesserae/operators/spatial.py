@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import (
-    bounds, covers, cross, edges_in_slab, first, polygon_area, polygon_edges, ring_edges, ring_problem, strictly_inside,
-    transform_rings,
+    bounds, covers, cross, edges_between, edges_in_slab, first, odd_at, odd_in_cell, on_boundary, polygon_area, polygon_edges, ring_edges,
+    ring_problem, transform_rings,
 )
 from tesserae.functions.numeric import Affine
 from tesserae.scale import join_sized, settle, spread_hot_keys
@@ -36,9 +36,10 @@ def bbox_prefilter(points: DataFrame, box: Sequence[float], x: str = "x", y: str
     return points.where(F.col(x).between(min_x, max_x) & F.col(y).between(min_y, max_y))
 
 
-def size_level(extent: Column) -> Column:
+def size_level(extent: Column, cells: Column | None = None) -> Column:
     """Power of two of the cell size for something of this extent."""
-    found = F.ceil(F.log2(F.greatest(extent, F.lit(2.0**SMALLEST_LEVEL)) / F.lit(float(CELLS_PER_AXIS)))).cast("int")
+    cells = F.lit(float(CELLS_PER_AXIS)) if cells is None else cells
+    found = F.ceil(F.log2(F.greatest(extent, F.lit(2.0**SMALLEST_LEVEL)) / cells)).cast("int")
     return F.greatest(found, F.lit(SMALLEST_LEVEL))
 
 
@@ -50,19 +51,34 @@ def _cells(low: Column, high: Column, size: Column) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
+def _reference(cell_x: Column, cell_y: Column, size: Column) -> tuple[Column, Column]:
+    """A point in a cell whose coordinates those of polygons hardly ever share."""
+    return (cell_x + F.lit(0.6180339887498949)) * size, (cell_y + F.lit(0.41421356237309503)) * size
+
+
 def polygon_cells(polygons: DataFrame, rings: str = "rings") -> DataFrame:
-    """Polygons repeated per covered cell: `__level, __cx, __cy`, box, and only the edges that matter in that row of cells."""
+    """Polygons repeated per cell they reach into: `__level, __cx, __cy`, box, the `edges` that touch the cell, and `base`,
+    whether the cell's reference point is inside.
+
+    There are about as many cells as edges, so a point meets few edges however many the polygon has, and none away from
+    the boundary. Cells that are wholly outside are left out.
+    """
     others = [c for c in polygons.columns if c != rings]
     boxed = polygons.where(F.size(rings) > 0).select(
         *others, bounds(F.col(rings)).alias("__b"), polygon_edges(F.col(rings)).alias("__edges")
     ).select(*others, "__b.*", "__edges")
-    sized = boxed.withColumn("__level", size_level(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))))
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    sized = boxed.withColumn("__level", size_level(extent, F.greatest(F.lit(float(CELLS_PER_AXIS)), F.sqrt(F.size("__edges")))))
     size = cell_size(F.col("__level"))
     by_row = sized.withColumn("__cy", F.explode(_cells(F.col("min_y"), F.col("max_y"), size)))
     slab = edges_in_slab(F.col("__edges"), F.col("__cy") * size, (F.col("__cy") + 1) * size)
-    return by_row.withColumn("edges", slab).withColumn(
-        "__cx", F.explode(_cells(F.col("min_x"), F.col("max_x"), size))
-    ).drop("__edges")
+    by_row = by_row.withColumn("__slab", slab).drop("__edges")
+    by_cell = by_row.withColumn("__cx", F.explode(_cells(F.col("min_x"), F.col("max_x"), size)))
+    by_cell = by_cell.withColumns({
+        "edges": edges_between(F.col("__slab"), F.col("__cx") * size, (F.col("__cx") + 1) * size),
+        "base": odd_at(F.col("__slab"), *_reference(F.col("__cx"), F.col("__cy"), size)),
+    })
+    return by_cell.drop("__slab").where((F.size("edges") > 0) | F.col("base"))
 
 
 def _visit(points: DataFrame, levels: Sequence[int], x: str, y: str) -> DataFrame:
@@ -84,7 +100,7 @@ def points_in_polygons(
     per cell size, so duplicates are removed only if several sizes are in use, and among matches only.
     """
     shapes = polygons if affine is None else polygons.withColumn(rings, transform_rings(F.col(rings), affine))
-    cells = settle(polygon_cells(shapes, rings).select(*by, "__level", "__cx", "__cy", "min_x", "max_x", "min_y", "max_y", "edges"))
+    cells = settle(polygon_cells(shapes, rings).select(*by, "__level", "__cx", "__cy", "min_x", "max_x", "min_y", "max_y", "edges", "base"))
     found = cells.df.agg(
         F.sort_array(F.collect_set("__level")).alias("levels"), F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")
     ).first()
@@ -96,14 +112,15 @@ def points_in_polygons(
     if not cells.broadcastable:
         near, cell_side = spread_hot_keys(near, cell_side, keys)
         keys = [*keys, "__salt"]
-    limits = ("min_x", "max_x", "min_y", "max_y", "edges")
+    limits = ("min_x", "max_x", "min_y", "max_y", "edges", "base")
     cell_side = cell_side.select(*[F.col(k).alias(f"{k}_side") for k in keys], *[F.col(c).alias(f"__{c}") for c in limits])
     condition = F.lit(True)
     for k in keys:
         condition = condition & (F.col(k) == F.col(f"{k}_side"))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     condition = condition & px.between(F.col("__min_x"), F.col("__max_x")) & py.between(F.col("__min_y"), F.col("__max_y"))
-    condition = condition & covers(F.col("__edges"), px, py)
+    reference = _reference(F.col("__cx"), F.col("__cy"), cell_size(F.col("__level")))
+    condition = condition & (odd_in_cell(F.col("__edges"), F.col("__base"), px, py, *reference) | on_boundary(F.col("__edges"), px, py))
     side = F.broadcast(cell_side) if cells.broadcastable else cell_side
     matched = near.join(side, condition, "left_semi").drop("__level", "__cx", "__cy", "__salt")
     return matched if len(found["levels"]) == 1 else matched.dropDuplicates(list(ids))
@@ -324,12 +341,14 @@ def assemble_holes(polygons: DataFrame, group: str = "group_id", id_column: str
 
 
 def _strictly_inside_others(probes: DataFrame, polygons: DataFrame, group: str) -> DataFrame:
-    cells = settle(polygon_cells(polygons).select(group, F.col("owner").alias("other"), "__level", "__cx", "__cy", "min_x", "max_x", "min_y", "max_y", "edges"))
+    cells = settle(polygon_cells(polygons).select(group, F.col("owner").alias("other"), "__level", "__cx", "__cy", "min_x", "max_x", "min_y", "max_y", "edges", "base"))
     levels = [r[0] for r in cells.df.select("__level").distinct().collect()]
     if not levels:
         return probes.select(group).limit(0)
+    reference = _reference(F.col("__cx"), F.col("__cy"), cell_size(F.col("__level")))
     inside = (
         F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
-        & (F.col("owner") != F.col("other")) & strictly_inside(F.col("edges"), F.col("x"), F.col("y"))
+        & (F.col("owner") != F.col("other")) & odd_in_cell(F.col("edges"), F.col("base"), F.col("x"), F.col("y"), *reference)
+        & ~on_boundary(F.col("edges"), F.col("x"), F.col("y"))
     )
     return join_sized(_visit(probes, levels, "x", "y"), cells, [group, "__level", "__cx", "__cy"]).where(inside).select(group)

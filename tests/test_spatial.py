@@ -237,3 +237,26 @@ def test_one_copied_id_over_many_rows_and_ranges(spark, monkeypatch):
     rows = ids(spark, ["__annotation_2"] * 300)
     got = [r.instance_id for r in S.generate_ids(rows.repartition(4)).orderBy("row_pos").collect()]
     assert got == ["__annotation_2"] + [f"__annotation_{i}" for i in range(3, 302)]
+
+
+@pytest.mark.parametrize("vertices", [7, 300, 7400])
+def test_containment_in_a_polygon_with_many_vertices(spark, vertices):
+    rng = random.Random(vertices)
+    ring = []
+    for i in range(vertices):
+        angle, radius = 2 * math.pi * i / vertices, rng.uniform(5, 100)
+        ring.append((radius * math.cos(angle), radius * math.sin(angle)))
+    ring.append(ring[0])
+    spots = [(rng.uniform(-110, 110), rng.uniform(-110, 110)) for _ in range(400)] + ring[: min(50, vertices)]
+
+    def inside(x, y):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+        return odd
+
+    want = {i for i, (x, y) in enumerate(spots) if i >= 400 or inside(x, y)}
+    shape = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in ring]])], "polygon_id long, rings array<array<struct<x:double,y:double>>>")
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "id long, x double, y double")
+    assert {r.id for r in G.points_in_polygons(df, shape, ["id"]).collect()} == want
