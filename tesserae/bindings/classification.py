@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.bindings.registry import query, table
 from tesserae.operators import annotate as A
 from tesserae.operators import classify as C
+from tesserae.plans import apply_model as APPLY
 from tesserae.plans.apply_model import apply_classifier_to_pixels, feature_matrix
 
 
@@ -235,6 +236,52 @@ def apply_model(spark, folder):
     )
 
 
+@query("apply_from_path", f"""
+WITH {ITEM_OBJECT_SQL} SELECT region, count(*) AS objects, CASE WHEN region = 'A' THEN 0 ELSE count(*) END AS predicted,
+  'N=image N,R=image R' AS targets, '{{"1":"#FFFF00","2":"#1CE6FF"}}' AS palette, (SELECT count(*) FROM items WHERE region <> 'A') AS n_predicted_rows
+FROM items GROUP BY region""")
+def apply_from_path(spark, folder):
+    """Save a classifier and a table, apply from their paths, and read back what was persisted."""
+    from tesserae.bindings.caches import scratch
+    from tesserae.sources.components import read_component, write_table_components
+    from tesserae.sources.models import classifier_save
+
+    obs, pixels = item_objects(spark, folder)
+    features, names = feature_matrix(pixels, ["O", "F"], ["mean"], ["area"])
+    labeled = features.where("region = 'A'").withColumn("user_class", F.when(F.col("features")[0] > 52000, F.lit(2)).otherwise(F.lit(1)))
+    trained = C.train_classifier(C.resolve_scopes(labeled, None, None), names, trees=5)
+    path = scratch(spark)
+    classifier_save(trained, f"{path}/classifier")
+    write_table_components(spark, f"{path}/table", ["obs"], obs=obs)
+    # one image per region in the shared system, of a height of its own; another system lacks one of them
+    sizes = table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("region")).agg(F.count(F.lit(1)).alias("ny"))
+    places = sizes.withColumn("coordinate_system", F.explode(F.array(F.lit("global"), F.when(F.col("region") != "R", F.lit("partial")))))
+    both = places.where("coordinate_system is not null").select(
+        "coordinate_system", "ny", F.explode(F.array(
+            F.struct(F.col("region").alias("element"), F.lit("labels").alias("kind")),
+            F.struct(F.concat(F.lit("image "), F.col("region")).alias("element"), F.lit("images").alias("kind")),
+        )).alias("e"),
+    )
+    one, zero = F.lit(1.0), F.lit(0.0)
+    catalog = both.select(
+        "e.element", "e.kind", "coordinate_system", one.alias("a"), zero.alias("b"), zero.alias("d"), one.alias("e"), zero.alias("xoff"),
+        zero.alias("yoff"), zero.alias("zoff"), F.lit(1).alias("nz"), "ny", F.lit(512).alias("nx"),
+    )
+    imaged = pixels.withColumn("image", F.concat(F.lit("image "), F.col("region")))
+    APPLY.apply_from_path(
+        spark, f"{path}/classifier", f"{path}/table", catalog, imaged, ["N", "R"], class_column="kind", confidence_column="sure"
+    )
+    notes = read_component(spark, f"{path}/table", "uns")
+    applied = notes.where("path = 'applied/kind'").select("json").scalar()
+    return read_component(spark, f"{path}/table", "obs").groupBy("region").agg(
+        F.count(F.lit(1)).alias("objects"), F.count_if(F.col("kind").isin(1, 2) & F.col("sure").between(0.5, 1.0)).alias("predicted")
+    ).withColumns({
+        "targets": F.array_join(F.from_json(F.get_json_object(applied, "$.targets"), "array<string>"), ","),
+        "palette": notes.where("path = 'colors/kind'").select("json").scalar(),
+        "n_predicted_rows": F.get_json_object(applied, "$.n_predicted_rows").cast("long"),
+    })
+
+
 @query("apply_config", f"""
 WITH {ITEM_OBJECT_SQL} SELECT true AS applied, CAST(NULL AS VARCHAR) AS classifier_path, '{{"trees":"5","seed":"{C.SEED}"}}' AS source_classifier_config,
   'table' AS table_name, 'features' AS feature_key, 'N' AS regions, count(*) AS n_predicted_rows, 0 AS n_skipped_feature_invalid_rows,
