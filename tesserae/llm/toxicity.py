@@ -5,7 +5,8 @@ character trigrams, and two statistics of the training rows: how strongly the wo
 4- to 6-grams, goes with the label. Both directions run over windows of `WINDOW` words that overlap; attention pools each
 window; the highest window decides a document, and a logistic curve fitted on whole training documents turns that into a
 probability. A document's label says nothing about which window earned it, so each round of training takes the window that
-the network finds worst, plus random windows of clean documents.
+the network finds worst, plus random windows of clean documents. With few labelled rows the learned vectors would hold single
+documents; they count in proportion to the rows of label 1, in full from `TRUSTED_ROWS` on.
 
 Training uses at most `TRAIN_ROWS` labelled rows of each class, chosen by hash, with whole texts. Scoring covers all words.
 """
@@ -28,7 +29,7 @@ HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 6, 6, 8
 GRAMS = (4, 5, 6)
 GRAM_BITS, CHAR_BITS = 20, 13
 ROUNDS, STEPS, BATCH = 4, 100, 128
-WORD_DROPOUT, LEAST_DOCS = 0.5, 5
+WORD_DROPOUT, LEAST_DOCS, TRUSTED_ROWS = 0.5, 5, 1_000
 THRESHOLD = 0.7
 
 
@@ -80,9 +81,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """The parameters, with forward and backward passes over windows of word rows."""
 
-    def __init__(self, known: np.ndarray, word_counts: tuple, gram_counts: tuple, rate: float, seed: int = 7) -> None:
+    def __init__(self, known: np.ndarray, word_counts: tuple, gram_counts: tuple, rate: float, trust: float = 1.0, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.known, self.word_counts, self.gram_counts, self.rate = known, word_counts, gram_counts, rate
+        self.known, self.word_counts, self.gram_counts, self.rate, self.trust = known, word_counts, gram_counts, rate, trust
         self.word_strength, self.gram_strength = _strength(*word_counts, rate), _strength(*gram_counts, rate)
         d = WORD_DIM + CHAR_DIM + 2
 
@@ -119,6 +120,7 @@ class Network:
                 top = np.maximum.reduceat(self.gram_strength[at] if own is None else self._without(self.gram_counts, at, own[w]), first)
                 best[w[first]] = np.maximum(best[w[first]], top)
         x[:-1, -1] = np.where(best < -8, 0, best)
+        x[:, :-2] *= np.float32(self.trust)
         return x, (row, bucket, owner, count)
 
     def _without(self, counts: tuple, at: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -190,6 +192,7 @@ class Network:
         for way in "fb":
             g[f"W{way}"], g[f"c{way}"] = x.T @ dgates[way], dgates[way].sum(0)
             dx += dgates[way] @ p[f"W{way}"].T
+        dx[:, :-2] *= np.float32(self.trust)
         row, bucket, owner, count = parts
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
         np.add.at(g["word"], row, dx[:-1, :WORD_DIM])
@@ -290,7 +293,7 @@ def train(texts: pa.Array, label: np.ndarray, prior: float, seed: int = 7) -> Sc
     (positive, total), gram_counts = _statistics(found.offsets, word, label, data, start, end)
     known = total >= LEAST_DOCS
     rate = min(max(float(label.mean()), 1e-3), 1 - 1e-3)
-    network = Network(distinct[known], (np.append(positive[known], 0), np.append(total[known], 0)), gram_counts, rate, seed)
+    network = Network(distinct[known], (np.append(positive[known], 0), np.append(total[known], 0)), gram_counts, rate, min(1.0, label.sum() / TRUSTED_ROWS), seed)
     at, mask, doc = windows(found.offsets)
 
     def levels(peak_only: bool) -> np.ndarray:
