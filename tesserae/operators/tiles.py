@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.numeric import finite_or_null
 from tesserae.functions.text import tile_name
-from tesserae.scale import cumulate, order_splits
+from tesserae.scale import cumulate, join_sized, order_splits, settle
 
 UINT32_MAX = 4294967295
 LEAF_TILE_SIZE = 1024.0
@@ -164,27 +164,31 @@ def write_tiled_level(
     df: DataFrame, path: str, level: int, *, max_rows: int = MAX_ROWS_PER_SHARD,
     rows_per_task: int = ROWS_PER_WRITE_TASK, partitions: int | None = None,
 ) -> DataFrame:
-    """Write annotated rows so that each tile's rows are contiguous, and return the manifest of what was written.
+    """Write annotated rows in tile order, and return the manifest of what was written.
 
-    Tiles above `rows_per_task` are spread over several tasks by the input partition their rows come from, which
-    stays the same when a task is retried. At most rows/rows_per_task tiles are that hot, so their list is small.
-    Within a task, chunk numbers cut each tile's rows at `max_rows`; the manifest renumbers chunks per tile.
+    The tile counts cut the row-major order of tiles into stretches of about `rows_per_task` points, one per task, so that
+    neighbouring tiles share files and the extents in the files' footers prune. A tile above `rows_per_task` is spread over
+    several stretches by the input partition its rows come from, which stays the same when a task is retried. Within a task,
+    chunk numbers cut each tile's rows at `max_rows`; the manifest renumbers chunks per tile.
     """
-    hot = (
-        tile_counts(df, level).where(F.col("n_points") > rows_per_task)
-        .select("tile_x", "tile_y", F.ceil(F.col("n_points") / rows_per_task).alias("__spread"))
-    )
-    spread = df.join(F.broadcast(hot), ["tile_x", "tile_y"], "left").withColumn(
-        "__part", F.pmod(F.spark_partition_id(), F.coalesce("__spread", F.lit(1)))
-    )
-    keys = ["tile_x", "tile_y", "__part"]
-    placed = spread.drop("tile_id").repartition(*([partitions] if partitions else []), *keys)
+    counts = settle(tile_counts(df, level).withColumn("__order", F.col("tile_y") * F.lit(1 << 31) + F.col("tile_x")))
+    total = counts.df.agg(F.sum("n_points")).first()[0] or 0
+    slots = 2 * df.sparkSession.sparkContext.defaultParallelism
+    stretch = max(1, min(rows_per_task, -(-total // (partitions or slots))))
+    ordered = cumulate(counts.df, "__order", "__before", weight="n_points", splits=order_splits(counts, "__order"))
+    first = F.floor(F.col("__before") / stretch)
+    spread = F.ceil(F.col("n_points") / rows_per_task)
+    places = settle(ordered.select("tile_x", "tile_y", first.alias("__first"), spread.alias("__spread")))
+    placed = join_sized(df.drop("tile_id"), places, ["tile_x", "tile_y"])
+    placed = placed.withColumn("__part", F.col("__first") + F.pmod(F.spark_partition_id(), F.col("__spread"))).drop("__first", "__spread")
+    placed = placed.repartition(max(1, -(-total // stretch)), "__part")
+    keys = ["__part", "tile_y", "tile_x"]
     # The window sorts each task by tile, so the rows are written in that order; a sort by level would undo it, hence
     # the level's folder is named here rather than by a dynamic partition.
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("tile_x"))
     name = tile_name(level, F.col("tile_x"), F.col("tile_y"))
     chunked = placed.withColumns({"chunk": F.floor((number - 1) / max_rows), "tile_id": name})
-    chunked = chunked.withColumnRenamed("__part", "part").drop("__spread")
+    chunked = chunked.withColumnRenamed("__part", "part")
     chunked.write.mode("overwrite").parquet(f"{path}/level={level}")
     return written_manifest(df.sparkSession, path)
 

@@ -117,3 +117,18 @@ def test_build_tiles(spark, tmp_path):
     assert spark.read.parquet(f"{path}/levels").count() == 1000
     with pytest.raises(ValueError, match="empty_label"):
         plan_tiles(df.withColumn("gene", F.lit(" ")), PointColumns())
+
+
+def test_neighbouring_tiles_share_files(spark, tmp_path):
+    df = spark.range(0, 8000, 1, 6).select(
+        (F.col("id") % 80 * 10.0).alias("x"), (F.floor(F.col("id") / 80) * 8.0).alias("y"), F.col("id").alias("gene_id")
+    )
+    tiled = T.tile_annotate(df, T.TileGrid(0.0, 0.0, 800.0, 800.0, 100.0, 1), 0)
+    path = str(tmp_path / uuid.uuid4().hex)
+    manifest = T.write_tiled_level(tiled, path, 0, partitions=8).collect()
+    per_file: dict = {}
+    for r in manifest:
+        per_file.setdefault(r.level_file, set()).add(r.tile_y)
+    assert len(per_file) > 2 and max(map(len, per_file.values())) <= 6  # a file holds a few rows of tiles, not all eight
+    row = {r.level_file for r in manifest if r.tile_y == 3}
+    assert len(row) <= 2
