@@ -30,7 +30,8 @@ from tesserae.scale import BROADCAST_ROWS
 WORDS, PERCENT = 5, 75
 HOT_SHINGLES = 250_000
 LOCAL_REPEATS, COUNTED_TOGETHER = 3, 4_000_000
-STAR_ROUNDS, HUBS = 2, 3
+STAR_ROUNDS, HUBS = 2, 2
+SKETCH_LONGS, SKETCHED_BUCKET = 8, 8
 
 
 def shingle_sets(block: tb.Block, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -136,12 +137,25 @@ def _prefixes(batch: pa.RecordBatch, width: int, percent: int, hot: np.ndarray,
             return pa.ListArray.from_arrays(pa.array(at), pa.array(chosen[of].view(np.int64)))
 
         n = len(sizes)
+        sketch = sketches(values, doc, n)
         yield pa.record_batch(
-            [ids.slice(block.first, n), pa.array(sizes), pa.array(a), pa.array(b), pa.array(group), lists(lv == 0), lists(lv > 0)],
-            ["doc_id", "n", "s1", "s2", "g", "cold", "often"],
+            [ids.slice(block.first, n), pa.array(sizes), pa.array(a), pa.array(b), pa.array(group), lists(lv == 0), lists(lv > 0),
+             *(pa.array(sketch[:, i]) for i in range(SKETCH_LONGS))],
+            ["doc_id", "n", "s1", "s2", "g", "cold", "often", *SKETCH],
         )
 
 
+SKETCH = [f"k{i}" for i in range(SKETCH_LONGS)]
+
+
+def sketches(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """A bitmap of each set: the bits at which its shingles fall. A bit that only one of two sets has is a shingle that
+    the other lacks, which bounds what they have in common."""
+    bits = np.zeros((n, SKETCH_LONGS * 64), np.uint8)
+    bits[doc, (tb.mix(values ^ np.uint64(FLIP)) % np.uint64(SKETCH_LONGS * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(n, SKETCH_LONGS)
+
+
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     for block in tb.blocks(batch.column("text")):
         values, offsets = shingle_sets(block, width)
@@ -190,9 +204,9 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     hot, rank = values[order], top.column("times").to_numpy()[order]
     sent = docs.sparkSession.sparkContext.broadcast((hot, rank))
 
-    schema = "doc_id long, n long, s1 long, s2 long, g long, cold array<long>, often array<long>"
+    schema = "doc_id long, n long, s1 long, s2 long, g long, cold array<long>, often array<long>, " + ", ".join(f"{k} long" for k in SKETCH)
     prefixes = map_batches(docs, lambda b: _prefixes(b, width, percent, *sent.value), schema)
-    grouped = prefixes.where("n > 0 and doc_id is not null").groupBy(*keys, "g", "cold", "often").agg(F.min("doc_id").alias("class_id"))
+    grouped = prefixes.where("n > 0 and doc_id is not null").groupBy(*keys, "g", "cold", "often", *SKETCH).agg(F.min("doc_id").alias("class_id"))
     grouped = stored(grouped, "grouped")
     members = grouped.select("class_id", "g", "n")
     groups = grouped.groupBy("g", "n", "cold", "often").agg(F.min("class_id").alias("hub"), F.count("*").alias("classes"))
@@ -205,23 +219,28 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     often = often.join(F.broadcast(several), "token", "left_semi").select("g", "n", "token")  # HOT_SHINGLES rows at most
     shared = stored(cold.unionByName(often), "buckets")
 
-    # stars: each class with the first of its group; each group with the one that heads most of its buckets, for some orders
-    # of the groups that decide who is head: a group that one hub is too far from may be near another
+    # stars: each class with the first of its group; each group with the one that heads most of its buckets. Head is first the
+    # group whose shingles are in the fullest buckets, as an original's are among its copies, then one by hash.
     first = members.groupBy("g").agg(F.min("class_id").alias("y"))
     hubs = [members.join(first, "g").select(F.col("class_id").alias("x"), "y")]
     members = members.withColumn("known", F.col("class_id"))
     stars, buckets = None, shared.select("token", "g", "n")
     for turn in range(STAR_ROUNDS):
         wanted = hubs.pop() if hubs else None
+        sizes = buckets.groupBy("token").agg(F.count("*").alias("size"))
+        central = buckets.join(sizes, "token").groupBy("g").agg(F.sum("size").alias("weight"))
+        weighed = stored(buckets.select("token", "g", "n").join(central, "g"), "weighed")
         for k in range(HUBS):
-            heads = buckets.groupBy("token").agg(F.min_by("g", F.xxhash64("g", F.lit(turn * HUBS + k))).alias("head"))
-            most = buckets.join(heads, "token").where("g != head").groupBy("g", "n", "head").count()
+            order = F.struct("weight", "g") if k == 0 else F.struct(F.xxhash64("g", F.lit(turn * HUBS + k)), "g")
+            heads = weighed.groupBy("token").agg(F.max_by("g", order).alias("head"))
+            most = weighed.join(heads, "token").where("g != head").groupBy("g", "n", "head").count()
             most = most.where("10 * count >= n").groupBy("g").agg(F.max_by("head", F.struct("count", "head")).alias("h"))  # fewer can't be alike
             across = most.join(first, "g").select("h", F.col("y").alias("x")).join(first.withColumnRenamed("g", "h"), "h").select("x", "y")
             wanted = across if wanted is None else wanted.unionByName(across)
         known = members.select(F.col("class_id").alias("x"), F.col("known").alias("kx"))
         wanted = wanted.where("x != y").distinct().join(known, "x").join(known.toDF("y", "ky"), "y").where("kx != ky").select("x", "y")
         found = _verified(wanted, docs, width, percent)
+        discard(weighed)
         stars = found if stars is None else stars.unionByName(found)
         joined = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")))
         members = members.drop("known").join(joined, F.col("class_id") == F.col("id"), "left")
@@ -231,11 +250,24 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
         open_tokens = spanned.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("token")
         buckets = stored(spanned.join(open_tokens, "token", "left_semi").select("token", "g", "n", "lo", "hi"), "open")
 
-    a = buckets.select("token", *(F.col(c).alias(f"{c}1") for c in ("g", "n", "lo", "hi")))
-    b = buckets.select("token", *(F.col(c).alias(f"{c}2") for c in ("g", "n", "lo", "hi")))
+    # in fuller buckets, sketches keep apart groups that can't be alike: bits that all sets of a group have, or any
+    own = [f"{k}{kind}" for k in SKETCH for kind in ("all", "any")]
+    bits = grouped.groupBy("g").agg(*(f(k).alias(f"{k}{kind}") for k in SKETCH for f, kind in ((F.bit_and, "all"), (F.bit_or, "any"))))
+    sizes = buckets.groupBy("token").agg(F.count("*").alias("size"))
+    full = buckets.join(sizes.where(F.col("size") >= SKETCHED_BUCKET).select("token"), "token", "left_semi").join(bits, "g")
+    few = buckets.join(sizes.where(F.col("size") < SKETCHED_BUCKET).select("token"), "token", "left_semi")
+    few = few.withColumns({c: F.lit(None).cast("long") for c in own})
+    buckets = stored(full.unionByName(few), "sketched")
+    a = buckets.select("token", *(F.col(c).alias(f"{c}1") for c in ("g", "n", "lo", "hi", *own)))
+    b = buckets.select("token", *(F.col(c).alias(f"{c}2") for c in ("g", "n", "lo", "hi", *own)))
     rest = [n - F.expr(f"({n_} - ({n_} * {percent} + 99) div 100 + 1)") for n, n_ in ((F.col("n1"), "n1"), (F.col("n2"), "n2"))]
     need = F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent) - 1e-6)
     fits = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
+    def lacking(one: int, other: int):
+        parts = [F.bit_count(F.col(f"{k}all{one}").bitwiseAND(F.bitwise_not(F.col(f"{k}any{other}")))).cast("long") for k in SKETCH]
+        return F.coalesce(sum(parts[1:], parts[0]), F.lit(0))
+
+    fits = fits & (F.least(F.col("n1") - lacking(1, 2), F.col("n2") - lacking(2, 1)) >= need)
     settled = (F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))
     pairs = (
         a.join(b, "token").where((F.col("g1") < F.col("g2")) & fits & ~settled)
