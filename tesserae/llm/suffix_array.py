@@ -33,7 +33,7 @@ from tesserae.scale import BROADCAST_ROWS
 MIN_BYTES = 50
 GRAM = 16
 SPLIT_BLOCKS = 50_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 PLACE_BITS = 31
 
 

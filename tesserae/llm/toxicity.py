@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tesserae.llm import textbytes as tb
 from tesserae.llm.shared import filter_rows, map_batches, texts_of
 
-TRAIN_ROWS = 1_800
+TRAIN_ROWS = 1_500
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 6, 6, 8
 GRAMS = (4, 5, 6)
