@@ -2,11 +2,13 @@
 
 The content view is a histogram of hashed byte trigrams with a few ratios of the words. The metadata view is what a crawl knows
 of a page without reading it: source, language, length, and the layout of its lines. Each view is a logistic model. In
-each round both score a pool of unlabelled documents, and each hands the other the documents it is surest of, as many good
-and bad ones as the labelled rows have in proportion. At the end each view is calibrated on labelled rows that neither has
+each round both score all unlabelled documents, and each hands the other the documents it is surest of, as many good and
+bad ones as the labelled rows have in proportion. At the end each view is calibrated on labelled rows that neither has
 seen, and a logistic model of the two calibrated log odds gives the score.
 
-Training takes at most `TRAIN_ROWS` labelled rows of each class and `POOL_ROWS` unlabelled rows, chosen by hash of the id.
+A round is one pass over the texts with both models broadcast. Only scores are shuffled, and only the `TEACH` documents
+chosen for each pupil reach the driver. Equal rows (text, source and language) teach a pupil once. Training takes at most
+`TRAIN_ROWS` labelled rows of each class, chosen by hash of the id.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import map_batches
+from tesserae.llm.shared import discard, map_batches, stored
 
-TRAIN_ROWS, POOL_ROWS = 1_500, 4_000
+TRAIN_ROWS = 1_500
 BITS, KNOWN = 11, 64
 TEACH = 150
 TEACH_ROUNDS, STEPS = 5, 150
@@ -128,57 +130,119 @@ def _logistic_small(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: n
     return theta
 
 
-def train(table: pa.Table, prior: float, seed: int = 3) -> Pair:
-    """Co-train on rows `text, source, lang, label`; a null label marks the pool. `prior` is the rate of good rows."""
-    rng = np.random.default_rng(seed)
-    label = np.array([-1 if x is None else x for x in table.column("label").to_pylist()], np.int64)
-    if not (label == 0).any() or not (label == 1).any():
-        return Pair({}, [], [], np.zeros(3), float((label == 1).any()) if (label >= 0).any() else 0.5)
+def _features(table: pa.Table, known: dict[str, int]) -> list[np.ndarray]:
+    """Both views of rows `text, source, lang`."""
     source, lang = table.column("source").to_pylist(), table.column("lang").to_pylist()
-    known: dict[str, int] = {}
-    for mark, values in (("s", source), ("l", lang)):
-        often = sorted({x for x in values if x is not None}, key=lambda x: (-values.count(x), x))[: KNOWN - 1]
-        known |= {f"{mark}{x}": i + 1 for i, x in enumerate(often)}
-    views = [[], []]
+    views = [[np.zeros((0, (1 << BITS) + 3), np.float32)], [np.zeros((0, 2 * KNOWN + 5), np.float32)]]
     for block in tb.blocks(table.column("text").combine_chunks()):
         part = slice(block.first, block.last)
         views[0].append(content(block))
         views[1].append(metadata(block, source[part], lang[part], known))
-    views = [np.concatenate(v) for v in views]
-    seen = np.flatnonzero(label >= 0)
+    return [np.concatenate(v) for v in views]
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
+
+
+def _known(docs: DataFrame) -> dict[str, int]:
+    """Columns of the metadata view for the most frequent sources and languages of all documents."""
+    known: dict[str, int] = {}
+    for mark, name in (("s", "source"), ("l", "lang")):
+        often = docs.where(F.col(name).isNotNull()).groupBy(name).count().orderBy(F.desc("count"), name).limit(KNOWN - 1)
+        known |= {f"{mark}{r[0]}": i + 1 for i, r in enumerate(often.collect())}
+    return known
+
+
+def surest(
+    docs: DataFrame, given: DataFrame, known: dict[str, int], models: list[Logistic], taught: list[np.ndarray], wanted: tuple[int, int],
+) -> dict[tuple[int, int], list[tuple[int | None, int]]]:
+    """`(doc_id, key)` of the documents each teacher (0 and 1) is surest of in each class, at most `wanted[class]`.
+
+    All rows of `docs(doc_id, text, source, lang, key)` whose id isn't in `given(doc_id)` are scored. Keys in
+    `taught[pupil]` are passed over, and so is what a teacher is less than `SURE` of. Ties go to the smallest key.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((known, models, taught))
+    least = float(np.log(SURE / (1 - SURE)))
+
+    def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        known, models, taught = sent.value
+        source, lang = batch.column("source").to_pylist(), batch.column("lang").to_pylist()
+        for block in tb.blocks(batch.column("text"), 1 << 20):
+            part = slice(block.first, block.last)
+            rows = batch.select(["doc_id", "key"]).slice(block.first, block.last - block.first)
+            inputs = (content(block), metadata(block, source[part], lang[part], known))
+            # rounded, as the last bits depend on which rows share a batch
+            z = [np.round(m.logit(x).astype(float), 4) for m, x in zip(models, inputs)]
+            for teacher in (0, 1):
+                z[teacher][np.isin(rows.column("key").to_numpy(), taught[1 - teacher])] = 0
+            sure = pa.array(np.maximum(np.abs(z[0]), np.abs(z[1])) >= least)
+            yield pa.record_batch([*rows.columns, *map(pa.array, z)], ["doc_id", "key", "z0", "z1"]).filter(sure)
+
+    found = map_batches(docs, score, "doc_id long, key long, z0 double, z1 double")
+    found = found.join(given.select("doc_id"), "doc_id", "left_anti")
+    found = stored(found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("z0").alias("z0"), F.max("z1").alias("z1")), "surest")
+    picks = {}
+    for teacher in (0, 1):
+        for value in (0, 1):
+            z = F.col(f"z{teacher}") * (1 if value else -1)
+            best = found.where(z >= least).orderBy(z.desc(), "key").limit(wanted[value])
+            picks[teacher, value] = [(r.doc_id, r.key) for r in best.select("doc_id", "key").collect()]
+    discard(found)
+    sent.destroy()
+    return picks
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_ROWS, teach: int = TEACH, seed: int = 3) -> Pair:
+    """Co-train on `docs(doc_id, text, source, lang)` and `labels(doc_id, quality)`; rows with null texts aren't used.
+
+    Documents without a label, those without an id among them, are the candidates of every round.
+    """
+    docs = _columns(docs).where("text is not null")
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
+    given = given.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
+    prior = given.agg(F.avg("label")).first()[0]
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = given.where("label = 0").orderBy(*order).limit(per_class).unionByName(given.where("label = 1").orderBy(*order).limit(per_class))
+    table = docs.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    label = table.column("label").to_numpy().astype(np.int64)
+    if not (label == 0).any() or not (label == 1).any():
+        return Pair({}, [], [], np.zeros(3), float((label == 1).any()) if len(label) else 0.5)
+    rng = np.random.default_rng(seed)
+    known = _known(docs)
+    views = _features(table, known)
     kept_out = np.zeros(len(label), bool)
     for value in (0, 1):
         own = np.flatnonzero(label == value)
         if len(own) >= 4:
             kept_out[rng.permutation(own)[: len(own) // 4]] = True
-    rest = seen[~kept_out[seen]]
-    pool = np.flatnonzero(label < 0)
+    rest = np.flatnonzero(~kept_out)
     share = np.array([1 - prior, prior])
-    rows = [rest.tolist(), rest.tolist()]
-    given = [label[rest].tolist(), label[rest].tolist()]
-    left = [set(pool.tolist()), set(pool.tolist())]
+    wanted = tuple(int(np.ceil(teach * x)) for x in share)
+    inputs, answers = [v[rest] for v in views], [label[rest], label[rest]]
+    taught = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
     def balanced(y: np.ndarray) -> np.ndarray:
         return share[y] / np.bincount(y, minlength=2)[y]
 
-    models = [Logistic(v.shape[1]) for v in views]
+    mark = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("source", "lang")]
+    keyed = docs.withColumn("key", F.xxhash64("text", *mark))
     for turn in range(TEACH_ROUNDS + 1):
-        for i in (0, 1):
-            y = np.array(given[i])
-            models[i] = Logistic(views[i].shape[1]).fit(views[i][rows[i]], y, balanced(y))
+        models = [Logistic(x.shape[1]).fit(x, y, balanced(y)) for x, y in zip(inputs, answers)]
         if turn == TEACH_ROUNDS:
             break
-        for teacher, pupil in ((0, 1), (1, 0)):
-            open_ = np.array(sorted(left[pupil]), int)
-            if not len(open_):
-                continue
-            p = _sigmoid(models[teacher].logit(views[teacher][open_]))
-            for value, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[: int(np.ceil(TEACH * share[value]))]
-                best = open_[best[sure[best] >= SURE]]
-                rows[pupil] += best.tolist()
-                given[pupil] += [value] * len(best)
-                left[pupil] -= set(best.tolist())
+        picks = surest(keyed, given, known, models, taught, wanted)
+        ids, keys = (sorted({r[i] for rows in picks.values() for r in rows if r[i] is not None}) for i in (0, 1))
+        if not keys:
+            break  # the same models would choose nothing again
+        rows = keyed.where((F.col("doc_id").isin(ids) | F.col("doc_id").isNull()) & F.col("key").isin(keys))
+        rows = rows.dropDuplicates(["key"]).toArrow().sort_by("key")
+        new, place = _features(rows, known), {key: i for i, key in enumerate(rows.column("key").to_pylist())}
+        for (teacher, value), best in picks.items():
+            pupil, own = 1 - teacher, [key for _, key in best]
+            inputs[pupil] = np.concatenate([inputs[pupil], new[pupil][[place[key] for key in own]]])
+            answers[pupil] = np.append(answers[pupil], np.full(len(own), value))
+            taught[pupil] = np.append(taught[pupil], np.array(own, np.int64))
     check = np.flatnonzero(kept_out) if len(np.unique(label[kept_out])) == 2 else rest
     y = label[check]
     weight = balanced(y) * len(y)
@@ -192,24 +256,6 @@ def train(table: pa.Table, prior: float, seed: int = 3) -> Pair:
     return Pair(known, models, curves, mixture)
 
 
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_ROWS, pool: int = POOL_ROWS) -> Pair:
-    """Train on `docs(doc_id, text, source, lang)` and `labels(doc_id, quality)`; rows with null texts aren't used."""
-    docs = _columns(docs)
-    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    given = given.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    prior = given.agg(F.avg("label")).first()[0]
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = given.where("label = 0").orderBy(*order).limit(per_class).unionByName(given.where("label = 1").orderBy(*order).limit(per_class))
-    free = docs.select("doc_id").where("doc_id is not null").join(given, "doc_id", "left_anti").distinct().orderBy(*order).limit(pool)
-    chosen = chosen.unionByName(free.select("doc_id", F.lit(None).cast("int").alias("label")))
-    table = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(table, float(prior if prior is not None else 0.5))
-
-
 def scored(docs: DataFrame, pair: Pair, keep: float = KEEP) -> DataFrame:
     """`(doc_id, score, kept)` for every row of `docs(doc_id, text, source, lang)`: the probability of good quality.
 

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
@@ -117,6 +118,44 @@ def test_cotraining(spark, make, awkward):
     assert len({r.score for r in cotraining.scored(docs, constant).collect()}) == 1
 
 
+def test_cotraining_searches_all_documents(spark, make):
+    """A rare kind of junk that comes last in the order of hashes, behind more than 4,000 unlabelled documents."""
+    rng = np.random.default_rng(5)
+    order = [r.id for r in spark.range(10_000, 14_400).orderBy(F.xxhash64("id"), "id").collect()]
+    rare, labelled = order[-60:], range(240)
+
+    def text(junk=""):
+        return (junk or " ").join(word(rng) for _ in range(rng.integers(20, 40)))
+
+    clean = make([(i, text()) for i in [*(i for i in labelled if i % 3), *order[:-60]]], source="clean")
+    dump = make([(i, text("###")) for i in labelled if i % 3 == 0], source="dump").unionByName(make([(i, text(" @@@ ")) for i in rare], source="dump"))
+    given = spark.createDataFrame([(i, int(i % 3 != 0)) for i in labelled], "doc_id long, quality int")
+    docs = clean.unionByName(dump)
+    pair = cotraining.fit(docs, given)
+    junk, good = (pa.array([text(kind) for _ in range(20)]) for kind in (" @@@ ", ""))
+    low, high = (pair.views[0].logit(cotraining.content(next(cotraining.tb.blocks(x)))) for x in (junk, good))
+    assert low.max() < 0 < np.median(high)
+
+
+def test_cotraining_chooses_the_surest(spark, make, awkward):
+    docs = make([(i, "#" * (5 + i % 200) + "a" * (5 + i % 300)) for i in range(900)]).unionByName(make(awkward))
+    model = [cotraining.Logistic((1 << cotraining.BITS) + 3), cotraining.Logistic(2 * cotraining.KNOWN + 5)]
+    model[1].w[-5] = 10.0
+    model[1].b = -5.5
+    keyed = docs.where("text is not null").withColumn("key", F.xxhash64("text"))
+    given = spark.createDataFrame([(7,), (599,)], "doc_id long")
+    picks = cotraining.surest(keyed, given, {}, model, [np.zeros(0, np.int64)] * 2, (3, 40))
+    assert picks[0, 0] == picks[0, 1] == []
+    size = {r.key: np.log1p(len(r.text.encode())) - 5.5 for r in keyed.collect() if r.doc_id not in (7, 599)}
+    for value, n in ((0, 3), (1, 40)):
+        sure = sorted((-round(z if value else -z, 4), key) for key, z in size.items() if (z if value else -z) >= np.log(9))
+        got = [key for _, key in picks[1, value]]
+        assert len(got) == min(n, len(sure)) > 0 and len(set(got)) == len(got)
+        assert np.allclose([size[k] for k in got], [-s if value else s for s, _ in sure[: len(got)]], atol=1e-3)
+    again = cotraining.surest(keyed, given, {}, model, [np.array([key for _, key in picks[1, 1]]), np.zeros(0, np.int64)], (3, 40))
+    assert not set(again[1, 1]) & set(picks[1, 1])
+
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
