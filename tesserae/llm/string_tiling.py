@@ -96,7 +96,7 @@ def _matches(pattern, text, marked_p, marked_t, length: int) -> list[tuple[int,
 class Items:
     """A block of test items: their words and the seeds of all of them, sorted."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array) -> None:
+    def __init__(self, ids: list[int | None], texts: pa.Array) -> None:
         self.ids = ids
         found = tb.word_list(texts, letters_and_digits)
         self.words, self.offsets = found.hashes, found.offsets
@@ -135,7 +135,8 @@ def coverage(docs: DataFrame, items: DataFrame) -> DataFrame:
     """`(doc_id, item_id, n_words, n_tiled, n_tiles)` for each row of `docs(doc_id, text)` and each test item of
     `items(item_id, text)` that shares a run of `SEED` words with it.
 
-    Null and empty texts share nothing, nor do items of fewer than `SEED` words. Repeated rows give repeated results. Other
+    Null and empty texts share nothing, nor do items of fewer than `SEED` words. An item without an id counts like any other
+    and gives a null `item_id`. Repeated rows give repeated results. Other
     columns are not looked at; an empty table on either side gives an empty result. Hashes of words stand for words.
     """
     docs = texts_of(docs)
@@ -147,7 +148,7 @@ def coverage(docs: DataFrame, items: DataFrame) -> DataFrame:
             own, ids, rows = sent.value, batch.column("doc_id").to_pylist(), []
             for block in tb.blocks(batch.column("text")):
                 for d, i, tiled, n in own.compare(block):
-                    rows.append((ids[block.first + d], int(own.ids[i]), len(own.of(i)), tiled, n))
+                    rows.append((ids[block.first + d], own.ids[i], len(own.of(i)), tiled, n))
             columns = zip(*rows) if rows else [[]] * 5
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_words", "n_tiled", "n_tiles"])
 
@@ -161,17 +162,17 @@ def _item_blocks(items: DataFrame) -> Iterator:
     spark = items.sparkSession
     ship(spark)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id is not null and text is not null")
+    items = items.where("text is not null")
     nbytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-nbytes // BLOCK_ITEMS_BYTES))
     for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).toArrow().sort_by("item_id")
-        yield spark.sparkContext.broadcast(Items(part.column("item_id").to_numpy(), part.column("text").combine_chunks()))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).toArrow().sort_by("item_id")
+        yield spark.sparkContext.broadcast(Items(part.column("item_id").to_pylist(), part.column("text").combine_chunks()))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """`(doc_id, item_id, n_tiled, coverage, contaminated)`: for each document that shares a seed with an item, the item it
-    covers most (ties: more words, then the smallest id), and whether that share reaches `threshold`."""
+    covers most (ties: more words, then the smallest id, a null id last), and whether that share reaches `threshold`."""
     share = F.col("n_tiled") / F.col("n_words")
     best = coverage(docs, items).withColumn("coverage", share).groupBy("doc_id").agg(
         F.max(F.struct("coverage", "n_tiled", (-F.col("item_id")).alias("item"))).alias("b")
@@ -182,7 +183,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = COVERAGE)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = COVERAGE) -> DataFrame:
-    """The rows of `docs`, with all columns, that cover no item up to `threshold`; rows without an id are judged alike."""
+    """The rows of `docs`, with all columns, that cover no item up to `threshold`; rows and items without an id are judged alike."""
     for sent in _item_blocks(items):
 
         def keep(texts: pa.Array, sent=sent) -> np.ndarray:

@@ -189,6 +189,15 @@ def test_reordered_passages_are_found(spark, make, awkward):
     assert string_tiling.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_items_without_an_id(spark, make):
+    first, own = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"
+    docs = make([(1, f"so {first} it is"), (2, f"so {own} it is"), (3, f"{own} {first}"), (4, "nothing of the kind at all here")])
+    items = spark.createDataFrame([(7, first), (None, own), (None, None)], "item_id long, text string")
+    found = {r.doc_id: (r.item_id, r.contaminated) for r in string_tiling.contaminated(docs, items).collect()}
+    assert found == {1: (7, True), 2: (None, True), 3: (7, True)}
+    assert [r.doc_id for r in string_tiling.without_contaminated(docs, items).collect()] == [4]
+
+
 def test_words_never_cross_documents():
     block = next(tb.blocks(pa.array(["ab", "cd ef", None, "", " g", "h"])))
     found = tb.words(block)
