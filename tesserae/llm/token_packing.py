@@ -111,7 +111,8 @@ class Reader:
 class WordEncoder:
     """Encodes with a tokenizer that drops white space: each run between ASCII white space is encoded once and remembered.
 
-    Such a tokenizer never joins text across white space. Lower-casing (ASCII words only) and splitting off a tail of plain
+    Such a tokenizer never joins text across white space. Lower-casing (ASCII words only, and none that spells an added token
+    in any case, as those match raw text) and splitting off a tail of plain
     punctuation, which the tokenizer's own pattern does too, make more runs alike. At most `CACHE_WORDS` are remembered.
     """
 
@@ -121,6 +122,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -149,7 +151,8 @@ class WordEncoder:
             if head and head[-1] not in PLAIN:
                 head = w
             tails.append(w[len(head) :])
-            heads.append(head.lower() if head.isascii() else head)
+            low = head.lower() if head.isascii() else head
+            heads.append(head if low != head and any(t in low for t in self.added) else low)
         new = dict.fromkeys(x for x in [*heads, *set(tails)] if x not in self.row)
         if new:
             self._learn(list(new))

@@ -49,6 +49,14 @@ def test_words_encode_as_whole_texts():
         assert ids[a:b].tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_other_spellings_of_special_tokens_are_text():
+    own = token_packing.WordEncoder(WORD_BPE)
+    texts = ["<|EndOfText|>a", "A<|STARTOFTEXT|>. <|endoftext|>A", "X<|endoftext|><|Endoftext|>..", "<|endoftext|>a"]
+    ids, ends = own.encode(pa.array(texts))
+    for text, a, b in zip(texts, [0, *ends[:-1]], ends):
+        assert ids[a:b].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_files_hold_every_document(make, awkward, tmp_path):
     docs = make(awkward)
     manifest = token_packing.write_packed(docs, str(tmp_path), WORD_BPE, docs_per_file=4)
