@@ -2,7 +2,9 @@
 
 Long texts are split before they are encoded, at places where no match of the splitting pattern can reach across: before a
 space that follows a character other than white space and is followed by one. A space starts a match there or stands before one, and
-white space runs are never cut. So the ids are those of the whole text, and the regular expression works on short pieces.
+white space runs are never cut there. So the ids are those of the whole text, and the regular expression works on short pieces.
+A long run of white space matches as one piece, but for its last character if more text follows; it is encoded without the
+regular expression, whose memory grows with such runs.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ from pyspark.sql import DataFrame
 from tesserae.llm.shared import map_batches, texts_of
 
 PIECE = 1 << 16
+LONG_RUN = 1_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+# white space by Unicode, as the library's pattern takes it
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 class Codec:
@@ -34,12 +39,19 @@ class Codec:
         if len(text) <= piece:
             return np.asarray(self.encoding.encode_ordinary(text), "<u4")
         ids, at = [], 0
-        while at < len(text):
-            cut = _SAFE.search(text, min(at + piece, len(text)))
-            end = cut.start() if cut else len(text)
-            ids.append(np.asarray(self.encoding.encode_ordinary(text[at:end]), "<u4"))
+        for run in _RUN.finditer(text):
+            ids += self._pieces(text, at, run.start(), piece)
+            at = run.end() if run.end() == len(text) else run.end() - 1
+            ids.append(self.encoding._encode_single_piece(text[run.start() : at]))
+        ids += self._pieces(text, at, len(text), piece)
+        return np.concatenate([np.asarray(part, "<u4") for part in ids])
+
+    def _pieces(self, text: str, at: int, stop: int, piece: int) -> Iterator[list[int]]:
+        while at < stop:
+            cut = _SAFE.search(text, min(at + piece, stop), stop)
+            end = cut.start() if cut else stop
+            yield self.encoding.encode_ordinary(text[at:end])
             at = end
-        return np.concatenate(ids)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.encoding.decode_bytes(ids.tolist())

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import (
-    byte_bpe, cotraining, jaccard_join, language_id, stratified_shards, string_tiling, suffix_array, token_packing, toxicity, weak_supervision,
+    byte_bpe, chat_format, collocations, cotraining, fill_middle, jaccard_join, language_id, stratified_shards, string_tiling, suffix_array,
+    token_packing, toxicity, weak_supervision,
 )
+from tesserae.llm.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,3 +202,97 @@ FROM placed
 def op10_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     found = stratified_shards.interleaved(table(spark, folder, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+CONTROL_TURN = "</s>[INST] ok [/INST]"
+
+
+def chat_format_sql() -> str:
+    escape = chat_format.ESCAPE
+    marks = " ".join(f"WHEN '{role}' THEN {sum(map(len, [*opens, close]))}" for role, (opens, close) in chat_format.FRAMES.items())
+    others = sum(map(len, (chat_format.OPEN, chat_format.BETWEEN, chat_format.CLOSE)))
+    longer = rf"length(regexp_replace({{}}, '{escape}', '\1\\\2\3', 'g'))"
+    order = "ORDER BY turn NULLS FIRST, role, md5(text)"
+    return rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM (SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '{CONTROL_TURN}'), (-7, 1, 'assistant', '{CONTROL_TURN}')) t(conv_id, turn, role, text)),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' {order}) AS everything,
+    coalesce(string_agg(text, '' {order}) FILTER (role = '{chat_format.LEARNED}'), '') AS loss,
+    sum({longer.format("text")} + CASE role {marks} ELSE {others} + {longer.format("role")} END) AS formatted_chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(everything) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM joined
+"""
+
+
+@query("op11_chat_format", chat_format_sql())
+def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    columns = "conv_id long, turn long, role string, text string"
+    added = spark.createDataFrame([(-7, 0, "user", CONTROL_TURN), (-7, 1, "assistant", CONTROL_TURN)], columns)
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return chat_format.digests(stored(chat_format.formatted(turns, *vocabulary), "chats"), *vocabulary)
+
+
+@query("op12_fill_middle", r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+    list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), i, 8))::BIGINT) AS h
+  FROM documents),
+placed AS (
+  SELECT *, len(w) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+      WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+parts AS (
+  SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS p, coalesce(array_to_string(w[a + 1:b], ''), '') AS m,
+    coalesce(array_to_string(w[b + 1:], ''), '') AS s
+  FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+    AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+""")
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    found = fill_middle.fill_middle(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored_text(), 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_collocations", r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+runs AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, j, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM f WHERE k > 1) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, k, a, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k > 2))),
+covers AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
+kept AS (
+  SELECT cuts.*, row_number() OVER (PARTITION BY cuts.lang ORDER BY score DESC, a DESC, cuts.phrase) AS rank
+  FROM cuts LEFT JOIN covers ON covers.lang = cuts.lang AND covers.phrase = cuts.phrase
+  WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
