@@ -11,7 +11,9 @@ from tesserae.functions import text as X
 from tesserae.functions.text import normalize_label
 from tesserae.operators import points as P
 from tesserae.operators import tiles as T
+from tesserae.operators.coarse import coarse_levels, level_points
 from tesserae.plans.build_tiles import plan_tiles
+from tesserae.scale import settle
 from tesserae.sources.points import PointColumns, scan_points
 
 ITEMS = PointColumns("x", "y", "gene")
@@ -357,3 +359,86 @@ def display_titles(spark, folder):
         X.styled_title(F.col("brand"), source, F.col("only")).alias("styled"),
         X.sampling_warning(F.col("rows"), F.col("size") * 100, F.lit(1000)).alias("warning"),
     )
+
+
+COARSE_LEAF, COARSE_LEVELS, COARSE_CAPACITY, COARSE_CELLS, COARSE_SEED = 16.0, 4, 48, 4, 1
+
+
+def apportion_sql(source: str, keys: str, item: str, count: str, target: str) -> str:
+    """`source` with `quota`: what each item gets of its group's target, by weight `w`, in whole numbers."""
+    before = f"PARTITION BY {keys} ORDER BY room / w, {item} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""(
+  SELECT *, CAST(least({count}, each + base + CASE WHEN NOT is_full AND row_number() OVER (PARTITION BY {keys} ORDER BY part DESC NULLS LAST, {item})
+    <= left_ - sum(CASE WHEN is_full THEN 0 ELSE base END) OVER (PARTITION BY {keys}) THEN 1 ELSE 0 END) AS BIGINT) AS quota
+  FROM (
+    SELECT *, CASE WHEN is_full THEN room ELSE left_ * w // open_ END AS base, CASE WHEN NOT is_full THEN left_ * w % open_ END AS part
+    FROM (
+      SELECT *, rest - sum(CASE WHEN is_full THEN room ELSE 0 END) OVER (PARTITION BY {keys}) AS left_,
+        sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (PARTITION BY {keys}) AS open_
+      FROM (
+        SELECT *, room * (sum(w) OVER (PARTITION BY {keys}) - coalesce(sum(w) OVER ({before}), 0)) <= (rest - coalesce(sum(room) OVER ({before}), 0)) * w AS is_full
+        FROM (
+          SELECT *, {count} - each AS room, {target} - sum(each) OVER (PARTITION BY {keys}) AS rest
+          FROM (SELECT *, CASE WHEN {target} >= count(*) OVER (PARTITION BY {keys}) THEN 1 ELSE 0 END AS each FROM {source}))))))"""
+
+
+def coarse_sql() -> str:
+    cells, shift = COARSE_CELLS, COARSE_CELLS.bit_length() - 1
+    parts = [f"""points AS (
+  SELECT event_id AS id, event_type AS value, CAST(floor((user_id - x0) / {COARSE_LEAF / cells}) AS BIGINT) AS fx,
+    CAST(floor((events.value - y0) / {COARSE_LEAF / cells}) AS BIGINT) AS fy,
+    ('0x' || substr(md5('{COARSE_SEED}:' || event_type || ':' || event_id), 1, 15))::BIGINT AS h
+  FROM events, (SELECT min(user_id) AS x0, min(value) AS y0 FROM events)),
+kept_0 AS (SELECT *, fx >> {shift} AS tx, fy >> {shift} AS ty, (fy & {cells - 1}) * {cells} + (fx & {cells - 1}) AS cell FROM points),
+counts_0 AS (SELECT tx AS px, ty AS py, cell, value, count(*) AS n FROM kept_0 GROUP BY ALL),
+totals AS (SELECT value, CAST(sum(n) AS BIGINT) AS n FROM counts_0 GROUP BY value),
+boosts AS (SELECT value, least(4, greatest(1, CAST(floor(sqrt((SELECT sum(n) / count(*) FROM totals) / n)) AS BIGINT))) AS boost FROM totals)"""]
+    for k in range(COARSE_LEVELS):
+        if k:
+            parts.append(f"""counts_{k} AS (
+  SELECT px >> 1 AS px, py >> 1 AS py, (py & 1) * 2 + (px & 1) AS cell, value, n
+  FROM (SELECT px, py, value, CAST(sum(quota) AS BIGINT) AS n FROM quotas_{k - 1} WHERE quota > 0 GROUP BY ALL))""")
+        strata = apportion_sql(f"strata_{k}", "px, py", "cell", "stratum", "goal")
+        rows = apportion_sql(f"rows_{k}", "px, py, cell", "value", "n", "target")
+        stratum = f"((ty >> {k - 1}) & 1) * 2 + ((tx >> {k - 1}) & 1)" if k else "k.cell"
+        group = f"tx >> {k - 1}, ty >> {k - 1}" if k else "tx, ty, k.cell"
+        parts.append(f"""strata_{k} AS (
+  SELECT *, CAST(floor(sqrt(stratum::DOUBLE) * 1024) AS BIGINT) AS w, least({COARSE_CAPACITY << k}, sum(stratum) OVER (PARTITION BY px, py)) AS goal
+  FROM (SELECT px, py, cell, CAST(sum(n) AS BIGINT) AS stratum FROM counts_{k} GROUP BY ALL)),
+targets_{k} AS (SELECT px, py, cell, quota AS target FROM {strata}),
+rows_{k} AS (
+  SELECT px, py, cell, value, n, target, CAST(floor(sqrt(n::DOUBLE) * 1024) AS BIGINT) * boost AS w
+  FROM counts_{k} JOIN boosts USING (value) JOIN targets_{k} USING (px, py, cell)),
+quotas_{k} AS (SELECT px, py, cell, value, n, quota FROM {rows}),
+kept_{k + 1} AS (
+  SELECT k.* EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY {group}, k.value ORDER BY h, id) AS r FROM kept_{k} k) k
+  JOIN quotas_{k} q ON q.px = tx >> {k} AND q.py = ty >> {k} AND q.cell = {stratum} AND q.value = k.value WHERE r <= quota)""")
+    levels = " UNION ALL ".join(f"SELECT id, value, tx, ty, {k} AS level FROM kept_{k + 1}" for k in range(COARSE_LEVELS))
+    return "WITH " + ",\n".join(parts) + f"\nSELECT id, value, tx AS tile_x, ty AS tile_y, max(level) AS coarsest FROM ({levels}) GROUP BY ALL"
+
+
+def coarse_events(spark, folder):
+    points = event_points(spark, folder)
+    grid = T.tile_grid(points, leaf=COARSE_LEAF, n_levels=COARSE_LEVELS)
+    return coarse_levels(points, grid, "points_id", "gene", capacity=COARSE_CAPACITY, cells=COARSE_CELLS, seed=COARSE_SEED)
+
+
+@query("coarse_levels", coarse_sql())
+def coarse_levels_query(spark, folder):
+    """The sampled pyramid over the events: which points are kept, and up to which level."""
+    return coarse_events(spark, folder).select(F.col("points_id").alias("id"), F.col("gene").alias("value"), "tile_x", "tile_y", "coarsest")
+
+
+@query("coarse_tile_counts", f"""
+SELECT level, tx >> level AS tile_x, ty >> level AS tile_y, value, count(*) AS n_points
+FROM (SELECT value, tile_x AS tx, tile_y AS ty, coarsest FROM ({coarse_sql()})), (SELECT unnest(range({COARSE_LEVELS})) AS level)
+WHERE coarsest >= level GROUP BY ALL""")
+def coarse_tile_counts(spark, folder):
+    """Points per level, tile and value: the manifest of the pyramid."""
+    coarse = settle(coarse_events(spark, folder)).df
+    levels = None
+    for level in range(COARSE_LEVELS):
+        counted = level_points(coarse, level).groupBy("tile_x", "tile_y", F.col("gene").alias("value")).agg(F.count(F.lit(1)).alias("n_points"))
+        counted = counted.select(F.lit(level).cast("long").alias("level"), "*")
+        levels = counted if levels is None else levels.unionAll(counted)
+    return levels

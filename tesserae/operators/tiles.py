@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.numeric import finite_or_null
 from tesserae.functions.text import tile_name
-from tesserae.scale import cumulate, join_sized, order_splits, settle
+from tesserae.scale import ROWS_PER_RANGE, Sized, cumulate, join_sized, order_splits, settle
+from tesserae.sources.files import replace_folder
+from tesserae.sources.row_groups import footer_report, read_row_groups, write_row_groups
 
 UINT32_MAX = 4294967295
 LEAF_TILE_SIZE = 1024.0
@@ -156,51 +158,66 @@ def shard_rows(df: DataFrame, order: str, max_rows: int = MAX_ROWS_PER_SHARD) ->
 
 def tile_shard_number(chunks: DataFrame) -> DataFrame:
     """Running number of a tile's chunks per level, in file and row-group order (chunk rows, not points)."""
-    window = Window.partitionBy("level", "tile_x", "tile_y").orderBy("level_file", "row_group")
-    return chunks.withColumn("tile_shard", (F.row_number().over(window) - 1).cast("int"))
+    files = settle(chunks.select("level_file").distinct())
+    per_range = max(1, files.rows * ROWS_PER_RANGE // max(1, chunks.count()))
+    numbered = cumulate(
+        chunks, "level_file", "tile_shard", keys=["level", "tile_x", "tile_y"], splits=order_splits(files, "level_file", per_range), ties=["row_group"])
+    return numbered.withColumn("tile_shard", F.col("tile_shard").cast("int"))
 
 
 def write_tiled_level(
     df: DataFrame, path: str, level: int, *, max_rows: int = MAX_ROWS_PER_SHARD,
-    rows_per_task: int = ROWS_PER_WRITE_TASK, partitions: int | None = None,
+    rows_per_task: int = ROWS_PER_WRITE_TASK, partitions: int | None = None, counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Write annotated rows in tile order, and return the manifest of what was written.
+    """Write annotated rows in tile order, one tile per row group, and return the manifest as the writers report it.
 
-    The tile counts cut the row-major order of tiles into stretches of about `rows_per_task` points, one per task, so that
-    neighbouring tiles share files and the extents in the files' footers prune. A tile above `rows_per_task` is spread over
-    several stretches by the input partition its rows come from, which stays the same when a task is retried. Within a task,
-    chunk numbers cut each tile's rows at `max_rows`; the manifest renumbers chunks per tile.
+    The tile counts cut the row-major order of tiles into stretches of about `rows_per_task` points, one per task and file, so that
+    neighbouring tiles share files. A tile above `rows_per_task` is spread over several stretches by the input partition its
+    rows come from, which stays the same when a task is retried. A row group has `max_rows` rows at most. `counts` may
+    give `tile_counts` if they are cheaper to get elsewhere. The level's folder is replaced when all of it is written.
     """
-    counts = settle(tile_counts(df, level).withColumn("__order", F.col("tile_y") * F.lit(1 << 31) + F.col("tile_x")))
-    total = counts.df.agg(F.sum("n_points")).first()[0] or 0
-    slots = 2 * df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    known = counts if counts is not None else tile_counts(df, level)
+    row_major = (F.col("tile_y") - F.lit(1 << 31)) * F.lit(1 << 32) + F.col("tile_x")  # any two 32-bit numbers fit
+    tiles = settle(known.select("tile_x", "tile_y", "n_points", row_major.alias("__order")))
+    total = tiles.df.agg(F.sum("n_points")).first()[0] or 0
+    slots = 2 * spark.sparkContext.defaultParallelism
     stretch = max(1, min(rows_per_task, -(-total // (partitions or slots))))
-    ordered = cumulate(counts.df, "__order", "__before", weight="n_points", splits=order_splits(counts, "__order"))
+    ordered = cumulate(tiles.df, "__order", "__before", weight="n_points", splits=order_splits(tiles, "__order"))
     first = F.floor(F.col("__before") / stretch)
     spread = F.ceil(F.col("n_points") / rows_per_task)
     places = settle(ordered.select("tile_x", "tile_y", first.alias("__first"), spread.alias("__spread")))
-    placed = join_sized(df.drop("tile_id"), places, ["tile_x", "tile_y"])
+    hot = tiles.df.select("tile_x", "tile_y", F.col("n_points").alias("__n"))
+    placed = join_sized(df.drop("tile_id"), places, ["tile_x", "tile_y"], counts=hot)
     placed = placed.withColumn("__part", F.col("__first") + F.pmod(F.spark_partition_id(), F.col("__spread"))).drop("__first", "__spread")
-    placed = placed.repartition(max(1, -(-total // stretch)), "__part")
-    keys = ["__part", "tile_y", "tile_x"]
-    # The window sorts each task by tile, so the rows are written in that order; a sort by level would undo it, hence
-    # the level's folder is named here rather than by a dynamic partition.
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("tile_x"))
-    name = tile_name(level, F.col("tile_x"), F.col("tile_y"))
-    chunked = placed.withColumns({"chunk": F.floor((number - 1) / max_rows), "tile_id": name})
-    chunked = chunked.withColumnRenamed("__part", "part")
-    chunked.write.mode("overwrite").parquet(f"{path}/level={level}")
-    return written_manifest(df.sparkSession, path)
-
-
-def written_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest rows read back from a written level: counts per chunk, numbered per tile."""
-    chunks = (
-        spark.read.parquet(path)
-        .groupBy("level", "tile_id", "tile_x", "tile_y", "part", "chunk")
-        .agg(F.count(F.lit(1)).alias("n_points"), F.min(F.col("_metadata.file_name")).alias("level_file"))
-    )
-    window = Window.partitionBy("level", "tile_x", "tile_y").orderBy("part", "chunk")
-    return chunks.withColumn("tile_shard", (F.row_number().over(window) - 1).cast("int")).select(
-        F.col("level").cast("short").alias("level"), "level_file", "tile_id", "tile_x", "tile_y", "n_points", "tile_shard"
+    report = []
+
+    def write(folder: str) -> None:
+        report.append(settle(write_row_groups(placed, folder, level, "__part", max(1, -(-total // stretch)), max_rows)))
+
+    replace_folder(spark, f"{path}/level={level}", write)
+    return _manifest(report[0], level)
+
+
+def written_manifest(spark: SparkSession, path: str, level: int) -> DataFrame:
+    """The manifest of a written level, from the footers of its files."""
+    return _manifest(settle(footer_report(spark, f"{path}/level={level}")), level)
+
+
+def _manifest(report: Sized, level: int) -> DataFrame:
+    placed = report.df.withColumn("__order", F.col("part") * F.lit(1 << 31) + F.col("row_group"))
+    sized = Sized(placed, report.rows, report.nbytes)
+    numbered = cumulate(placed, "__order", "tile_shard", keys=["tile_x", "tile_y"], splits=order_splits(sized, "__order"))
+    return numbered.select(
+        F.lit(level).cast("short").alias("level"), F.concat(F.lit(f"level={level}/"), "level_file").alias("level_file"),
+        tile_name(level, F.col("tile_x"), F.col("tile_y")).alias("tile_id"), "tile_x", "tile_y", "n_points", "row_group",
+        F.col("tile_shard").cast("int").alias("tile_shard"),
     )
+
+
+def read_tiles(spark: SparkSession, path: str, level: int, manifest: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of the tiles in `manifest` (any part of one): only their row groups are read."""
+    folder = f"{path}/level={level}"
+    schema = spark.read.parquet(folder).select(*columns).schema
+    groups = manifest.where(F.col("level") == level).select(F.substring_index("level_file", "/", -1).alias("level_file"), "row_group")
+    return read_row_groups(groups, folder, columns, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from tesserae.operators.points import ValueDictionary, dictionary_of_profile, encode_labels, profile_points, validation_of_profile
 from tesserae.operators.tiles import LEAF_TILE_SIZE, MAX_ROWS_PER_SHARD, TileGrid, tile_annotate, tile_counts, write_tiled_level
 from tesserae.sources.components import write_value_dictionary
+from tesserae.sources.files import replace_folder
 from tesserae.sources.points import PointColumns, check_point_schema
 
 
@@ -52,6 +53,8 @@ def build_tiles(
     """Write `genes`, the finest level and its `manifest` below `path`; returns the manifest."""
     plan = plan_tiles(df, columns, leaf, n_levels)
     write_value_dictionary(plan.dictionary.values, f"{path}/genes")
-    manifest = write_tiled_level(plan.annotated(), f"{path}/levels", plan.grid.finest, max_rows=max_rows)
-    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    level = plan.grid.finest
+    counts = tile_counts(tile_annotate(df, plan.grid, level, columns.x, columns.y), level)  # needs no labels
+    manifest = write_tiled_level(plan.annotated(), f"{path}/levels", level, max_rows=max_rows, counts=counts)
+    replace_folder(df.sparkSession, f"{path}/manifest", manifest.write.parquet)
     return df.sparkSession.read.parquet(f"{path}/manifest")

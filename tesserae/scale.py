@@ -106,16 +106,20 @@ def settle(df: DataFrame) -> Sized:
     return Sized(fixed, int(found["n"]), int(found["b"] or 0))
 
 
-def spread_hot_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def spread_hot_keys(
+    left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Add a `__salt` key to both sides so that no key of `left` stays in one task.
 
     Keys with more than `HOT_ROWS` rows get one salt for each `HOT_ROWS` of them. Their left rows are salted by the input
     partition they come from: that does not change when a task is retried, and it also separates identical copies, which
     a hash of the row would not. Their right rows are repeated per salt. The list of hot keys is broadcast: it is counted,
     and the level of heat is doubled until it is small enough. Missing keys match nothing and are spread likewise.
+    `counts(keys, __n)` are the rows of each key of `left`, if they are known already; else `left` is grouped for them.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS)
-    hot, level = settle(counts), HOT_ROWS
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot, level = settle(counts.where(F.col("__n") > HOT_ROWS)), HOT_ROWS
     while not hot.broadcastable:
         level *= 2
         hot = settle(hot.df.where(F.col("__n") > level))
@@ -132,13 +136,15 @@ def spread_hot_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple
     return salted, repeated
 
 
-def join_sized(left: DataFrame, right: DataFrame | Sized, on: str | list[str], how: str = "inner") -> DataFrame:
+def join_sized(
+    left: DataFrame, right: DataFrame | Sized, on: str | list[str], how: str = "inner", counts: DataFrame | None = None
+) -> DataFrame:
     """Join, broadcasting `right` only when it was counted and is small; else a shuffle join with hot keys spread."""
     sized = right if isinstance(right, Sized) else measure(right)
     if sized.broadcastable:
         return left.join(F.broadcast(sized.df), on, how)
     keys = [on] if isinstance(on, str) else list(on)
-    salted, repeated = spread_hot_keys(left, sized.df, keys)
+    salted, repeated = spread_hot_keys(left, sized.df, keys, counts)
     return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
@@ -194,31 +200,32 @@ def cumulate(
     keys: list[str] | None = None,
     weight: str | None = None,
     splits: list | None = None,
+    ties: list[str] | None = None,
 ) -> DataFrame:
     """Add `out`: over the earlier rows of the same key, in `order`, their number or the sum of `weight`.
 
     With split points, a key's rows are spread over (key, range) groups and a small table of range totals
-    supplies the offsets, so a key that owns a third of the data is still handled by many tasks. `order` must
-    be unique within a key for the numbering to be well defined.
+    supplies the offsets, so a key that owns a third of the data is still handled by many tasks. `order`, with
+    the columns of `ties`, must be unique within a key for the numbering to be well defined.
     """
-    keys = list(keys or [])
+    keys, ties = list(keys or []), list(ties or [])
 
     def total(column: str | None) -> Column:
         return F.count(F.lit(1)) if column is None else F.sum(column)
 
-    def earlier(groups: list[str], by: str, column: str | None) -> Column:
-        window = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(by)
+    def earlier(groups: list[str], by: list[str], column: str | None) -> Column:
+        window = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*by)
         if column is None:
             return F.row_number().over(window).cast("long") - 1
         frame = window.rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(column).over(frame), F.lit(0))
 
     if not splits:
-        return df.withColumn(out, earlier(keys, order, weight))
+        return df.withColumn(out, earlier(keys, [order, *ties], weight))
     ranged = df.withColumn("__range", range_of(F.col(order), splits))
-    body = ranged.withColumn("__inside", earlier([*keys, "__range"], order, weight))
+    body = ranged.withColumn("__inside", earlier([*keys, "__range"], [order, *ties], weight))
     totals = ranged.groupBy(*keys, "__range").agg(total(weight).alias("__total"))
-    offsets = totals.select(*keys, "__range", earlier(keys, "__range", "__total").alias("__before"))
+    offsets = totals.select(*keys, "__range", earlier(keys, ["__range"], "__total").alias("__before"))
     return (
         body.join(offsets, [*keys, "__range"])
         .withColumn(out, F.col("__inside") + F.col("__before"))

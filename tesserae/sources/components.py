@@ -8,34 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators.points import problem_of
-from tesserae.scale import settle
-
-
-def _filesystem(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    filesystem, target = _filesystem(spark, path)
-    return filesystem.exists(target)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    filesystem, target = _filesystem(spark, path)
-    filesystem.delete(target, True)
+from tesserae.sources.files import delete, exists, replace_folder
 
 
 def _overwrite(df: DataFrame, path: str) -> None:
-    """Overwrite a folder that the plan itself may read: cut the lineage first."""
-    settle(df).df.write.mode("overwrite").parquet(path)
+    """Replace a folder, which the plan itself may read, once the new rows are written."""
+    replace_folder(df.sparkSession, path, df.write.parquet)
 
 
 def write_value_dictionary(values: DataFrame, path: str) -> None:
     """`gene_id, gene, n_transcripts` with a fixed schema in id order."""
-    values.select(
+    rows = values.select(
         F.col("value_id").cast("long").alias("gene_id"), F.col("value").cast("string").alias("gene"), F.col("n_points").cast("long").alias("n_transcripts")
-    ).orderBy("gene_id").write.mode("overwrite").parquet(path)
+    ).orderBy("gene_id")
+    _overwrite(rows, path)
 
 
 def write_table_components(

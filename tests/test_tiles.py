@@ -1,11 +1,14 @@
+import os
 import uuid
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import tiles as T
 from tesserae.plans.build_tiles import build_tiles, plan_tiles
 from tesserae.sources.points import PointColumns
+from tesserae.sources.row_groups import footer_report, write_row_groups
 
 SCHEMA = "x double, y double, gene_id long, transcript_id string"
 ROWS = [(0.0, 10.0, 1, "a"), (99.5, 109.5, 2, "b"), (100.0, 110.0, 3, "c"), (200.0, 210.0, 4, "d")]
@@ -102,8 +105,10 @@ def test_written_level_caps_shards_and_keeps_every_row(spark, tmp_path, rows_per
         shards = sorted(r.tile_shard for r in rows if (r.tile_x, r.tile_y) == tile)
         assert shards == list(range(len(shards)))
         assert sum(r.n_points for r in rows if (r.tile_x, r.tile_y) == tile) == n
-    parts = {r.part for r in spark.read.parquet(path).where("tile_x = 0").select("part").distinct().collect()}
-    assert (len(parts) > 1) == (rows_per_task == 50)
+    files = {r.level_file for r in rows if r.tile_x == 0}
+    assert (len(files) > 1) == (rows_per_task == 50)
+    kept = spark.read.parquet(path).select("tile_id", "gene_id", "x_rel")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, tiled.select(*kept.columns).collect()))
 
 
 def test_build_tiles(spark, tmp_path):
@@ -132,3 +137,73 @@ def test_neighbouring_tiles_share_files(spark, tmp_path):
     assert len(per_file) > 2 and max(map(len, per_file.values())) <= 6  # a file holds a few rows of tiles, not all eight
     row = {r.level_file for r in manifest if r.tile_y == 3}
     assert len(row) <= 2
+
+
+def grid_points(spark, n=4000, slices=5):
+    return spark.range(0, n, 1, slices).select(
+        (F.col("id") * 7 % 97 * 10.0).alias("x"), (F.col("id") * 13 % 89 * 8.0).alias("y"), F.col("id").alias("gene_id"))
+
+
+def test_a_row_group_holds_one_tile(spark, tmp_path):
+    tiled = T.tile_annotate(grid_points(spark), T.TileGrid(0.0, 0.0, 970.0, 720.0, 100.0, 1), 0)
+    path = str(tmp_path / uuid.uuid4().hex)
+    manifest = T.write_tiled_level(tiled, path, 0, max_rows=30, partitions=4)
+    rows = {(r.level_file, r.row_group): r for r in manifest.collect()}
+    seen = 0
+    for name in {f for f, _ in rows}:
+        file = pq.ParquetFile(f"{path}/{name}")
+        order = []
+        for group in range(file.metadata.num_row_groups):
+            found = file.read_row_group(group, columns=["tile_x", "tile_y", "tile_id"]).to_pylist()
+            row = rows[name, group]
+            assert len(found) == row.n_points <= 30
+            assert {(f["tile_x"], f["tile_y"], f["tile_id"]) for f in found} == {(row.tile_x, row.tile_y, row.tile_id)}
+            order.append((row.tile_y, row.tile_x))
+            seen += 1
+        assert order == sorted(order)
+    assert seen == len(rows)
+    assert sorted(map(tuple, T.written_manifest(spark, path, 0).collect())) == sorted(map(tuple, manifest.collect()))
+
+
+def test_only_the_groups_of_a_tile_are_read(spark, tmp_path):
+    tiled = T.tile_annotate(grid_points(spark), T.TileGrid(0.0, 0.0, 970.0, 720.0, 100.0, 1), 0)
+    path = str(tmp_path / uuid.uuid4().hex)
+    manifest = T.write_tiled_level(tiled, path, 0, max_rows=30, partitions=4)
+    chosen = manifest.where("tile_x = 3 AND tile_y IN (2, 5)")
+    got = T.read_tiles(spark, path, 0, chosen, ["gene_id", "tile_y"])
+    want = tiled.where("tile_x = 3 AND tile_y IN (2, 5)").select("gene_id", "tile_y")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_a_failed_write_leaves_the_level_as_it_was(spark, tmp_path):
+    tiled = T.tile_annotate(grid_points(spark), T.TileGrid(0.0, 0.0, 970.0, 720.0, 100.0, 1), 0)
+    path = str(tmp_path / uuid.uuid4().hex)
+    T.write_tiled_level(tiled, path, 0, partitions=3)
+    before = sorted(map(tuple, spark.read.parquet(f"{path}/level=0").collect()))
+    broken = tiled.withColumn("gene_id", F.when(F.col("gene_id") == 3999, F.raise_error(F.lit("no"))).otherwise(F.col("gene_id")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        T.write_tiled_level(broken, path, 0, partitions=3, counts=T.tile_counts(tiled, 0))
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/level=0").collect())) == before
+    assert os.listdir(path) == ["level=0"]
+    T.write_tiled_level(tiled.where("gene_id < 100"), path, 0)  # and a later one replaces it
+    assert spark.read.parquet(f"{path}/level=0").count() == 100
+    T.write_tiled_level(tiled.limit(0), path, 0)
+    assert T.written_manifest(spark, path, 0).count() == 0
+
+
+def test_an_attempt_that_is_repeated_writes_the_same_file(spark, tmp_path):
+    """The first attempt of each task dies after it wrote; the next one puts the same groups in the same place."""
+    tiled = T.tile_annotate(grid_points(spark), T.TileGrid(0.0, 0.0, 970.0, 720.0, 100.0, 1), 0).withColumn("part", F.lit(2))
+    folder = str(tmp_path / "groups")
+    report = write_row_groups(tiled, folder, 0, "part", 3, 50)
+    first, second = (sorted(map(tuple, report.collect())) for _ in range(2))
+    assert first == second and os.listdir(folder) == ["part-000002.parquet"]
+    assert sorted(map(tuple, footer_report(spark, folder).collect())) == first
+
+
+def test_far_tiles_keep_their_order(spark, tmp_path):
+    big = T.UINT32_MAX
+    df = spark.createDataFrame([(big, big, 1.0), (0, big, 2.0), (big, 0, 3.0), (0, 0, 4.0)], "tile_x long, tile_y long, v double")
+    manifest = T.write_tiled_level(df, str(tmp_path / "far"), 0, partitions=1)
+    rows = manifest.orderBy("row_group").collect()
+    assert [(r.tile_x, r.tile_y) for r in rows] == [(0, 0), (big, 0), (0, big), (big, big)]
