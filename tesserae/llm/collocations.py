@@ -39,10 +39,10 @@ SCALE = 2_000_000
 RANKED = 1 << 20
 BITMAP = 1 << 27
 TILE_BITS = 8
-DENSE = 1 << 14
-PAIRS = 1 << 22
+DENSE = 1 << 13
+PAIRS = 1 << 20
 DENSE_AT_ONCE = 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 NOT_FREQUENT = -1
 STOPS = b".,;:!?\n\x0b\x0c\r"
 _stop = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
@@ -133,12 +133,12 @@ class Ranks:
         out = np.full(len(hashes), NOT_FREQUENT, np.int64)
         place = hashes & (len(self.bitmap) * 64 - 1)
         maybe = np.flatnonzero(self.bitmap[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1))
-        if not len(maybe) or not len(self.hashes):
-            return out
         asked = hashes[maybe]
-        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
-        known = self.hashes[at] == asked
-        out[maybe[known]] = self.ranks[at[known]]
+        known = np.zeros(len(asked), bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+            known = self.hashes[at] == asked
+            out[maybe[known]] = self.ranks[at[known]]
         if not self.complete:
             out[maybe[~known]] = -2 - asked[~known]
         return out
@@ -172,36 +172,36 @@ def _runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_tiles(a: np.ndarray, b: np.ndarray, bits: int = TILE_BITS, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs of ranks and their counts; tiles of `dense` or more pairs are counted as arrays, the others by sorting."""
-    low, cells = (1 << bits) - 1, 1 << 2 * bits
-    tile = (a >> bits) << 32 | b >> bits
-    cell = (a & low) << bits | b & low
-    sorted_tiles = np.sort(tile)
-    at, length = _runs([sorted_tiles])
-    full = sorted_tiles[at[length >= dense]]
-    tiles, inside, counts = [], [], []
+    """The distinct pairs of ranks and their counts; tiles of `dense` or more pairs are counted as arrays, the others by sorting.
+
+    An address is the tile's row, its column and the cell in it; ranks have 31 bits at most.
+    """
+    low, cells, width = (1 << bits) - 1, 1 << 2 * bits, 31 - bits
+    address = (((a >> bits) << width | b >> bits) << 2 * bits) | (a & low) << bits | b & low
+    tile = address >> 2 * bits
+    ordered = np.sort(tile)
+    at, length = _runs([ordered])
+    full = ordered[at[length >= dense]]
+    found, counts = [], []
     slot = np.searchsorted(full, tile)
     is_dense = full[np.minimum(slot, len(full) - 1)] == tile if len(full) else np.zeros(len(tile), bool)
     for first in range(0, len(full), DENSE_AT_ONCE):
         here = is_dense & (slot >= first) & (slot < first + DENSE_AT_ONCE)
-        table = np.bincount((slot[here] - first) * cells + cell[here])
-        found = np.flatnonzero(table)
-        tiles.append(full[first + found // cells])
-        inside.append(found % cells)
-        counts.append(table[found])
-    rest_tile, rest_cell = tile[~is_dense], cell[~is_dense]
-    order = np.lexsort((rest_cell, rest_tile))
-    rest_tile, rest_cell = rest_tile[order], rest_cell[order]
-    if len(order):
-        at, length = _runs([rest_tile, rest_cell])
-        tiles.append(rest_tile[at])
-        inside.append(rest_cell[at])
+        table = np.bincount((slot[here] - first) * cells + (address[here] & cells - 1))
+        filled = np.flatnonzero(table)
+        found.append(full[first + filled // cells] << 2 * bits | filled % cells)
+        counts.append(table[filled])
+    rest = np.sort(address[~is_dense])
+    if len(rest):
+        at, length = _runs([rest])
+        found.append(rest[at])
         counts.append(length)
-    if not tiles:
+    if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
-    tiles, inside, counts = (np.concatenate(x) for x in (tiles, inside, counts))
-    return (tiles >> 32) << bits | inside >> bits, (tiles & 0xFFFFFFFF) << bits | inside & low, counts
+    found, counts = np.concatenate(found), np.concatenate(counts)
+    high, inside = found >> 2 * bits, found & cells - 1
+    return (high >> width) << bits | inside >> bits, (high & (1 << width) - 1) << bits | inside & low, counts
 
 
 def _count_named(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
