@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.byte_bpe import codec
-from tesserae.llm.shared import ship
+from tesserae.llm.shared import map_partitions
 
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[TEXT]", "[/ROLE]")
 # marks before and after the text, by role
@@ -141,8 +141,6 @@ def formatted(turns: DataFrame, ranks: str, pattern: str, part_ids: int = PART_I
     or role counts as empty. Rows without conv_id are one conversation. Other columns are not looked at; an empty table
     gives an empty result.
     """
-    spark = turns.sparkSession
-    ship(spark)
     empty = F.lit("")
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
@@ -178,7 +176,7 @@ def formatted(turns: DataFrame, ranks: str, pattern: str, part_ids: int = PART_I
         if part is not None:
             yield part.row(False)
 
-    return dealt.mapInArrow(run, FORMATTED)
+    return map_partitions(dealt, run, FORMATTED)
 
 
 def read_turns(formats: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -186,8 +184,6 @@ def read_turns(formats: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     `printed` is the turn with its marks and escapes, `loss` its text under the loss mask. `place` counts turns in a part.
     """
-    ship(formats.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = template(ranks, pattern)
         for batch in batches:
@@ -199,7 +195,7 @@ def read_turns(formats: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 yield pa.record_batch(columns, ["conv_id", "part", "place", "role", "text", "printed", "loss"])
 
     schema = "conv_id long, part long, place long, role string, text string, printed string, loss string"
-    return formats.select("conv_id", "part", "ids", "mask").mapInArrow(run, schema)
+    return map_partitions(formats.select("conv_id", "part", "ids", "mask"), run, schema)
 
 
 class _Digest:
@@ -224,7 +220,6 @@ def digests(formats: DataFrame, ranks: str, pattern: str) -> DataFrame:
     Conversations known to be in one part need no shuffle. Parts of the others meet in the order of their numbers; a task reads
     them one after the other and keeps running digests only.
     """
-    ship(formats.sparkSession)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
@@ -252,4 +247,4 @@ def digests(formats: DataFrame, ranks: str, pattern: str) -> DataFrame:
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     parts = formats.select("conv_id", "part", "whole", "ids", "mask")
     split = parts.where("not whole").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return parts.where("whole").mapInArrow(run, schema).unionAll(split.mapInArrow(run, schema))
+    return map_partitions(parts.where("whole"), run, schema).unionAll(map_partitions(split, run, schema))

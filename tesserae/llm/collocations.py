@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import map_batches, ship, stored
+from tesserae.llm.shared import map_batches, map_partitions, stored
 
 LONGEST = 4
 MIN_COUNT = 30
@@ -240,8 +240,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def pair_counts(docs: DataFrame, ranks: Broadcast, length: int, pairs: int = PAIRS) -> DataFrame:
     """`(first, second, a)`: counts of neighbouring frequent phrases of `length` words, by name."""
-    ship(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, waiting, held = ranks.value, [], 0
 
@@ -266,7 +264,7 @@ def pair_counts(docs: DataFrame, ranks: Broadcast, length: int, pairs: int = PAI
         if held:
             yield from flush()
 
-    found = _texts(docs).mapInArrow(run, "first long, second long, a long")
+    found = map_partitions(_texts(docs), run, "first long, second long, a long")
     return found.groupBy("first", "second").agg(F.sum("a").alias("a"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import discard, map_batches, stored
+from tesserae.llm.shared import broadcast, discard, map_batches, stored
 
 TRAIN_ROWS = 1_500
 BITS, KNOWN = 11, 64
@@ -263,7 +263,7 @@ def scored(docs: DataFrame, pair: Pair, keep: float = KEEP) -> DataFrame:
     a value of their own. If training saw one class only, all rows get one constant score. Repeated rows score alike; an
     empty table gives an empty result; other columns are not looked at.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(pair)
+    sent = broadcast(docs.sparkSession, pair)
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         source, lang = batch.column("source").to_pylist(), batch.column("lang").to_pylist()

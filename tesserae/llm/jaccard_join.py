@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
 from tesserae.llm.components import components
-from tesserae.llm.shared import discard, map_batches, ship, stored, texts_of
+from tesserae.llm.shared import broadcast, discard, map_batches, map_partitions, stored, texts_of
 from tesserae.scale import BROADCAST_ROWS
 
 WORDS, PERCENT = 5, 75
@@ -89,7 +89,6 @@ def shingle_counts(docs: DataFrame, total: int, width: int = WORDS, least: int =
     them; a task sums one range at a time. A shingle that very many documents have comes once from each two million.
     """
     bits = max(0, -(-total // SHINGLES_PER_BUCKET) - 1).bit_length()
-    ship(docs.sparkSession)
 
     def pack(seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         every = np.sort(np.concatenate(seen))
@@ -131,8 +130,8 @@ def shingle_counts(docs: DataFrame, total: int, width: int = WORDS, least: int =
         if held:
             yield flush()
 
-    packed = docs.mapInArrow(collect, "bucket long, shingles binary, counts binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "token long, times long")
+    packed = map_partitions(docs, collect, "bucket long, shingles binary, counts binary")
+    return map_partitions(packed.repartition("bucket").sortWithinPartitions("bucket"), add, "token long, times long")
 
 
 def _prefixes(block: tb.Block, ids: pa.Array, width: int, percent: int, hot: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
@@ -178,7 +177,7 @@ def prefixes(docs: DataFrame, counts: DataFrame, width: int, percent: int, sent:
         listed = counts.toArrow()
         tokens = listed.column("token").to_numpy().view(np.uint64)
         order = np.argsort(tokens)
-        known = spark.sparkContext.broadcast((tokens[order], listed.column("times").to_numpy()[order]))
+        known = broadcast(spark, (tokens[order], listed.column("times").to_numpy()[order]))
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for block in tb.blocks(batch.column("text")):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import map_batches, texts_of
+from tesserae.llm.shared import broadcast, map_batches, texts_of
 from tesserae.llm.toxicity import Lexicon
 
 TRAIN_ROWS = 800
@@ -165,7 +165,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     `score` is the calibrated probability of the prediction, `doubtful` says that it lies under the level of rejection.
     Repeated rows get equal results; an empty table gives an empty result; other columns are not looked at.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = broadcast(docs.sparkSession, model)
 
     def predict(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = sent.value

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +69,50 @@ def ship(spark: SparkSession) -> None:
     context._tesserae_shipped = True
 
 
+def give_back() -> None:
+    """Return memory that this process holds but doesn't use: workers outlive their tasks, and a later one needs it elsewhere."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_partitions(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """`mapInArrow` with this package at hand; when a task ends, its worker keeps no memory that it doesn't need."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+_sent: list[Broadcast] | None = None
+
+
+def broadcast(spark: SparkSession, value) -> Broadcast:
+    """A broadcast variable; one made in a stage (see `new_stage`) goes when the next stage begins."""
+    made = spark.sparkContext.broadcast(value)
+    if _sent is not None:
+        _sent.append(made)
+    return made
+
+
+def new_stage() -> None:
+    """Begin a step whose input is written: broadcast variables of the step before are destroyed, as nothing reads them again."""
+    global _sent
+    for made in _sent or []:
+        made.destroy()
+    _sent = []
+    give_back()
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """`mapInArrow` for a function of one batch that gives any number of batches."""
-    spark = df.sparkSession
-    ship(spark)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), BATCH_ROWS):
@@ -78,7 +120,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.
                 if part.num_rows:
                     yield from function(part)
 
-    return df.mapInArrow(run, schema)
+    return map_partitions(df, run, schema)
 
 
 def texts_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

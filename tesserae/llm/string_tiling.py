@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import filter_rows, map_batches, ship, texts_of
+from tesserae.llm.shared import broadcast, filter_rows, map_batches, ship, texts_of
 from tesserae.llm.toxicity import letters_and_digits, words_of
 
 SEED = 5
@@ -167,7 +167,7 @@ def _item_blocks(items: DataFrame) -> Iterator:
     passes = max(1, -(-nbytes // BLOCK_ITEMS_BYTES))
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).toArrow().sort_by("item_id")
-        yield spark.sparkContext.broadcast(Items(part.column("item_id").to_pylist(), part.column("text").combine_chunks()))
+        yield broadcast(spark, Items(part.column("item_id").to_pylist(), part.column("text").combine_chunks()))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = COVERAGE) -> DataFrame:

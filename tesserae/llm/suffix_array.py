@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import discard, map_batches, ship, stored, texts_of
+from tesserae.llm.shared import discard, map_batches, map_partitions, stored, texts_of
 from tesserae.scale import BROADCAST_ROWS
 
 MIN_BYTES = 50
@@ -273,8 +273,6 @@ def _repeat_rows(anchor: np.ndarray, b1, b2, low, high, column: pa.Array, least:
 
 def _repeats(distinct: DataFrame, width: int) -> DataFrame:
     """Maximal repeats among the distinct blocks of each anchor; an anchor's blocks never leave their chunk."""
-    ship(distinct.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -298,7 +296,7 @@ def _repeats(distinct: DataFrame, width: int) -> DataFrame:
             yield done(pa.Table.from_batches(held))
 
     ordered = distinct.repartition("anchor").sortWithinPartitions("anchor")
-    return ordered.mapInArrow(run, "b1 long, b2 long, group_id long, start int, length int, first_doc long")
+    return map_partitions(ordered, run, "b1 long, b2 long, group_id long, start int, length int, first_doc long")
 
 
 def _few(df: DataFrame) -> bool:
@@ -353,15 +351,12 @@ def copies(docs: DataFrame) -> DataFrame:
 def _cut(batch: pa.RecordBatch, with_text: bool) -> Iterator[pa.RecordBatch]:
     import hashlib
 
-    column = batch.column("text").fill_null("").cast(pa.large_binary())
-    starts, ends = batch.column("starts").to_pylist(), batch.column("ends").to_pylist()
-    whole = batch.column("whole").to_pylist()
+    columns = [batch.column(c) for c in ("whole", "starts", "ends")]
     out = []
-    for i, data in enumerate(column.to_pylist()):
-        if whole[i]:
-            spans = [(0, len(data))] if data else []
-        else:
-            spans = merged(starts[i] or [], ends[i] or [])
+    for i, text in enumerate(batch.column("text")):  # one text at a time
+        data = (text.as_py() or "").encode()
+        whole, starts, ends = (c[i].as_py() for c in columns)
+        spans = ([(0, len(data))] if data else []) if whole else merged(starts or [], ends or [])
         if with_text:
             spans = [s for s in (character_span(data, *s) for s in spans) if s[0] < s[1]]
         kept, at = [], 0

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import map_batches, shared_folder, ship, stored, texts_of
+from tesserae.llm.shared import map_batches, map_partitions, shared_folder, ship, stored, texts_of
 
 BLOCK_IDS = 4096
 HEADER = struct.Struct("<4sIQQII")
@@ -256,7 +256,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             yield flush()
 
     ordered = packed.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
-    return stored(ordered.mapInArrow(write, "part int, name string, documents long, ids long"), "manifest")
+    return stored(map_partitions(ordered, write, "part int, name string, documents long, ids long"), "manifest")
 
 
 def read_packed(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

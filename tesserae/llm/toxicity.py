@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
-from tesserae.llm.shared import filter_rows, map_batches, texts_of
+from tesserae.llm.shared import broadcast, filter_rows, give_back, map_batches, texts_of
 
 TRAIN_ROWS = 1_500
 WINDOW, STRIDE = 32, 24
@@ -379,7 +379,10 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int) ->
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_ROWS) -> Scorer:
     """Train on the labelled rows of `docs`; nothing but text and `labels.toxic` is looked at."""
     texts, label, prior = labelled(texts_of(docs), labels, "toxic", per_class)
-    return train(texts, label, prior)
+    try:
+        return train(texts, label, prior)
+    finally:
+        give_back()
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
@@ -388,7 +391,7 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     Null, empty and wordless texts score 0. Repeated rows score alike; an empty table gives an empty result. If training
     saw only one class, or nothing, every text with words gets one constant score. Other columns are not looked at.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+    sent = broadcast(docs.sparkSession, scorer)
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batch.column("text")):
@@ -401,7 +404,7 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, with all columns, whose texts score under `threshold`; rows without an id are judged alike."""
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+    sent = broadcast(docs.sparkSession, scorer)
 
     def keep(texts: pa.Array) -> np.ndarray:
         parts = [sent.value.scores(block) < threshold for block in tb.blocks(texts)]
