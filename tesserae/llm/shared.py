@@ -44,7 +44,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files of tables made by `stored` that no later step reads."""
+    """Delete the files of tables made by `stored` that no later step reads.
+
+    The driver collects its garbage then: Spark drops broadcasts and shuffle files on the executors when the plans that made them are
+    collected, which may take long in a driver that has memory left.
+    """
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
     for df in frames:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
