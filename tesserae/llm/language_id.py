@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
 from tesserae.llm.shared import broadcast, map_batches, texts_of
+from tesserae.scale import join_sized
 from tesserae.llm.toxicity import Lexicon
 
 TRAIN_ROWS = 800
@@ -144,14 +145,19 @@ def train(texts: pa.Array, languages: list[str], label: np.ndarray, seed: int =
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Train on `docs(doc_id, text, lang)` rows with a text and a language, about `rows` of each language."""
+    """Train on `docs(doc_id, text, lang)` rows with a text and a language, at most `rows` ids of each language.
+
+    An id with several languages counts for each; of several texts of an id and language the smallest is taken.
+    """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     chosen = chosen.where("text is not null and lang is not null")
     counts = chosen.groupBy("lang").agg(F.count("*").alias("n"))
     order = F.xxhash64("doc_id", "lang")
-    thin = chosen.join(counts, "lang").where(F.pmod(order, F.lit(1_000_000)) * F.col("n") < F.lit(1_500_000 * rows))
+    # ids are thinned and ranked alone; only the texts of those chosen are fetched, one of each id and language
+    thin = join_sized(chosen.select("doc_id", "lang"), counts, "lang").where(F.pmod(order, F.lit(1_000_000)) * F.col("n") < F.lit(1_500_000 * rows))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    table = thin.withColumn("place", place).where(F.col("place") <= rows).select("doc_id", "text", "lang").toArrow()
+    sample = thin.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= rows).drop("place")
+    table = join_sized(chosen, sample, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     names = sorted(set(table.column("lang").to_pylist()))
     label = np.array([names.index(x) for x in table.column("lang").to_pylist()], np.int64)
