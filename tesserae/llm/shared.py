@@ -51,6 +51,7 @@ def discard(*frames: DataFrame) -> None:
     """
     if frames:
         frames[0].sparkSession.sparkContext._jvm.System.gc()
+        give_back()
     for df in frames:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
