@@ -71,9 +71,8 @@ def bbox_prefilter(spark, folder):
 WITH {INSIDE_SQL} SELECT c_mktsegment AS region, c_custkey AS instance_id,
   CASE WHEN c_custkey IN (SELECT instance_id FROM inside) THEN 'tumor' END AS note FROM customer""")
 def annotate_by_polygon(spark, folder):
-    points = customer_points(spark, folder)
-    matched = G.points_in_polygons(points, nation_boxes(spark, folder), ["region", "instance_id"])
-    return A.annotate_matched(points.select("region", "instance_id"), matched, "note", " tumor ", "new")
+    marked = G.mark_covered(customer_points(spark, folder), nation_boxes(spark, folder), "covered").select("region", "instance_id", "covered")
+    return A.annotate_flagged(marked, "covered", "note", " tumor ", "new")
 
 
 @query("polygon_area_bounds", """

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tesserae.functions.numeric import Affine, is_finite
+from tesserae.functions.orientation import orientation
 
 # Vertices of a polygon that stands for an ellipse.
 ELLIPSE_SEGMENTS = 64
@@ -90,25 +91,19 @@ def transform_rings(rings: Column, affine: Affine) -> Column:
     )
 
 
-def cross(s: Column, x: Column, y: Column) -> Column:
-    """Twice the signed area of the triangle (edge start, edge end, point)."""
-    return (s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"])
-
-
 def on_edge(s: Column, x: Column, y: Column) -> Column:
     return (
-        (cross(s, x, y) == 0)
-        & (x >= F.least(s["x1"], s["x2"])) & (x <= F.greatest(s["x1"], s["x2"]))
+        (x >= F.least(s["x1"], s["x2"])) & (x <= F.greatest(s["x1"], s["x2"]))
         & (y >= F.least(s["y1"], s["y2"])) & (y <= F.greatest(s["y1"], s["y2"]))
+        & (orientation(s, x, y) == 0)
     )
 
 
 def crosses_ray(s: Column, x: Column, y: Column) -> Column:
     """The edge meets the horizontal ray that starts at the point and runs towards larger x."""
     straddles = (s["y1"] > y) != (s["y2"] > y)
-    rising = s["y2"] > s["y1"]
-    side = cross(s, x, y)
-    return straddles & F.when(rising, side > 0).otherwise(side < 0)
+    rising = F.when(s["y2"] > s["y1"], 1).otherwise(-1)
+    return straddles & (orientation(s, x, y) * rising > 0)
 
 
 def on_boundary(edges: Column, x: Column, y: Column) -> Column:
@@ -137,11 +132,11 @@ def crosses_upward(s: Column, x: Column, y: Column) -> Column:
     """The edge meets the vertical ray that starts at the point and runs upward. A point on the edge's line is taken to lie
     to the right of it, as in `crosses_ray`, so that both rays tell the same parity."""
     straddles = (s["x1"] > x) != (s["x2"] > x)
-    side, rising, forward = cross(s, x, y), s["y2"] > s["y1"], s["x2"] > s["x1"]
-    left = F.when(rising, side > 0).otherwise(side < 0)
-    level = F.when(forward, side < 0).otherwise(side > 0)
-    below = F.when(s["y1"] == s["y2"], level).when(rising == forward, ~left).otherwise(left)
-    return straddles & below
+    rising, forward = (F.when(s[f"{c}2"] > s[f"{c}1"], 1).otherwise(-1) for c in ("y", "x"))
+    flat, along = s["y1"] == s["y2"], rising == forward
+    # left of the edge, taken upward, or below a level one; for an edge that runs up to the right the other side, with the line
+    turned = orientation(s, x, y) * F.when(flat, -forward).when(along, -rising).otherwise(rising)
+    return straddles & (turned > F.when(~flat & along, -1).otherwise(0))
 
 
 def odd_at(edges: Column, x: Column, y: Column) -> Column:

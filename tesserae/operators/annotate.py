@@ -124,6 +124,14 @@ def annotate_matched(obs: DataFrame, matched: DataFrame, column: str, value: str
     return marked.withColumn(column, new).drop("__matched")
 
 
+def annotate_flagged(obs: DataFrame, flag: str, column: str, value: str | int | None, mode: str = "existing") -> DataFrame:
+    """Set or remove a value on the rows whose column `flag` is true, which goes; no join is needed."""
+    check_target_column(obs, column, mode)
+    value = check_value(obs, column, value, mode)
+    new = F.when(F.col(flag), _typed(value, obs, column)).otherwise(_current(obs, column, value))
+    return obs.withColumn(column, new).drop(flag)
+
+
 @dataclass(frozen=True)
 class PreparedAnnotation:
     """What an annotation was prepared from: matched ids with their values then, and the inputs' identities."""

@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import (
-    bounds, covers, cross, edges_between, edges_in_slab, first, odd_at, odd_in_cell, on_boundary, polygon_area, polygon_edges, ring_edges,
+    bounds, covers, edges_between, edges_in_slab, first, odd_at, odd_in_cell, on_boundary, polygon_area, polygon_edges, ring_edges,
     ring_problem, transform_rings,
 )
 from tesserae.functions.numeric import Affine
-from tesserae.scale import join_sized, settle, spread_hot_keys
+from tesserae.functions.orientation import orientation
+from tesserae.operators.sweep import ring_problems
+from tesserae.scale import join_sized, settle, ship_package, spread_hot_keys
 
 CELLS_PER_AXIS = 4
 SMALLEST_LEVEL = -1000
@@ -89,41 +91,54 @@ def _visit(points: DataFrame, levels: Sequence[int], x: str, y: str) -> DataFram
     return visited.withColumns({"__cx": F.floor(F.col(x) / size), "__cy": F.floor(F.col(y) / size)})
 
 
-def points_in_polygons(
-    points: DataFrame, polygons: DataFrame, ids: Sequence[str], *, x: str = "x", y: str = "y", rings: str = "rings",
-    affine: Affine | None = None, by: Sequence[str] = (),
+def mark_covered(
+    points: DataFrame, polygons: DataFrame, flag: str, *, x: str = "x", y: str = "y", rings: str = "rings",
+    affine: Affine | None = None, by: Sequence[str] = (), only: bool = False,
 ) -> DataFrame:
-    """Points that the union of the polygons covers: boundary in, hole interior out, rim of a hole in.
+    """Points with `flag`, whether the union of the polygons covers them: boundary in, hole interior out, rim of a hole in.
 
-    `ids` identify a point. `affine` maps polygon coordinates into those of the points. `by` names columns that
-    point and polygon must share. The polygons are broadcast when small; the semi join gives a point at most once
-    per cell size, so duplicates are removed only if several sizes are in use, and among matches only.
+    `affine` maps polygon coordinates into those of the points. `by` names columns that point and polygon must share. A cell
+    size in use costs one existence join, which passes each point once; the cells are broadcast when small. With `only`,
+    points outside the box of all polygons are dropped beforehand by plain comparisons.
     """
     shapes = polygons if affine is None else polygons.withColumn(rings, transform_rings(F.col(rings), affine))
-    cells = settle(polygon_cells(shapes, rings).select(*by, "__level", "__cx", "__cy", "min_x", "max_x", "min_y", "max_y", "edges", "base"))
+    limits = ("min_x", "max_x", "min_y", "max_y", "edges", "base")
+    cells = settle(polygon_cells(shapes, rings).select(*by, "__level", "__cx", "__cy", *limits))
     found = cells.df.agg(
         F.sort_array(F.collect_set("__level")).alias("levels"), F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")
     ).first()
-    if not found["levels"]:
-        return points.limit(0)
-    near = _visit(bbox_prefilter(points, found[1:], x, y), found["levels"], x, y)
-    keys = [*by, "__level", "__cx", "__cy"]
-    cell_side = cells.df
-    if not cells.broadcastable:
-        near, cell_side = spread_hot_keys(near, cell_side, keys)
-        keys = [*keys, "__salt"]
-    limits = ("min_x", "max_x", "min_y", "max_y", "edges", "base")
-    cell_side = cell_side.select(*[F.col(k).alias(f"{k}_side") for k in keys], *[F.col(c).alias(f"__{c}") for c in limits])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & (F.col(k) == F.col(f"{k}_side"))
+    if only and found["levels"]:
+        points = bbox_prefilter(points, found[1:], x, y)
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    condition = condition & px.between(F.col("__min_x"), F.col("__max_x")) & py.between(F.col("__min_y"), F.col("__max_y"))
-    reference = _reference(F.col("__cx"), F.col("__cy"), cell_size(F.col("__level")))
-    condition = condition & (odd_in_cell(F.col("__edges"), F.col("__base"), px, py, *reference) | on_boundary(F.col("__edges"), px, py))
-    side = F.broadcast(cell_side) if cells.broadcastable else cell_side
-    matched = near.join(side, condition, "left_semi").drop("__level", "__cx", "__cy", "__salt")
-    return matched if len(found["levels"]) == 1 else matched.dropDuplicates(list(ids))
+    covered = F.lit(False)
+    for level in found["levels"]:
+        size = F.lit(2.0**level)
+        keys = [*by, "__cx", "__cy"]
+        side = cells.df.where(F.col("__level") == level).drop("__level")
+        points = points.withColumns({"__cx": F.floor(px / size), "__cy": F.floor(py / size)})
+        if not cells.broadcastable:
+            points, side = spread_hot_keys(points, side, keys)
+            keys = [*keys, "__salt"]
+        side = side.select(*[F.col(k).alias(f"{k}_side") for k in keys], *[F.col(c).alias(f"__{c}") for c in limits])
+        # names of their own: those that the inner side has, too, would be taken from there
+        points = points.withColumns({f"__at{i}": F.col(k) for i, k in enumerate(keys)} | {"__vx": px, "__vy": py})
+        condition = F.lit(True)
+        for i, k in enumerate(keys):
+            condition = condition & (F.col(f"{k}_side") == F.col(f"__at{i}").outer())
+        ox, oy = F.col("__vx").outer(), F.col("__vy").outer()
+        reference = _reference(F.col("__cx_side"), F.col("__cy_side"), size)
+        condition = condition & ox.between(F.col("__min_x"), F.col("__max_x")) & oy.between(F.col("__min_y"), F.col("__max_y"))
+        condition = condition & (odd_in_cell(F.col("__edges"), F.col("__base"), ox, oy, *reference) | on_boundary(F.col("__edges"), ox, oy))
+        side = F.broadcast(side) if cells.broadcastable else side
+        points = points.withColumn("__hit", covered | side.where(condition).exists())
+        points = points.drop("__cx", "__cy", "__salt", "__vx", "__vy", *[f"__at{i}" for i in range(len(keys))])
+        covered = F.col("__hit")
+    return points.withColumn(flag, covered).drop("__hit")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, ids: Sequence[str] = (), **options) -> DataFrame:
+    """Points that the union of the polygons covers, as `mark_covered` tells. A point comes once, whatever its `ids`."""
+    return mark_covered(points, polygons, "__covered", only=True, **options).where("__covered").drop("__covered")
 
 
 def matched_ids(points: DataFrame, polygons: DataFrame, ids: Sequence[str], **options) -> DataFrame:
@@ -131,10 +146,9 @@ def matched_ids(points: DataFrame, polygons: DataFrame, ids: Sequence[str], **op
     return points_in_polygons(points, polygons, ids, **options).select(*ids).distinct().orderBy(*ids)
 
 
-def union_membership(points: DataFrame, polygons: DataFrame, ids: Sequence[str], **options) -> DataFrame:
-    """Every point with `in_union`."""
-    hit = points_in_polygons(points, polygons, ids, **options).select(*ids).withColumn("in_union", F.lit(True))
-    return points.join(hit, list(ids), "left").withColumn("in_union", F.coalesce("in_union", F.lit(False)))
+def union_membership(points: DataFrame, polygons: DataFrame, ids: Sequence[str] = (), **options) -> DataFrame:
+    """Every point with `in_union`, in one pass over the points."""
+    return mark_covered(points, polygons, "in_union", **options)
 
 
 # Contacts between edges -------------------------------------------------------------------------------------------
@@ -158,8 +172,8 @@ def _with_contact_kind(pairs: DataFrame) -> DataFrame:
     a, b = edge("a"), edge("b")
     oriented = pairs.withColumns(
         {
-            "d1": cross(b, a["x1"], a["y1"]), "d2": cross(b, a["x2"], a["y2"]),
-            "d3": cross(a, b["x1"], b["y1"]), "d4": cross(a, b["x2"], b["y2"]),
+            "d1": orientation(b, a["x1"], a["y1"]), "d2": orientation(b, a["x2"], a["y2"]),
+            "d3": orientation(a, b["x1"], b["y1"]), "d4": orientation(a, b["x2"], b["y2"]),
             "sx": F.least("a_hx", "b_hx") - F.greatest("a_lx", "b_lx"), "sy": F.least("a_hy", "b_hy") - F.greatest("a_ly", "b_ly"),
         }
     )
@@ -220,47 +234,18 @@ def edge_contacts(edges: DataFrame, by: Sequence[str], owner: str) -> DataFrame:
     )
 
 
-def _neighbours() -> Column:
-    """Edges next to each other in one ring."""
-    gap = F.abs(F.col("a_k") - F.col("b_k"))
-    return (F.col("a_ring") == F.col("b_ring")) & ((gap == 1) | (gap == F.col("a_n") - 1))
-
-
-def crossing_polygons(polygons: DataFrame, id_column: str = "polygon_id", rings: str = "rings") -> DataFrame:
-    """Ids of polygons that are not simple, with `crossing`: a ring that meets itself, or rings that cross each other.
-
-    Neighbouring edges may share their end but not run back along each other; different rings may touch in points.
-    """
-    contacts = edge_contacts(edge_table(polygons.withColumn("__owner", F.col(id_column)), [id_column, "__owner"], rings), [id_column], "__owner")
-    same = F.col("a_ring") == F.col("b_ring")
-    bad = (same & ~_neighbours()) | (F.col("kind") == "overlap") | (F.col("kind") == "cross")
-    return contacts.where(bad).groupBy(id_column).agg(
-        F.when(F.bool_or(same), "self_intersection").otherwise("ring_crossing").alias("crossing")
-    )
-
-
 def validate_polygons(polygons: DataFrame, id_column: str = "polygon_id", rings: str = "rings") -> DataFrame:
     """`id, problem` per polygon: empty, not_finite, not_closed, too_few_vertices, no_area, self_intersection,
-    ring_crossing, hole_outside or nested_holes; null for a valid polygon."""
-    ring_problems = F.filter(F.transform(F.col(rings), ring_problem), lambda p: p.isNotNull())
-    local = F.when(F.col(rings).isNull() | (F.size(rings) == 0), F.lit("empty")).otherwise(first(ring_problems))
-    judged = polygons.select(id_column, rings, local.alias("local"))
-    sound = judged.where("local is null").select(id_column, rings)
-    crossing = crossing_polygons(sound, id_column, rings)
-    shell = ring_edges(first(F.col(rings)))
-    outside = F.exists(
-        F.slice(F.col(rings), F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))),
-        lambda ring: F.exists(_probes(ring), lambda p: ~covers(shell, p["x"], p["y"])),
-    )
-    stray = F.when(F.col("local").isNull() & (F.size(rings) > 1) & outside, F.lit("hole_outside"))
-    holes = sound.where(F.size(rings) > 2).select(id_column, F.posexplode(rings).alias("owner", "ring")).where("owner > 0")
-    holes = settle(holes).df
-    probes = holes.select(id_column, "owner", F.explode(_probes(F.col("ring"))).alias("p")).select(id_column, "owner", "p.x", "p.y")
-    nested = _strictly_inside_others(probes, holes.select(id_column, "owner", F.array("ring").alias("rings")), id_column)
-    nested = nested.distinct().withColumn("nested", F.lit("nested_holes"))
-    return judged.join(crossing, id_column, "left").join(nested, id_column, "left").select(
-        id_column, F.coalesce("local", "crossing", stray, "nested").alias("problem")
-    )
+    ring_crossing, hole_outside or nested_holes; null for a valid polygon.
+
+    Neighbouring edges may share their end but not run back along each other; different rings may touch in points. Each polygon
+    is judged in its row, without a shuffle.
+    """
+    ship_package(polygons.sparkSession)
+    ring_problems_ = F.filter(F.transform(F.col(rings), ring_problem), lambda p: p.isNotNull())
+    local = F.when(F.col(rings).isNull() | (F.size(rings) == 0), F.lit("empty")).otherwise(first(ring_problems_))
+    judged = polygons.select(id_column, local.alias("local"), F.when(local.isNull(), F.col(rings)).alias("sound"))
+    return judged.select(id_column, F.coalesce("local", ring_problems("sound")).alias("problem"))
 
 
 def _probes(ring: Column) -> Column:

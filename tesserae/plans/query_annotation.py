@@ -33,7 +33,7 @@ def review_annotation(
 ) -> ReviewedQuery:
     """Run the query, resolve its objects to table rows and count the effect. Nothing is changed."""
     check_target_column(obs, column, mode)
-    matched = query_centers(centers, polygons, affine)
+    matched = settle(query_centers(centers, polygons, affine).select(*KEYS)).df  # read twice
     snapshot = settle(snapshot_of(obs, matched, column, value))
     if snapshot.rows == 0:
         raise ValueError("No object matches the query.")

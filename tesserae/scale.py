@@ -12,7 +12,9 @@ Three rules are kept in one place so that the operators stay plain DataFrame cod
 from __future__ import annotations
 
 import math
+import os
 import tempfile
+import zipfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -54,6 +56,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the sources of this package to the executors, once per Spark context, for functions that run in Python there."""
+    context = spark.sparkContext
+    if getattr(context, "_tesserae_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "tesserae.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._tesserae_shipped = True
+
+
 def _width(kind: T.DataType, column: Column) -> Column:
     """Estimated bytes of a value, from lengths alone."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

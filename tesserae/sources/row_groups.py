@@ -18,6 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.scale import ship_package
 from tesserae.sources.files import hadoop_path, qualified
 
 REPORT = "part int, level_file string, row_group int, tile_x long, tile_y long, n_points long"
@@ -92,6 +93,7 @@ def write_row_groups(df: DataFrame, folder: str, level: int, part: str, parts: i
     """Write `df(tile_x, tile_y, ...)` into files by `part` (0 to before `parts`), each in row-major tile order, one tile per row
     group and at most `max_rows` rows in a group. Gives the report of the groups, `REPORT`; the files are written when that is run.
     """
+    ship_package(df.sparkSession)
     uri = qualified(df.sparkSession, folder)
     columns = [c for c in df.columns if c != part]
     ordered = df.repartitionById(parts, F.col(part).cast("int")).sortWithinPartitions(part, "tile_y", "tile_x")
@@ -123,6 +125,7 @@ def write_row_groups(df: DataFrame, folder: str, level: int, part: str, parts: i
 
 def footer_report(spark: SparkSession, folder: str) -> DataFrame:
     """The report of the row groups of a folder, from the footers of its files; no rows are read."""
+    ship_package(spark)
     filesystem, target = hadoop_path(spark, folder)
     names = [s.getPath().getName() for s in filesystem.listStatus(target)]
     files = [(n,) for n in sorted(names) if n.endswith(".parquet") and not n.startswith((".", "_"))]
@@ -152,6 +155,7 @@ def footer_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_row_groups(groups: DataFrame, folder: str, columns: list[str], schema: str) -> DataFrame:
     """The rows of chosen groups `(level_file, row_group)`: each task opens its files and reads only these groups."""
+    ship_package(groups.sparkSession)
     uri = qualified(groups.sparkSession, folder)
     chosen = groups.select("level_file", "row_group").repartition("level_file").sortWithinPartitions("level_file", "row_group")
 
