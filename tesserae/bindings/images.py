@@ -233,18 +233,28 @@ def morphology_features(spark, folder):
 
 
 @query("morphology_hull_features", f"""
-WITH {PIXEL_SQL} SELECT region, label, count(*) AS area, true AS hull_holds_object, true AS residual_is_share, true AS full_boxes_have_their_area
-FROM plain GROUP BY ALL""")
+WITH {PIXEL_SQL},
+lines AS (SELECT region, label, y, min(x) AS low, max(x) AS high FROM plain GROUP BY ALL),
+corners AS (
+  SELECT region, label, y + dy AS py, side, CASE side WHEN 1 THEN low ELSE -high END - du AS u
+  FROM lines, (VALUES (-0.5::DOUBLE, 0.0::DOUBLE), (0.0, 0.5), (0.5, 0.0)) d(dy, du), (VALUES (1), (-1)) s(side)),
+spans AS (SELECT region, label, unnest(range(min(y), max(y) + 1)) AS y FROM lines GROUP BY region, label),
+reach AS (
+  SELECT s.region, s.label, s.y, p.side, ceil(min(CASE WHEN p.py = q.py THEN p.u ELSE p.u + (q.u - p.u) * ((s.y - p.py) / (q.py - p.py)) END) - 1e-9) AS u
+  FROM spans s JOIN corners p ON p.region = s.region AND p.label = s.label AND p.py <= s.y
+  JOIN corners q ON q.region = s.region AND q.label = s.label AND q.side = p.side AND q.py >= s.y
+  WHERE p.py < q.py OR p.py = s.y GROUP BY ALL),
+rows_ AS (
+  SELECT l.region, l.label, l.y, greatest(-r.u - l.u + 1, 0) AS n, (l.u - r.u) / 2 AS x
+  FROM reach l JOIN reach r ON r.region = l.region AND r.label = l.label AND r.y = l.y AND l.side = 1 AND r.side = -1),
+hulls AS (SELECT region, label, sum(n) AS hull, sum(n * y) / sum(n) AS hy, sum(n * x) / sum(n) AS hx FROM rows_ GROUP BY ALL),
+objects AS (SELECT region, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx FROM plain GROUP BY ALL)
+SELECT region, label, area, CAST(hull AS BIGINT) AS convex_area, round((hull - area) / hull, 9) AS convex_hull_resid,
+  round(sqrt(pow(cy - hy, 2) + pow(cx - hx, 2)) / sqrt(area), 6) AS centroid_dif
+FROM objects JOIN hulls USING (region, label)""")
 def morphology_hull_features(spark, folder):
-    """A hull has at least the pixels of its object; what it adds is a share; a filled box is its own hull."""
-    pixels = foreground(spark, folder)
-    boxes = pixels.groupBy("region", "label").agg(
-        ((F.max("y") - F.min("y") + 1) * (F.max("x") - F.min("x") + 1) == F.count(F.lit(1))).alias("full")
-    )
-    rows = X.morphology_features(pixels).join(boxes, ["region", "label"])
-    hull, area = F.col("convex_area"), F.col("area")
+    rows = X.morphology_features(foreground(spark, folder))
     return rows.select(
-        "region", "label", area.cast("long").alias("area"), (hull >= area).alias("hull_holds_object"),
-        (F.abs(F.col("convex_hull_resid") - (hull - area) / hull) < 1e-9).alias("residual_is_share"),
-        (~F.col("full") | (hull == area)).alias("full_boxes_have_their_area"),
+        "region", "label", F.col("area").cast("long").alias("area"), F.col("convex_area").cast("long").alias("convex_area"),
+        F.round("convex_hull_resid", 9).alias("convex_hull_resid"), F.round("centroid_dif", 6).alias("centroid_dif"),
     )

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tesserae.sources.raster import INTEGER_LIMITS
 
@@ -75,125 +73,203 @@ def intensity_features(
     return pixels.groupBy("region", "label").agg(*columns)
 
 
-def _flag_outline(pixels: DataFrame) -> DataFrame:
-    """Flag `border` pixels, which lack one of their four neighbours in the object, and the two `tip`s of each line.
+# Shapes as bitmaps -----------------------------------------------------------------------------------------------
+#
+# A word holds 64 neighbouring pixels of one line of one object, a bit for each. Neighbours of all 64 are found by shifts, with the
+# bits that come in from the words beside, and what lies around them is added bit by bit in parallel.
 
-    Neighbours are looked up along raster rows and columns, so no window holds more than one line of one object.
-    """
-    along_x = Window.partitionBy("region", "label", "y").orderBy("x")
-    along_y = Window.partitionBy("region", "label", "x").orderBy("y")
-
-    def step(axis: str, window, ahead: bool) -> Column:
-        return F.lead(axis).over(window) - F.col(axis) if ahead else F.col(axis) - F.lag(axis).over(window)
-
-    across = pixels.withColumns({"left": step("x", along_x, False), "right": step("x", along_x, True)})
-    both = across.withColumns({"above": step("y", along_y, False), "below": step("y", along_y, True)})
-    inner = F.lit(True)
-    for side in ("left", "right", "above", "below"):
-        inner = inner & (F.coalesce(F.col(side), F.lit(0)) == 1)
-    return both.select(
-        "region", "label", "y", "x", (~inner).alias("border"), (F.col("left").isNull() | F.col("right").isNull()).alias("tip")
-    )
 
+def pixel_words(pixels: DataFrame) -> DataFrame:
+    """`(region, label, y, xw, b)`: the pixels `x` from 64 xw on, bit by bit. A pixel that is repeated counts once. Words at the end
+    of which a pixel lies have a neighbour word, an empty one if need be."""
+    x = F.col("x").cast("long")
+    bit = F.expr("shiftleft(1L, CAST(CAST(x AS BIGINT) & 63 AS INT))")
 
-def _weigh_border(flagged: DataFrame) -> DataFrame:
-    """Add to every pixel the sum `w` of the weights of the border pixels at and around it.
+    def word(step: int, bits: Column) -> Column:
+        return F.struct((F.shiftright(x, 6) + step).alias("xw"), bits.alias("b"))
 
-    Border pixels send weights to themselves and to the eight positions around, and positions sum what they receive:
-    the shuffle key holds the position, so a huge object is spread over all tasks.
-    """
-    def message(dy: int, dx: int, weight: Column, own: int) -> Column:
-        return F.struct(
-            (F.col("y") + dy).cast("long").alias("y"), (F.col("x") + dx).cast("long").alias("x"), weight.alias("w"), F.lit(own).alias("own"),
-            (F.col("tip").cast("int") if own else F.lit(0)).alias("tip"),
-        )
-
-    around = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    self_message = message(0, 0, F.col("border").cast("int"), 1)
-    others = [message(dy, dx, F.lit(DIAGONAL_WEIGHT if dy and dx else AXIS_WEIGHT), 0) for dy, dx in around]
-    sent = F.when(F.col("border"), F.array(self_message, *others)).otherwise(F.array(self_message))
-    return (
-        flagged.select("region", "label", F.inline(sent)).groupBy("region", "label", "y", "x")
-        .agg(F.sum("w").alias("w"), F.max("own").alias("own"), F.max("tip").alias("tip")).where("own = 1")
-    )
+    own, none, at = word(0, bit), F.lit(0).cast("long"), x.bitwiseAND(F.lit(63))
+    sent = F.when(at == 0, F.array(own, word(-1, none))).when(at == 63, F.array(own, word(1, none))).otherwise(F.array(own))
+    return pixels.select("region", "label", F.col("y").cast("long").alias("y"), F.inline(sent)).groupBy("region", "label", "y", "xw").agg(
+        F.bit_or("b").alias("b"))
 
 
-def _chain(ys: np.ndarray, xs: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower (sign 1) or upper (sign -1) convex chain of x over increasing y."""
-    kept: list[int] = []
-    for i in range(len(ys)):
-        while len(kept) >= 2:
-            a, b = kept[-2], kept[-1]
-            turn = (ys[b] - ys[a]) * (xs[i] - xs[a]) - (xs[b] - xs[a]) * (ys[i] - ys[a])
-            if sign * turn > 0:
-                break
-            kept.pop()
-        kept.append(i)
-    return ys[kept], xs[kept]
+def _next_to(columns: Sequence[str], window, axis: str, names: tuple[str, str]) -> dict[str, Column]:
+    """The words before and after, empty where there is none: `<name>_<column>`."""
+    found = {}
+    for name, move, step in ((names[0], F.lag, -1), (names[1], F.lead, 1)):
+        there = move(axis).over(window) == F.col(axis) + step
+        found |= {f"{name}_{c}": F.when(there, move(c).over(window)).otherwise(F.lit(0).cast("long")) for c in columns}
+    return found
 
 
-def _side(rows: np.ndarray, edge: np.ndarray, sign: float) -> np.ndarray:
-    """x of the hull's left (sign 1) or right (sign -1) side at each row, from pixel diamonds of half a pixel."""
-    ys = np.concatenate([rows - 0.5, rows, rows + 0.5])
-    xs = np.concatenate([edge, edge - sign * 0.5, edge])
-    order = np.lexsort((sign * xs, ys))
-    ys, first = np.unique(ys[order], return_index=True)
-    chain_y, chain_x = _chain(ys, xs[order][first], sign)
-    return np.interp(np.arange(rows.min(), rows.max() + 1), chain_y, chain_x)
+def _before(word: str, left: str) -> Column:
+    """Each bit's neighbour towards smaller x."""
+    return F.shiftleft(F.col(word), 1).bitwiseOR(F.shiftrightunsigned(F.col(left), 63))
 
 
-def hull_of_rows(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[float, float, float]:
-    """Pixel count and centroid (y, x) of the convex hull of an object given by its extent in each row."""
-    left, right = _side(rows, low, 1.0), _side(rows, high, -1.0)
-    first, last = np.ceil(left - 1e-9), np.floor(right + 1e-9)
-    n = np.maximum(last - first + 1, 0)
-    area = n.sum()
-    y = np.arange(rows.min(), rows.max() + 1)
-    return float(area), float((n * y).sum() / area), float((n * (first + last) / 2).sum() / area)
+def _after(word: str, right: str) -> Column:
+    return F.shiftrightunsigned(F.col(word), 1).bitwiseOR(F.shiftleft(F.col(right), 63))
 
 
-HULL_TYPE = T.StructType([T.StructField(name, T.DoubleType()) for name in ("convex_area", "hull_cy", "hull_cx")])
+def _all(*words: Column) -> Column:
+    return reduce(lambda a, b: a.bitwiseAND(b), words)
 
 
-HULL_TYPE = T.StructType([T.StructField(name, T.DoubleType()) for name in ("convex_area", "hull_cy", "hull_cx")])
+def _any(*words: Column) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), words)
 
 
-@F.pandas_udf(HULL_TYPE)
-def _hull(ys: pd.Series, xs: pd.Series) -> pd.DataFrame:
-    """Hulls from the line tips of each object."""
-    found = []
-    for y, x in zip(ys, xs):
-        rows, where = np.unique(np.asarray(y, float), return_inverse=True)
-        low, high = np.full(len(rows), np.inf), np.full(len(rows), -np.inf)
-        np.minimum.at(low, where, x)
-        np.maximum.at(high, where, x)
-        found.append(hull_of_rows(rows, low, high))
-    return pd.DataFrame(found, columns=HULL_TYPE.names)
+def _number(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column]:
+    """How many of four words have a bit, as the three digits of a binary number."""
+    ab, cd, both = a.bitwiseXOR(b), c.bitwiseXOR(d), [a.bitwiseAND(b), c.bitwiseAND(d)]
+    carry = ab.bitwiseAND(cd)
+    return ab.bitwiseXOR(cd), reduce(lambda p, q: p.bitwiseXOR(q), [*both, carry]), _any(_all(*both), _all(both[0], carry), _all(both[1], carry))
 
 
-def morphology_features(
-    pixels: DataFrame, *, hull: bool = True, unique: bool = False, pixel_variance: float = PIXEL_VARIANCE
-) -> DataFrame:
-    """All shape features per object, as one chain of shuffles: line neighbours, column neighbours, positions, objects.
+def border_words(words: DataFrame) -> DataFrame:
+    """Add `border`, the pixels that lack one of their four neighbours in the object, and of the lines around it and of the words
+    beside the same. Words of a line meet, then words of a column, then those of a line again."""
+    along_x = Window.partitionBy("region", "label", "y").orderBy("xw")
+    along_y = Window.partitionBy("region", "label", "xw").orderBy("y")
+    rows = words.withColumns(_next_to(["b"], along_x, "xw", ("left", "right")))
+    rows = rows.withColumns(_next_to(["b"], along_y, "y", ("above", "below")))
+    inner = _all(_before("b", "left_b"), _after("b", "right_b"), F.col("above_b"), F.col("below_b"))
+    rows = rows.select("region", "label", "y", "xw", "b", F.col("b").bitwiseAND(F.bitwise_not(inner)).alias("border"))
+    rows = rows.withColumns(_next_to(["border"], along_y, "y", ("above", "below")))
+    return rows.withColumns(_next_to(["border", "above_border", "below_border"], along_x, "xw", ("left", "right")))
+
+
+def _perimeter_counts(rows: DataFrame) -> DataFrame:
+    """Add `p0`, `p1`, `p2`: border pixels that add each length of the estimate."""
+    lines = ("border", "above_border", "below_border")
+    before = {c: _before(c, f"left_{c}") for c in lines}
+    after = {c: _after(c, f"right_{c}") for c in lines}
+    axis = _number(F.col("above_border"), F.col("below_border"), before["border"], after["border"])
+    diagonal = _number(*(side[c] for side in (before, after) for c in lines[1:]))
+    rows = rows.withColumns({f"__{n}{i}": digit for n, digits in (("a", axis), ("d", diagonal)) for i, digit in enumerate(digits)})
+
+    def equal(name: str, number: int) -> Column:
+        return _all(*(F.col(f"__{name}{i}") if number >> i & 1 else F.bitwise_not(F.col(f"__{name}{i}")) for i in range(3)))
+
+    counts = {}
+    for k, (sums, _) in enumerate(PERIMETER_LENGTHS):
+        kinds = [(a, d) for a in range(5) for d in range(5) if 1 + AXIS_WEIGHT * a + DIAGONAL_WEIGHT * d in sums]
+        counts[f"p{k}"] = F.bit_count(F.col("border").bitwiseAND(_any(*(_all(equal("a", a), equal("d", d)) for a, d in kinds))))
+    return rows.withColumns(counts)
+
+
+def _place_sums(word: str) -> tuple[Column, Column]:
+    """Sum of the places of a word's bits, and of their squares."""
+    masks = [sum(1 << i for i in range(64) if i >> k & 1) for k in range(6)]
+    masks = [F.lit(m - (1 << 64) if m >> 63 else m) for m in masks]
+    count = lambda *chosen: F.bit_count(_all(F.col(word), *chosen)).cast("long")
+    first = sum((count(masks[k]) * (1 << k) for k in range(1, 6)), count(masks[0]))
+    square = sum((count(masks[j], masks[k]) * (1 << j + k) for j in range(6) for k in range(6) if j or k), count(masks[0]))
+    return first, square
+
+
+def _ends(word: str) -> tuple[Column, Column]:
+    """Places of the lowest and the highest bit."""
+    up = down = F.col(word)
+    for k in range(6):
+        up, down = up.bitwiseOR(F.shiftleft(up, 1 << k)), down.bitwiseOR(F.shiftrightunsigned(down, 1 << k))
+    return F.lit(64) - F.bit_count(up), F.bit_count(down) - 1
+
+
+# Hulls -----------------------------------------------------------------------------------------------------------
 
-    Pixel rows that repeat (such as one per channel) count once; pass `unique=True` when there are none, to spare the
-    first shuffle. For the hull only the two tips of each line are gathered: what an object collects is bounded by the
-    height of the raster, however many pixels it has.
+
+def _chain(lines: Column, sign: int) -> Column:
+    """Convex chain of `u = sign x` over y along one side of an object, from the half-pixel diamonds of its line ends."""
+    def corners(line: Column) -> Column:
+        u = (line["low"] if sign > 0 else -line["high"]).cast("double")
+        y = line["y"].cast("double")
+        return F.array(*(F.struct((y + dy).alias("y"), (u - du).alias("u")) for dy, du in ((-0.5, 0.0), (0.0, 0.5), (0.5, 0.0))))
+
+    def add(kept: Column, p: Column) -> Column:
+        def turns(b: Column, i: Column) -> Column:
+            a = F.get(kept, i - 1)
+            return (i == 0) | ((b["y"] - a["y"]) * (p["u"] - a["u"]) > (b["u"] - a["u"]) * (p["y"] - a["y"]))
+
+        # the chain is convex, so those that turn the right way come first
+        return F.when(F.get(kept, F.size(kept) - 1)["y"] == p["y"], kept).otherwise(F.concat(F.filter(kept, turns), F.array(p)))
+
+    points = F.array_sort(F.flatten(F.transform(lines, corners)))
+    return F.aggregate(points, F.array().cast("array<struct<y:double,u:double>>"), add)
+
+
+def _reach(lines: Column, sign: int) -> Column:
+    """The first whole `u` in the hull, for each line from the first to the last of the object."""
+    def step(state: Column, q: Column) -> Column:
+        p = state["p"]
+        rows = F.sequence(F.ceil(p["y"]), F.ceil(q["y"]) - 1)
+        at = lambda y: F.ceil(p["u"] + (q["u"] - p["u"]) * ((y - p["y"]) / (q["y"] - p["y"])) - 1e-9)
+        more = F.when(F.ceil(p["y"]) < F.ceil(q["y"]), F.transform(rows, at)).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(q.alias("p"), F.concat(state["found"], F.coalesce(more, F.array().cast("array<bigint>"))).alias("found"))
+
+    start = F.struct(F.lit(None).cast("struct<y:double,u:double>").alias("p"), F.array().cast("array<bigint>").alias("found"))
+    return F.aggregate(_chain(lines, sign), start, step, lambda state: state["found"])
+
+
+def hull_of_lines(lines: Column) -> Column:
+    """`(n, sy, sx)` of the convex hull of an object given by its lines `(y, low, high)`: pixels, and sums of their coordinates
+    relative to the first line and to zero."""
+    spans = F.zip_with(_reach(lines, 1), _reach(lines, -1), lambda a, b: F.struct(a.alias("a"), (-b).alias("b")))
+
+    def add(state: Column, span: Column) -> Column:
+        n = F.greatest(span["b"] - span["a"] + 1, F.lit(0)).cast("double")
+        return F.struct(
+            (state["i"] + 1).alias("i"), (state["n"] + n).alias("n"), (state["sy"] + n * state["i"]).alias("sy"),
+            (state["sx"] + n * (span["a"] + span["b"]).cast("double") / 2).alias("sx"))
+
+    zero = F.lit(0.0)
+    return F.aggregate(spans, F.struct(zero.alias("i"), zero.alias("n"), zero.alias("sy"), zero.alias("sx")), add)
+
+
+def morphology_features(pixels: DataFrame, *, hull: bool = True, pixel_variance: float = PIXEL_VARIANCE) -> DataFrame:
+    """All shape features per object. Pixel rows that repeat (such as one per channel) count once.
+
+    Pixels become words before the first shuffle; three shuffles of words and a small one of objects follow. For the hull an
+    object gathers the two ends of each of its lines, which the height of the raster bounds. Coordinates may have 28 bits.
     """
-    plain = pixels.select("region", "label", "y", "x")
-    weighed = _weigh_border(_flag_outline(plain if unique else plain.distinct()))
-    length = F.lit(0.0)
-    for sums, unit in PERIMETER_LENGTHS:
-        length = F.when(F.col("w").isin(*sums), F.lit(unit)).otherwise(length)
-    y, x = F.col("y").cast("double"), F.col("x").cast("double")
+    rows = _perimeter_counts(border_words(pixel_words(pixels)))
+    first, square = _place_sums("b")
+    low, high = _ends("b")
+    start = F.col("xw") * 64
+    n = F.bit_count("b").cast("long")
+    rows = rows.where("b <> 0").select(
+        "region", "label", "y", n.alias("n"), "p0", "p1", "p2", (n * start + first).alias("sx"), (n * start * start + 2 * start * first + square).alias("sxx"),
+        (start + low).alias("low"), (start + high).alias("high"),
+    )
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    lines = rows.groupBy("region", "label", "y").agg(
+        *(F.sum(c).alias(c) for c in ("n", "p0", "p1", "p2", "sx")), F.sum(wide("sxx")).alias("sxx"), F.min("low").alias("low"), F.max("high").alias("high"))
+    y = wide("y")
     facts = [
-        F.count(F.lit(1)).cast("double").alias("area"), F.avg(y).alias("cy"), F.avg(x).alias("cx"),
-        (F.var_pop(y) + pixel_variance).alias("vy"), (F.var_pop(x) + pixel_variance).alias("vx"), F.covar_pop(y, x).alias("c"),
-        F.sum(length).alias("perimeter"),
+        *(F.sum(c).alias(c) for c in ("n", "p0", "p1", "p2")), F.sum(wide("sx")).alias("sx"), F.sum("sxx").alias("sxx"), F.sum(y * wide("n")).alias("sy"),
+        F.sum(y * y.cast("decimal(9,0)") * F.col("n").cast("decimal(9,0)")).alias("syy"), F.sum(y * wide("sx").cast("decimal(18,0)")).alias("sxy"),
     ]
     if hull:
-        facts.append(F.collect_list(F.when(F.col("tip") == 1, F.struct("y", "x"))).alias("tips"))
-    base = weighed.groupBy("region", "label").agg(*facts)
+        facts.append(F.sort_array(F.collect_list(F.struct("y", "low", "high"))).alias("lines"))
+    base = lines.groupBy("region", "label").agg(*facts)
+    base = base.withColumns({"mx": F.expr("sx DIV n"), "my": F.expr("sy DIV n")})
+    d = lambda text: F.expr(f"CAST({text} AS DOUBLE)")
+    # about whole numbers near the means, so that nothing is lost when large sums are subtracted
+    base = base.withColumns({
+        "rx": d("sx - mx * n") / F.col("n"), "ry": d("sy - my * n") / F.col("n"),
+        "vxx": d("sxx - 2 * mx * sx + CAST(mx AS DECIMAL(20, 0)) * mx * n") / F.col("n"),
+        "vyy": d("syy - 2 * my * sy + CAST(my AS DECIMAL(20, 0)) * my * n") / F.col("n"),
+        "vxy": d("sxy - mx * sy - my * sx + CAST(mx AS DECIMAL(20, 0)) * my * n") / F.col("n"),
+    })
+    base = base.withColumns({
+        "area": F.col("n").cast("double"), "cy": F.col("my") + F.col("ry"), "cx": F.col("mx") + F.col("rx"),
+        "vy": F.col("vyy") - F.col("ry") * F.col("ry") + pixel_variance, "vx": F.col("vxx") - F.col("rx") * F.col("rx") + pixel_variance,
+        "c": F.col("vxy") - F.col("rx") * F.col("ry"),
+        "perimeter": sum((F.col(f"p{k}") * F.lit(length) for k, (_, length) in enumerate(PERIMETER_LENGTHS)), F.lit(0.0)),
+    })
+    kept = ["region", "label", "area", "cy", "cx", "vy", "vx", "c", "perimeter", *(["lines"] if hull else [])]
+    base = base.select(*kept)
     middle = (F.col("vy") + F.col("vx")) / 2
     spread = F.sqrt(F.pow((F.col("vy") - F.col("vx")) / 2, F.lit(2)) + F.col("c") * F.col("c"))
     axes = base.withColumns({"l1": middle + spread, "l2": F.greatest(middle - spread, F.lit(0.0))})
@@ -213,13 +289,13 @@ def morphology_features(
     ).drop("vy", "vx", "c", "l1", "l2")
     if not hull:
         return shaped.drop("cy", "cx")
-    hulled = shaped.withColumn(
-        "h", _hull(F.transform("tips", lambda t: t["y"].cast("double")), F.transform("tips", lambda t: t["x"].cast("double")))
-    ).drop("tips").select("*", "h.*")
+    hulled = shaped.withColumn("h", hull_of_lines(F.col("lines"))).withColumns({
+        "convex_area": F.col("h.n"), "hull_cy": F.get("lines", F.lit(0))["y"] + F.col("h.sy") / F.col("h.n"), "hull_cx": F.col("h.sx") / F.col("h.n"),
+    }).drop("lines", "h")
     shift = F.sqrt(F.pow(F.col("cy") - F.col("hull_cy"), F.lit(2)) + F.pow(F.col("cx") - F.col("hull_cx"), F.lit(2)))
     return hulled.withColumns(
         {
             "convex_hull_resid": (F.col("convex_area") - F.col("area")) / F.col("convex_area"),
             "centroid_dif": shift / F.sqrt("area"),
         }
-    ).drop("h", "hull_cy", "hull_cx", "cy", "cx")
+    ).drop("hull_cy", "hull_cx", "cy", "cx")

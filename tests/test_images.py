@@ -188,6 +188,32 @@ def test_shape_features_match_brute_force(spark, mask):
     assert row.centroid_dif == pytest.approx(math.hypot(ys.mean() - center[0], xs.mean() - center[1]) / math.sqrt(area), abs=1e-9)
 
 
+def test_shapes_across_words_and_repeated_pixels(spark):
+    """Objects that cross the ends of words at 64 pixels, touch diagonally there, and whose pixels come once per channel."""
+    rng = np.random.default_rng(3)
+    masks = {1: np.zeros((9, 200), int), 2: (rng.random((12, 140)) < 0.7).astype(int), 3: np.zeros((6, 130), int), 4: disc(40)}
+    masks[1][2:7, 60:131] = 1
+    masks[3][1, 63] = masks[3][2, 64] = masks[3][3, 63] = masks[3][3, 127] = masks[3][4, 128] = masks[3][2, 128] = 1
+    rows = [("r", k, int(y), int(x) + k, c) for k, m in masks.items() for y, x in np.argwhere(m) for c in ("a", "b")]
+    df = spark.createDataFrame(rows, "region string, label long, y int, x int, channel string").repartition(7)
+    for row in X.morphology_features(df).collect():
+        mask = masks[row.label]
+        ys, xs = np.nonzero(mask)
+        hull, center = brute_hull(mask)
+        assert row.area == mask.sum() and row.perimeter == pytest.approx(brute_perimeter(mask))
+        assert row.convex_area == hull and row.centroid_dif == pytest.approx(math.hypot(ys.mean() - center[0], xs.mean() - center[1]) / math.sqrt(mask.sum()), abs=1e-9)
+        covariance = np.cov(ys, xs, bias=True) + np.eye(2) / 12
+        assert row.major_axis_length == pytest.approx(4 * math.sqrt(np.linalg.eigvalsh(covariance)[1]))
+
+
+def test_far_away_objects_keep_their_shape(spark):
+    """Sums of squares near 2**52 leave the moments of a small object exact."""
+    rows = [("r", 1, y + 2**27 - 3, x + 2**27 - 5) for y in range(3) for x in range(7)]
+    row = X.morphology_features(spark.createDataFrame(rows, "region string, label long, y long, x long")).first()
+    assert row.major_axis_length == pytest.approx(4 * math.sqrt((49 - 1) / 12 + 1 / 12)) and row.minor_axis_length == pytest.approx(4 * math.sqrt((9 - 1) / 12 + 1 / 12))
+    assert row.convex_area == 21 and row.centroid_dif == pytest.approx(0)
+
+
 def test_intensity_features(spark):
     rows = [("r", 1, i, 0, c, float(v)) for c, vs in {"a": [1, 2, 3, 10], "b": [4, 4, 6, 6]}.items() for i, v in enumerate(vs)]
     df = spark.createDataFrame(rows, "region string, label long, y long, x long, channel string, value double")
