@@ -12,10 +12,12 @@ from tesserae.bindings.registry import query, table
 from tesserae.operators import centers as C
 from tesserae.operators import classify as M
 from tesserae.operators import points as P
+from tesserae.operators.set_tree import changed_buckets, set_digests, set_tree, updated_tree
 from tesserae.plans.build_tiles import build_tiles
 from tesserae.scale import ensure_checkpoint_dir, settle
 from tesserae.sources import components as S
 from tesserae.sources import raster as R
+from tesserae.sources.footers import signature_of_path
 
 
 def scratch(spark) -> str:
@@ -190,3 +192,34 @@ def classifier_save_load(spark, folder):
         F.lit(loaded.feature_columns == trained.feature_columns).alias("same_columns"),
         F.bool_and(F.col("pred_class") == F.col("again")).alias("same_predictions"), F.count(F.lit(1)).alias("n"),
     )
+
+
+@query("signature_from_footers", f"""
+WITH {PIXEL_SQL} SELECT region, 'scale0' AS scale, 'y,x' AS dims, max(y) + 1 AS height, max(x) + 1 AS width, 'int64' AS dtype FROM pixels GROUP BY region""")
+def signature_from_footers(spark, folder):
+    """Signatures of rasters that are stored with a folder per region."""
+    path = scratch(spark)
+    foreground(spark, folder).write.partitionBy("region").parquet(path)
+    return signature_of_path(spark, path)
+
+
+@query("set_tree_update", f"WITH {DIGEST_SQL} SELECT region, n_obs, digest FROM digests")
+def set_tree_update(spark, folder):
+    """Digests after the objects of the later half of the items came to those of the earlier half: only their paths are hashed again."""
+    items = foreground(spark, folder)
+    half = table(spark, folder, "lineitem").where("l_suppkey > 0").agg(F.percentile_approx("l_shipdate", 0.5)).first()[0]
+    early = table(spark, folder, "lineitem").where((F.col("l_suppkey") > 0) & (F.col("l_shipdate") < half)).select(
+        F.col("l_returnflag").alias("region"), F.col("l_suppkey").alias("instance_id")).distinct()
+    every = items.select("region", F.col("label").alias("instance_id")).distinct()
+    tree = settle(set_tree(early)).df
+    return set_digests(updated_tree(tree, every.join(early, ["region", "instance_id"], "left_anti"), every))
+
+
+@query("set_tree_changes", """
+WITH ids AS (SELECT o_orderstatus AS region, o_custkey AS id, bool_or(o_totalprice > 100000) AS dear FROM orders GROUP BY ALL)
+SELECT DISTINCT region, id >> 16 AS b FROM ids WHERE NOT dear""")
+def set_tree_changes(spark, folder):
+    """Buckets in which the customers of an order state differ from those with a dear order."""
+    ids = table(spark, folder, "orders").select(F.col("o_orderstatus").alias("region"), F.col("o_custkey").alias("instance_id"), "o_totalprice")
+    trees = [settle(set_tree(rows.select("region", "instance_id").distinct())).df for rows in (ids, ids.where("o_totalprice > 100000"))]
+    return changed_buckets(*trees)

@@ -14,6 +14,7 @@ from tesserae.operators import tiles as T
 from tesserae.operators.coarse import coarse_levels, level_points
 from tesserae.plans.build_tiles import plan_tiles
 from tesserae.scale import settle
+from tesserae.sources.footers import bounds_of_path
 from tesserae.sources.points import PointColumns, scan_points
 
 ITEMS = PointColumns("x", "y", "gene")
@@ -442,3 +443,10 @@ def coarse_tile_counts(spark, folder):
         counted = counted.select(F.lit(level).cast("long").alias("level"), "*")
         levels = counted if levels is None else levels.unionAll(counted)
     return levels
+
+
+@query("bounds_from_footers", """
+SELECT min(l_extendedprice) AS x_min, max(l_extendedprice) AS x_max, min(l_quantity) AS y_min, max(l_quantity) AS y_max,
+  min(l_extendedprice) AS x_origin, min(l_quantity) AS y_origin FROM lineitem""")
+def bounds_from_footers(spark, folder):
+    return bounds_of_path(spark, f"{folder}/lineitem.parquet", "l_extendedprice", "l_quantity")
