@@ -60,10 +60,19 @@ def high_cardinality(spark, folder):
     return E.high_cardinality(table(spark, folder, "pages"), "url")
 
 
-@query("classify_column_kind", """
-SELECT * FROM (VALUES ('doc_id', 'instance'), ('quality', 'categorical'), ('toxic', 'categorical'), ('n_chars', 'continuous'),
-  ('lang', 'categorical'), ('share', 'continuous'), ('long', 'categorical'), ('nothing', 'none')) t("column", kind)
-WHERE (SELECT count(DISTINCT quality) FROM labels) = 2""")
+def kind_sql(column: str) -> str:
+    """The kind of a column of `d` from its type and its values."""
+    binary = f"min({column}::VARCHAR) = '0' AND max({column}::VARCHAR) = '1' AND count_if({column}::VARCHAR NOT IN ('0', '1')) = 0"
+    return f"""SELECT '{column}' AS "column", CASE WHEN count({column}) = 0 THEN 'none' WHEN typeof(any_value({column})) IN ('VARCHAR', 'BOOLEAN') THEN 'categorical'
+  WHEN typeof(any_value({column})) LIKE '%INT%' AND {binary} THEN 'categorical' ELSE 'continuous' END AS kind FROM d"""
+
+
+@query("classify_column_kind", f"""
+WITH d AS (
+  SELECT doc_id, quality, toxic, n_chars, lang, n_chars / 1000 AS share, n_chars > 500 AS long, CASE WHEN n_chars < 0 THEN 'x' END AS nothing
+  FROM documents LEFT JOIN labels USING (doc_id))
+{" UNION ALL ".join(kind_sql(c) for c in ("quality", "toxic", "n_chars", "lang", "share", "long", "nothing"))}
+UNION ALL SELECT 'doc_id', 'instance'""")
 def classify_column_kind(spark, folder):
     docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left").select(
         "doc_id", "quality", "toxic", "n_chars", "lang", (F.col("n_chars") / 1000).alias("share"),

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tesserae.bindings.registry import query, table
 from tesserae.functions.geometry import box_ring
 from tesserae.operators import regions as G
-from tesserae.sources.tables import Linkage, scan_obs_table
+from tesserae.sources.tables import object_keys, scan_obs_table
 
-CUSTOMERS = Linkage("c_mktsegment", "c_custkey", ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
+CUSTOMERS = object_keys({
+    "region_key": "c_mktsegment", "instance_key": "c_custkey", "region": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+})
 CUSTOMER_SQL = "obs AS (SELECT c_mktsegment AS region, c_custkey AS instance_id, c_name, c_acctbal FROM customer)"
 
 

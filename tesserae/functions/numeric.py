@@ -87,8 +87,3 @@ def is_translation(a: Column, b: Column, d: Column, e: Column, zoff: Column | No
     if zoff is not None:
         flat = flat & close(F.coalesce(zoff, F.lit(0.0)), 0.0)
     return F.coalesce(flat, F.lit(False))
-
-
-def affine_xy(x: Column, y: Column, a, b, d, e, xoff, yoff) -> tuple[Column, Column]:
-    """Apply an affine held in columns."""
-    return a * x + b * y + xoff, d * x + e * y + yoff

@@ -88,8 +88,3 @@ def color_value(value: Column) -> Column:
 
 def is_color(value: Column) -> Column:
     return color_value(value).isNotNull()
-
-
-def default_palette(spark: SparkSession) -> DataFrame:
-    """The fixed colors as a table of (position, color)."""
-    return spark.createDataFrame(list(enumerate(DISTINCT_COLORS, start=1)), "position long, color string")

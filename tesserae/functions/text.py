@@ -14,10 +14,6 @@ def normalize_label(label: Column) -> Column:
     return F.regexp_replace(label, f"(?U)^{BLANKS}|{BLANKS}$", "")
 
 
-def label_missing(label: Column) -> Column:
-    return label.isNull()
-
-
 def label_empty(label: Column) -> Column:
     """True for a present label that has nothing left after trimming. Most labels start with a printable ASCII
     character, which settles it without a pattern."""

@@ -80,9 +80,9 @@ def apportion(df: DataFrame, keys: list[str], item: str, count: str, weights: st
 def value_boosts(counts: DataFrame, max_boost: int = MAX_BOOST) -> Sized:
     """`(value, boost)`: 1 for usual values, up to `max_boost` for those far below the mean count."""
     totals = counts.groupBy("value").agg(F.sum("n").alias("n"))
-    mean = totals.agg((F.sum("n") / F.count(F.lit(1))).alias("mean"))
-    boost = F.floor(F.sqrt(F.col("mean") / F.col("n")))
-    return settle(totals.join(F.broadcast(mean)).select("value", F.least(F.lit(max_boost), F.greatest(F.lit(1), boost)).cast("long").alias("boost")))
+    mean = totals.agg((F.sum("n") / F.count(F.lit(1))).alias("mean")).scalar()
+    boost = F.floor(F.sqrt(mean / F.col("n")))
+    return settle(totals.select("value", F.least(F.lit(max_boost), F.greatest(F.lit(1), boost)).cast("long").alias("boost")))
 
 
 def level_quotas(counts: DataFrame, boosts: Sized, capacity: int) -> Sized:
@@ -110,9 +110,8 @@ def pyramid_quotas(counts: DataFrame, levels: int, capacity: int = CAPACITY) ->
     return quotas
 
 
-def _ranked(df: DataFrame, keys: list[str], point_id: str) -> DataFrame:
-    """Add `__rank`, the number of points of the same keys that come before."""
-    sized = settle(df)
+def _ranked(sized: Sized, keys: list[str], point_id: str) -> DataFrame:
+    """Add `__rank`, the number of points of the same keys that come before. The points are read twice, so they are settled ones."""
     return cumulate(sized.df, "__priority", "__rank", keys=keys, splits=order_splits(sized, "__priority"), ties=[point_id])
 
 
@@ -129,13 +128,13 @@ def _first_level(placed: DataFrame, quotas: Sized, point_id: str) -> DataFrame:
     bound = F.when(wanted < F.col("__n"), wanted / F.col("__n") * F.lit(every)).otherwise(F.lit(every))
     bounded = Sized(quotas.df.where("__quota > 0").withColumn("__bound", bound), quotas.rows, quotas.nbytes)
     joined = join_sized(placed, bounded, PLACE, counts=quotas.df.select(*PLACE, "__n"))
-    near = settle(joined.where(F.col("__priority") < F.col("__bound")).drop("__bound", "__n")).df
-    found = near.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("__found"))
+    near = settle(joined.where(F.col("__priority") < F.col("__bound")).drop("__bound", "__n"))
+    found = near.df.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("__found"))
     short = bounded.df.join(found, PLACE, "left").where(F.coalesce("__found", F.lit(0)) < F.col("__quota"))
     short = settle(short.select(*PLACE, "__quota"))
     if short.rows:
-        again = join_sized(placed, short, PLACE).select(*near.columns)
-        near = near.join(short.df.drop("__quota"), PLACE, "left_anti").unionByName(again)
+        again = join_sized(placed, short, PLACE).select(*near.df.columns)
+        near = settle(near.df.join(short.df.drop("__quota"), PLACE, "left_anti").unionByName(again))
     return _ranked(near, PLACE, point_id).where(F.col("__rank") < F.col("__quota")).drop("__rank", "__quota")
 
 
@@ -161,7 +160,7 @@ def coarse_levels(
     counts = placed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({p: g for p, g in zip(PLACE, GROUP)})
     quotas = pyramid_quotas(counts, grid.n_levels, capacity)
     kept = _first_level(placed.withColumn("__priority", priority(F.col(value), F.col(point_id), seed)), _renamed(quotas[0]), point_id)
-    kept = kept.withColumns({"tile_x": F.col("__px"), "tile_y": F.col("__py")}).drop("__cell")
+    kept = settle(kept.withColumns({"tile_x": F.col("__px"), "tile_y": F.col("__py")}).drop("__cell"))
     dropped = []
     for level in range(1, grid.n_levels):
         # __px, __py of a point: its tile on the level below, which is a stratum of this one
@@ -170,10 +169,11 @@ def coarse_levels(
         shares = Sized(shares.df.withColumns(child).drop("__cell", "__n"), shares.rows, shares.nbytes)
         keys = ["__px", "__py", "__value"]
         joined = join_sized(_ranked(kept, keys, point_id), shares, keys)
-        judged = settle(joined.withColumn("__stays", F.col("__rank") < F.col("__quota")).drop("__rank", "__quota")).df
-        dropped.append(judged.where("NOT __stays").withColumn("coarsest", F.lit(level - 1)))
-        kept = judged.where("__stays").withColumns({"__px": F.shiftright("__px", 1), "__py": F.shiftright("__py", 1)}).drop("__stays")
-    rows = kept.withColumn("coarsest", F.lit(grid.n_levels - 1))
+        judged = settle(joined.withColumn("__stays", F.col("__rank") < F.col("__quota")).drop("__rank", "__quota"))
+        dropped.append(judged.df.where("NOT __stays").withColumn("coarsest", F.lit(level - 1)))
+        stay = judged.df.where("__stays").withColumns({"__px": F.shiftright("__px", 1), "__py": F.shiftright("__py", 1)}).drop("__stays")
+        kept = Sized(stay, judged.rows, judged.nbytes)
+    rows = kept.df.withColumn("coarsest", F.lit(grid.n_levels - 1))
     columns = [*points.columns, "tile_x", "tile_y", "coarsest"]
     rows = rows.select(*columns)
     for part in dropped:

@@ -18,8 +18,8 @@ from tesserae.scale import Sized, join_sized, number_rows, settle
 MANY_VALUES = 20
 ROWS_PER_VALUE = 100
 
-# Codes of objects without a table row, and of the background.
-DEFAULT_CODE, BACKGROUND_CODE, FIRST_CODE = 0, 1, 2
+# The code of the background and the first one of a category; 0 is left to objects without a table row.
+BACKGROUND_CODE, FIRST_CODE = 1, 2
 
 HELPER_SUFFIXES = ("_colors", "_color", ".color")
 

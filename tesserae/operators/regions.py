@@ -79,11 +79,6 @@ def x_var_values(matrix: DataFrame, obs: DataFrame, var: str) -> DataFrame:
     return obs.join(column, "obs_id", "left").withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(0.0)))
 
 
-def ambiguous_vars(variables: DataFrame, var: str) -> DataFrame:
-    """A variable name must resolve to exactly one column: returns its number of occurrences."""
-    return variables.where(F.col("var") == var).agg(F.count(F.lit(1)).alias("n"))
-
-
 def alignment_problems(shapes: DataFrame, rows: DataFrame) -> DataFrame:
     """Counts of everything that forbids joining a region's table rows to its shapes, and the first rule broken."""
     shape_nulls = shapes.agg(F.count_if(F.col("instance_id").isNull())).scalar()

@@ -5,10 +5,10 @@ Columns: `element, kind, coordinate_system, a, b, d, e, xoff, yoff, zoff, nz, ny
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.numeric import close, is_translation
+from tesserae.functions.numeric import ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE, close, is_translation
 from tesserae.functions.text import folded_name
 
 KINDS = ("images", "labels", "points", "shapes", "tables")
@@ -52,8 +52,32 @@ def labels_in_coordinate_system(catalog: DataFrame) -> DataFrame:
     )
 
 
+def _tolerance(shift: Column) -> Column:
+    return F.lit(ABSOLUTE_TOLERANCE) + F.lit(RELATIVE_TOLERANCE) * F.abs(shift)
+
+
+def _grain(shift: Column) -> Column:
+    """Power of two, at least twice the tolerance of a shift: equal shifts differ by one grain at most."""
+    return F.ceil(F.log2(2 * _tolerance(shift))).cast("int")
+
+
+def _cell(shift: Column, grain: Column) -> Column:
+    return F.floor(shift / F.pow(F.lit(2.0), grain))
+
+
+def _cells_near(shift: Column) -> Column:
+    """The cells, on the grains next to its own, of all shifts that may equal this one."""
+    reach = 2 * _tolerance(shift)
+    return F.flatten(F.transform(F.sequence(_grain(shift) - 1, _grain(shift) + 1), lambda grain: F.transform(
+        F.sequence(_cell(shift - reach, grain), _cell(shift + reach, grain)), lambda cell: F.struct(grain.alias("grain"), cell.alias("cell")))))
+
+
 def match_images_to_labels(catalog: DataFrame) -> DataFrame:
-    """`(coordinate_system, labels, image)`: same system and spatial size, both mere shifts, by the same amount."""
+    """`(coordinate_system, labels, image)`: same system and spatial size, both mere shifts, by the same amount.
+
+    Shifts are equal within a tolerance, so an image is put into the cell of a grid as fine as the tolerance, and labels look into
+    the cells around theirs: images elsewhere in the same system are never paired.
+    """
     placed = with_translation(catalog).where("is_translation").withColumns(
         {"nz": F.coalesce("nz", F.lit(0)), "zoff": F.coalesce("zoff", F.lit(0.0))}
     )
@@ -61,10 +85,14 @@ def match_images_to_labels(catalog: DataFrame) -> DataFrame:
     columns = ("a", "b", "d", "e", "xoff", "yoff", "zoff")
     labels = placed.where("kind = 'labels'").select(*keys, F.col("element").alias("labels"), *[F.col(c).alias(f"l_{c}") for c in columns])
     images = placed.where("kind = 'images'").select(*keys, F.col("element").alias("image"), *columns)
+    for axis in ("xoff", "yoff"):
+        at = F.struct(_grain(F.col(axis)).alias("grain"), _cell(F.col(axis), _grain(F.col(axis))).alias("cell"))
+        images = images.withColumn(f"__{axis}", at)
+        labels = labels.withColumn(f"__{axis}", F.explode(_cells_near(F.col(f"l_{axis}"))))
     same = F.lit(True)
     for c in columns:
         same = same & close(F.col(c), F.col(f"l_{c}"))
-    return labels.join(images, keys).where(same).select("coordinate_system", "labels", "image")
+    return labels.join(images, [*keys, "__xoff", "__yoff"]).where(same).select("coordinate_system", "labels", "image")
 
 
 def image_discovery(catalog: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,19 +14,27 @@ from tesserae.sources import tables as T
 OBS = "region string, instance_id long"
 
 
-def test_linkage_normalisation():
-    linkage = T.make_linkage(["region"], "cell", [["a"], "b"])
-    assert linkage == T.Linkage("region", "cell", ("a", "b")) and linkage.declares("a") and not linkage.declares("c")
-    for bad in (("", "cell", ["a"]), (["r", "s"], "cell", ["a"]), ("region", "cell", ["a", "a"]), ("region", "cell", [""])):
+def attributes(region="area", instance="cell", regions=("a", "b")):
+    return {"region_key": region, "instance_key": instance, "region": regions}
+
+
+def test_object_keys_follow_the_rules():
+    assert T.object_keys(attributes()) == T.ObjectKeys("area", "cell", ("a", "b"))
+    assert T.object_keys(attributes(regions="ab")).regions == ("ab",)
+    bad = [
+        attributes(region=""), attributes(region=["r", "s"]), attributes(instance=None), attributes(instance="area"), attributes(regions=["a", "a"]),
+        attributes(regions=[""]), attributes(regions=[]), attributes(regions=None), attributes(regions=[1]), {},
+    ]
+    for given in bad:
         with pytest.raises(ValueError):
-            T.make_linkage(*bad)
+            T.object_keys(given)
 
 
 def test_table_scan_needs_its_keys(spark):
     df = spark.createDataFrame([("a", 1)], "area string, cell long")
-    assert T.scan_obs_table(df, T.Linkage("area", "cell")).columns == ["region", "instance_id"]
+    assert T.scan_obs_table(df, T.object_keys(attributes())).columns == ["region", "instance_id"]
     with pytest.raises(ValueError, match="cell_id"):
-        T.scan_obs_table(df, T.Linkage("area", "cell_id"))
+        T.scan_obs_table(df, T.object_keys(attributes(instance="cell_id")))
 
 
 def test_requested_regions():
@@ -264,3 +273,15 @@ def test_catalog_matching(spark):
     assert [r.folded for r in K.name_collisions(df).collect()] == ["l"]
     with pytest.raises(ValueError):
         K.element_catalog(df, "movies")
+
+
+def test_equal_shifts_meet_in_cells(spark):
+    rng = np.random.default_rng(2)
+    shifts = [0.0, 1e-9, -1e-9, 5e-9, 1.0, -1.0, 2.0, 4.0, 1023.99999, 1024.0, 1e9, -3.3e5, *(rng.random(30) * 10.0 ** rng.integers(-9, 9, 30))]
+    near = [s + (1e-8 + 1e-5 * abs(s)) * f for s in shifts for f in (-1.5, -0.999, 0.0, 0.7, 0.999, 1.5)]
+    schema = "element string, kind string, coordinate_system string, a double, b double, d double, e double, xoff double, yoff double, zoff double, nz long, ny long, nx long"
+    row = lambda name, kind, x, y: (name, kind, "g", 1.0, 0.0, 0.0, 1.0, float(x), float(y), None, None, 10, 10)
+    rows = [row(f"l{i}", "labels", x, -x) for i, x in enumerate(shifts)] + [row(f"i{j}", "images", x, -x) for j, x in enumerate(near)]
+    want = {(f"l{i}", f"i{j}") for i, a in enumerate(shifts) for j, b in enumerate(near) if abs(b - a) <= 1e-8 + 1e-5 * abs(a)}
+    got = [(r.labels, r.image) for r in K.match_images_to_labels(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
