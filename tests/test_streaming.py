@@ -114,6 +114,16 @@ def test_late_rows_count_until_their_window_closes(spark, places):
     assert query.lastProgress.stateOperators[0].numRowsTotal <= 3 * 4  # closed windows have left the state
 
 
+def test_times_without_a_zone_keep_their_hours(spark, places):
+    spark.createDataFrame(rows(0, 90), SCHEMA).withColumn("at", F.col("at").cast("timestamp_ntz")).coalesce(1).write.parquet(places[0])
+    stream = T.file_stream(spark, places[0], SCHEMA.replace("timestamp", "timestamp_ntz"))
+    counted = C.windowed_counts(stream, "at", "1 hour", "1 hour")
+    T.keep_current(counted, places[1], places[2], partitions=2).awaitTermination()
+    found = T.current(spark, places[1], counted.schema, ["start"])
+    assert dict(found.dtypes)["start"] == "timestamp_ntz"
+    assert {r.start: r.n_points for r in found.collect()} == {START: 60, START + dt.timedelta(hours=1): 30}
+
+
 def test_repeats_within_the_delay_are_dropped(spark, places):
     arrive(spark, places[0], [*rows(0, 10), *rows(3, 4)])
     arrive(spark, places[0], rows(8, 5))
