@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import textbytes as tb
 from tesserae.llm.components import components
-from tesserae.llm.shared import broadcast, discard, map_batches, map_partitions, stored, texts_of
+from tesserae.llm.shared import broadcast, collect_garbage, discard, map_batches, map_partitions, stored, texts_of
 from tesserae.scale import BROADCAST_ROWS
 
 WORDS, PERCENT = 5, 75
@@ -372,6 +372,7 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
         spanned = shared.join(spans, "g")
         open_tokens = spanned.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("token")
         buckets = stored(spanned.join(open_tokens, "token", "left_semi").select("token", "g", "n", "at", "lo", "hi"), "open")
+        collect_garbage(docs.sparkSession)
 
     pairs = _candidates(sets, buckets, percent)
     itself = spans.where("lo != hi").select(F.col("g").alias("g1"), F.col("g").alias("g2"))

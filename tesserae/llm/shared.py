@@ -44,14 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files of tables made by `stored` that no later step reads.
-
-    The driver collects its garbage then: Spark drops broadcasts and shuffle files on the executors when the plans that made them are
-    collected, which may take long in a driver that has memory left.
-    """
-    if frames:
-        frames[0].sparkSession.sparkContext._jvm.System.gc()
-        give_back()
+    """Delete the files of tables made by `stored` that no later step reads."""
     for df in frames:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
@@ -98,6 +91,13 @@ def map_partitions(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]],
     return df.mapInArrow(run, schema)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver forget plans of the past: Spark drops broadcasts and shuffle files on the executors only then, which may take
+    long in a driver that has memory left. Takes about a second, so it is for the ends of long steps."""
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 _sent: list[Broadcast] | None = None
 
 
