@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tesserae.bindings.registry import query, table
 from tesserae.operators import histogram as H
 from tesserae.operators import pixels as X
+from tesserae.scale import ensure_checkpoint_dir
 from tesserae.sources import raster as R
 
 
@@ -161,6 +164,23 @@ def percentiles_approximate(spark, folder):
     return shares.select("p", "n", ((F.col("below") <= F.col("p") / 100 + 0.001) & (F.col("up_to") >= F.col("p") / 100 - 0.001)).alias("rank_is_near"))
 
 
+@query("percentile_sketches", """
+SELECT l_returnflag AS channel, p, count(*) AS n, true AS rank_is_near FROM lineitem, (SELECT unnest([1.0::DOUBLE, 50, 99]) AS p) GROUP BY ALL""")
+def percentile_sketches(spark, folder):
+    """Sketches per channel and image are stored and merged; the share of a channel's values below each percentile is nearly right."""
+    items = table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("channel"), F.col("l_linestatus").alias("image"), F.col("l_extendedprice").alias("value"))
+    path = f"{ensure_checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    H.percentile_sketches(items, "channel", "image").write.parquet(path)
+    found = H.sketch_percentiles(H.merged_sketches(spark.read.parquet(path), "channel"), [1, 50, 99], "channel")
+    shares = items.join(F.broadcast(found.withColumnRenamed("value", "at")), "channel").groupBy("channel", F.col("q").alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("value") < F.col("at")).cast("int")).alias("below"),
+        F.avg((F.col("value") <= F.col("at")).cast("int")).alias("up_to"),
+    )
+    near = (F.col("below") <= F.col("p") / 100 + H.RANK_ERROR) & (F.col("up_to") >= F.col("p") / 100 - H.RANK_ERROR)
+    return shares.select("channel", "p", "n", near.alias("rank_is_near"))
+
+
 @query("canonical_centers", f"""
 WITH {PIXEL_SQL}, requested AS (SELECT DISTINCT l_returnflag AS region, CAST(s_suppkey AS BIGINT) AS instance_id
                                 FROM supplier, (SELECT DISTINCT l_returnflag FROM lineitem))

@@ -133,3 +133,31 @@ def approximate_percentiles(df: DataFrame, wanted: Sequence[float], value: str =
     sketch = df.agg(F.percentile_approx(value, [q / 100.0 for q in wanted], accuracy).alias("values"))
     pairs = F.arrays_zip(F.lit(wanted).alias("q"), F.col("values").alias("value"))
     return sketch.select(F.inline(pairs)).toDF("q", "value")
+
+
+SKETCH_SIZE = 4_096
+# share of the rows by which a percentile of a sketch of `SKETCH_SIZE` may be misplaced, with 99 % confidence: 2.3 / size ** 0.9
+RANK_ERROR = 0.0014
+
+
+def percentile_sketches(df: DataFrame, *keys: str, value: str = "value", size: int = SKETCH_SIZE) -> DataFrame:
+    """`(keys, sketch)`: a quantile sketch of the values of each key, from one pass; missing values and NaN are left out.
+
+    A sketch takes some ten thousand bytes however many values it has seen, can be stored, and merged with others.
+    """
+    number = F.col(value).cast("double")
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.when(~F.isnan(number), number), size).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of coarser keys, such as of all images of a channel, from stored ones; no value is read again."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_percentiles(sketches: DataFrame, wanted: Sequence[float], *keys: str) -> DataFrame:
+    """`(keys, q, value)` from sketches, off in rank by `RANK_ERROR` or so. A sketch without values gives null."""
+    values = [
+        F.struct(F.lit(q).alias("q"), F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q / 100.0))).alias("value"))
+        for q in check_percentiles(wanted)
+    ]
+    return sketches.select(*keys, F.inline(F.array(*values)))

@@ -226,3 +226,19 @@ def test_intensity_features(spark):
     for bad in ({"channels": ["a", "a"]}, {"channels": ["a"], "features": ["median"]}):
         with pytest.raises(ValueError):
             X.intensity_features(df, **bad)
+
+
+def test_sketches_merge_across_images(spark):
+    n = 60_000
+    df = spark.range(0, n, 1, 6).select(
+        F.concat(F.lit("c"), F.col("id") % 2).alias("channel"), (F.col("id") % 7).alias("image"), (F.xxhash64("id") % 1_000_003).alias("value"))
+    sketches = H.percentile_sketches(df.unionByName(df.limit(1).withColumn("value", F.lit(None).cast("long"))), "channel", "image")
+    merged = H.merged_sketches(sketches, "channel")
+    values = {c: np.sort([r.value for r in df.where(F.col("channel") == c).collect()]) for c in ("c0", "c1")}
+    for row in H.sketch_percentiles(merged, [0, 1, 50, 99, 100], "channel").collect():
+        rank = np.searchsorted(values[row.channel], row.value) / (n / 2)
+        assert abs(rank - row.q / 100) <= 2 * H.RANK_ERROR
+    assert {r.n for r in merged.select(F.kll_sketch_get_n_double("sketch").alias("n")).collect()} == {n // 2}
+    odd = spark.createDataFrame([("a", float("nan")), ("a", None), ("b", 3.0)], "channel string, value double")
+    got = {r.channel: r.value for r in H.sketch_percentiles(H.percentile_sketches(odd, "channel"), [50], "channel").collect()}
+    assert got == {"a": None, "b": 3.0}
