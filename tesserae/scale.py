@@ -244,12 +244,9 @@ def cumulate(
     ranged = df.withColumn("__range", range_of(F.col(order), splits))
     body = ranged.withColumn("__inside", earlier([*keys, "__range"], [order, *ties], weight))
     totals = ranged.groupBy(*keys, "__range").agg(total(weight).alias("__total"))
-    offsets = totals.select(*keys, "__range", earlier(keys, ["__range"], "__total").alias("__before"))
-    return (
-        body.join(offsets, [*keys, "__range"])
-        .withColumn(out, F.col("__inside") + F.col("__before"))
-        .drop("__inside", "__before", "__range")
-    )
+    offsets = totals.select(*keys, "__range", earlier(keys, ["__range"], "__total").alias("__offset"))
+    summed = body.join(offsets, [*keys, "__range"]).withColumn("__sum", F.col("__inside") + F.col("__offset"))
+    return summed.drop("__inside", "__offset", "__range", out).withColumnRenamed("__sum", out)
 
 
 def number_rows(source: DataFrame | Sized, order: str, out: str, *, rows_per_range: int | None = None) -> DataFrame:

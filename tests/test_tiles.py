@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae import scale
 from tesserae.operators import tiles as T
 from tesserae.plans.build_tiles import build_tiles, plan_tiles
 from tesserae.sources.points import PointColumns
@@ -207,3 +208,10 @@ def test_far_tiles_keep_their_order(spark, tmp_path):
     manifest = T.write_tiled_level(df, str(tmp_path / "far"), 0, partitions=1)
     rows = manifest.orderBy("row_group").collect()
     assert [(r.tile_x, r.tile_y) for r in rows] == [(0, 0), (big, 0), (0, big), (big, big)]
+
+
+def test_shards_through_order_ranges(spark, monkeypatch):
+    monkeypatch.setattr(scale, "ROWS_PER_RANGE", 100)
+    points = spark.range(1000).select(F.col("id").alias("points_id"), (F.col("id") % 3).alias("tile_x"), F.lit(0).alias("tile_y"))
+    assert len(scale.order_splits(points, "points_id")) > 5
+    assert {r.points_id: r.shard for r in T.shard_rows(points, "points_id", 50).collect()} == {i: i // 3 // 50 for i in range(1000)}
