@@ -199,8 +199,10 @@ def ellipse_to_polygon(spark, folder):
     c = table(spark, folder, "customer")
     x, y, h = F.col("c_acctbal"), F.col("c_nationkey").cast("double"), F.col("c_nationkey") + 1.0
     corners = F.array(point(x - 10, y - h), point(x + 10, y - h), point(x + 10, y + h), point(x - 10, y + h))
-    rings = S.ellipse_polygons(c.select(F.col("c_custkey").alias("instance_id"), corners.alias("corners")))
-    vertices = rings.select("instance_id", F.posexplode("ring").alias("vertex", "p"))
+    ellipses = c.select(F.col("c_custkey").alias("instance_id"), corners.alias("corners"))
+    rings = S.ellipse_polygons(ellipses.repartition("instance_id"))  # a row becomes 65, so the few bytes of one file are spread first
+    # not posexplode: the filter that Spark infers from it would work out each ring twice more
+    vertices = rings.select("instance_id", F.posexplode_outer("ring").alias("vertex", "p")).where("vertex IS NOT NULL")
     return vertices.select(
         "instance_id", F.col("vertex").cast("long").alias("vertex"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y")
     )

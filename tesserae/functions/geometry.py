@@ -187,16 +187,16 @@ def ellipse_ring(corners: Column, segments: int = ELLIPSE_SEGMENTS) -> Column:
     def axis(end: Column, name: str) -> Column:
         return (end[name] - c[0][name]) / 2
 
+    def center(name: str) -> Column:
+        return (c[0][name] + c[1][name] + c[2][name] + c[3][name]) / 4
+
     ax, ay, bx, by = axis(c[1], "x"), axis(c[1], "y"), axis(c[3], "x"), axis(c[3], "y")
-    cx = (c[0]["x"] + c[1]["x"] + c[2]["x"] + c[3]["x"]) / 4
-    cy = (c[0]["y"] + c[1]["y"] + c[2]["y"] + c[3]["y"]) / 4
-    open_ring = F.transform(
-        F.sequence(F.lit(0), F.lit(segments - 1)),
-        lambda i: point(
-            cx + F.cos(i * (2 * math.pi / segments)) * ax + F.sin(i * (2 * math.pi / segments)) * bx,
-            cy + F.cos(i * (2 * math.pi / segments)) * ay + F.sin(i * (2 * math.pi / segments)) * by,
-        ),
-    )
+    frame = F.struct(*[v.alias(n) for n, v in (("cx", center("x")), ("cy", center("y")), ("ax", ax), ("ay", ay), ("bx", bx), ("by", by))])
+    angles = [i % segments * (2 * math.pi / segments) for i in range(segments + 1)]
+    units = F.array(*[F.struct(F.cos(F.lit(t)).alias("cos"), F.sin(F.lit(t)).alias("sin")) for t in angles])  # folded into a literal
+    # the frame is bound to a variable: otherwise it is worked out from the corners again for each vertex
+    ring = F.get(F.transform(F.array(frame), lambda f: F.transform(units, lambda u: point(
+        f["cx"] + u["cos"] * f["ax"] + u["sin"] * f["bx"], f["cy"] + u["cos"] * f["ay"] + u["sin"] * f["by"]))), F.lit(0))
     la, lb = F.sqrt(ax * ax + ay * ay), F.sqrt(bx * bx + by * by)
     usable = is_finite(la) & (la > 0) & is_finite(lb) & (lb > 0) & (F.size(corners) == 4)
-    return F.when(usable, F.concat(open_ring, F.slice(open_ring, 1, 1)))
+    return F.when(usable, ring)

@@ -185,6 +185,20 @@ def test_ellipse(spark):
         ellipse_ring(F.col("corners"), 7)
 
 
+def test_each_ellipse_is_worked_out_once(spark, tmp_path):
+    from tesserae.bindings.geometry import ellipse_to_polygon
+
+    rows = [(k, k % 3, float(k)) for k in range(20)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    vertices = ellipse_to_polygon(spark, str(tmp_path))
+    plan = vertices._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 2 and "COS(" not in plan and "Repartition" in plan
+    got = {(r.instance_id, r.vertex): (r.x, r.y) for r in vertices.collect()}
+    angle = lambda j: j % 64 * 2 * math.pi / 64
+    want = {(k, j): (a + 10 * math.cos(angle(j)), n + (n + 1) * math.sin(angle(j))) for k, n, a in rows for j in range(65)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
 def test_paths(spark):
     shell, hole = box(0, 0, 9, 9), box(1, 1, 2, 2)
     cases = [
