@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.numeric import ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE, close, is_translation
 from tesserae.functions.text import folded_name
+from tesserae.scale import Sized, join_sized, settle
 
 KINDS = ("images", "labels", "points", "shapes", "tables")
+PAIRS_TOGETHER = 4_000_000
 
 
 def element_catalog(catalog: DataFrame, kind: str | None = None, coordinate_system: str | None = None) -> DataFrame:
@@ -72,27 +74,64 @@ def _cells_near(shift: Column) -> Column:
         F.sequence(_cell(shift - reach, grain), _cell(shift + reach, grain)), lambda cell: F.struct(grain.alias("grain"), cell.alias("cell")))))
 
 
-def match_images_to_labels(catalog: DataFrame) -> DataFrame:
-    """`(coordinate_system, labels, image)`: same system and spatial size, both mere shifts, by the same amount.
+SIZES = ("nz", "ny", "nx")
+SHIFTS = ("a", "b", "d", "e", "xoff", "yoff", "zoff")
+
+
+def _placed(catalog: DataFrame, kind: str) -> DataFrame:
+    """Elements of a kind with `place`: system, size and transform. Null where these can match nothing."""
+    filled = with_translation(catalog.where(F.col("kind") == kind)).withColumns({"nz": F.coalesce("nz", F.lit(0)), "zoff": F.coalesce("zoff", F.lit(0.0))})
+    place = F.struct("coordinate_system", *SIZES, *[F.col(c).cast("double").alias(c) for c in SHIFTS])
+    known = F.col("is_translation")
+    for c in ("coordinate_system", *SIZES, *SHIFTS):
+        known = known & F.col(c).isNotNull()
+    return filled.select("coordinate_system", "element", F.when(known, place).alias("place"))
 
-    Shifts are equal within a tolerance, so an image is put into the cell of a grid as fine as the tolerance, and labels look into
-    the cells around theirs: images elsewhere in the same system are never paired.
+
+def _matching_places(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """`(label_place, image_place, n_labels, n_images)`: the places of labels and images that match, each pair once.
+
+    Elements are counted per place first, so the work follows the different places and not the elements. Shifts are equal within
+    a tolerance, so an image's place is put into the cell of a grid as fine as the tolerance, and labels look into the cells
+    around theirs: images elsewhere in the same system are never paired. The join is a merge: a label's many cells don't show
+    in Spark's estimate of its side, which would be taken as small enough to be sent whole.
     """
-    placed = with_translation(catalog).where("is_translation").withColumns(
-        {"nz": F.coalesce("nz", F.lit(0)), "zoff": F.coalesce("zoff", F.lit(0.0))}
-    )
-    keys = ["coordinate_system", "nz", "ny", "nx"]
-    columns = ("a", "b", "d", "e", "xoff", "yoff", "zoff")
-    labels = placed.where("kind = 'labels'").select(*keys, F.col("element").alias("labels"), *[F.col(c).alias(f"l_{c}") for c in columns])
-    images = placed.where("kind = 'images'").select(*keys, F.col("element").alias("image"), *columns)
+    def places(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.where("place IS NOT NULL").groupBy(F.col("place").alias(f"{kind}_place")).agg(F.count(F.lit(1)).alias(f"n_{kind}s"))
+
+    left, right = places(labels, "label"), places(images, "image")
     for axis in ("xoff", "yoff"):
-        at = F.struct(_grain(F.col(axis)).alias("grain"), _cell(F.col(axis), _grain(F.col(axis))).alias("cell"))
-        images = images.withColumn(f"__{axis}", at)
-        labels = labels.withColumn(f"__{axis}", F.explode(_cells_near(F.col(f"l_{axis}"))))
+        shift = F.col(f"image_place.{axis}")
+        right = right.withColumn(f"__{axis}", F.struct(_grain(shift).alias("grain"), _cell(shift, _grain(shift)).alias("cell")))
+        left = left.withColumn(f"__{axis}", F.explode(_cells_near(F.col(f"label_place.{axis}"))))
+    exact = ["coordinate_system", *SIZES]
+    for c in exact:
+        left, right = left.withColumn(f"__{c}", F.col(f"label_place.{c}")), right.withColumn(f"__{c}", F.col(f"image_place.{c}"))
     same = F.lit(True)
-    for c in columns:
-        same = same & close(F.col(c), F.col(f"l_{c}"))
-    return labels.join(images, [*keys, "__xoff", "__yoff"]).where(same).select("coordinate_system", "labels", "image")
+    for c in SHIFTS:
+        same = same & close(F.col(f"image_place.{c}"), F.col(f"label_place.{c}"))
+    found = left.join(right.hint("merge"), [*[f"__{c}" for c in exact], "__xoff", "__yoff"]).where(same)
+    return found.select("label_place", "image_place", "n_labels", "n_images")
+
+
+def match_images_to_labels(catalog: DataFrame) -> DataFrame:
+    """`(coordinate_system, labels, image)`: same system and spatial size, both mere shifts, by the same amount.
+
+    Places are matched first (see `_matching_places`), then their elements are paired. The labels of two places with more than
+    `PAIRS_TOGETHER` pairs are spread over several groups, each with all images, so that no task makes them all.
+    """
+    labels, images = _placed(catalog, "labels"), _placed(catalog, "images")
+    salts = F.least(F.ceil(F.col("n_labels") * F.col("n_images") / PAIRS_TOGETHER), F.col("n_labels")).alias("__salts")
+    pairs = settle(_matching_places(labels, images).select("*", F.monotonically_increasing_id().alias("__pair"), salts))
+
+    def paired(rows: DataFrame, kind: str, salt: Column, name: str) -> DataFrame:
+        own = Sized(pairs.df.select(F.col(f"{kind}_place").alias("place"), "__pair", "__salts"), pairs.rows, pairs.nbytes)
+        return join_sized(rows, own, "place").select("__pair", salt.alias("__salt"), F.col("coordinate_system").alias(f"__{kind}_system"), F.col("element").alias(name))
+
+    left = paired(labels.where("place IS NOT NULL"), "label", F.pmod(F.xxhash64("element"), F.col("__salts")), "labels")
+    right = paired(images.where("place IS NOT NULL"), "image", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)), "image")
+    both = left.join(right.hint("merge"), ["__pair", "__salt"])
+    return both.select(F.col("__label_system").alias("coordinate_system"), "labels", "image")
 
 
 def image_discovery(catalog: DataFrame) -> DataFrame:

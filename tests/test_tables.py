@@ -285,3 +285,31 @@ def test_equal_shifts_meet_in_cells(spark):
     want = {(f"l{i}", f"i{j}") for i, a in enumerate(shifts) for j, b in enumerate(near) if abs(b - a) <= 1e-8 + 1e-5 * abs(a)}
     got = [(r.labels, r.image) for r in K.match_images_to_labels(spark.createDataFrame(rows, schema)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def sent_whole(plan: str) -> list[str]:
+    """Lines of a physical plan below a broadcast exchange."""
+    found, depth = [], None
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at > depth:
+            found.append(line)
+            continue
+        depth = at if "BroadcastExchange" in line else None
+    return found
+
+
+def test_many_elements_in_one_place(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(K, "PAIRS_TOGETHER", 100, raising=False)
+    schema = "element string, kind string, coordinate_system string, a double, b double, d double, e double, xoff double, yoff double, zoff double, nz long, ny long, nx long"
+    row = lambda name, kind, a, x: (name, kind, "g", a, 0.0, 0.0, 1.0, x, 0.0, None, None, 10, 10)
+    rows = [row(f"l{i % 39}", "labels", 1.0, 5.0) for i in range(40)] + [row(f"i{j}", "images", 1.0, 5.0 + j % 2 * 1e-9) for j in range(50)]
+    rows += [row("wide", "labels", 2.0, 5.0), row("none", "labels", 1.0, None), row("far", "images", 1.0, 9.0), row("lost", "images", 1.0, None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "catalog"))
+    df = spark.read.parquet(str(tmp_path / "catalog"))
+    for function in (K.match_images_to_labels, K.image_discovery):
+        assert not [line for line in sent_whole(function(df)._jdf.queryExecution().executedPlan().toString()) if "Generate" in line]
+    got = sorted((r.labels, r.image) for r in K.match_images_to_labels(df).collect())
+    assert got == sorted((f"l{i % 39}", f"i{j}") for i in range(40) for j in range(50))
+    found = {r.labels: (r.matching, r.images, r.unavailable) for r in K.image_discovery(df).collect()}
+    assert found == {f"l{i}": (50, 52, 2) for i in range(1, 39)} | {"l0": (100, 52, -48), "wide": (0, 52, 52), "none": (0, 52, 52)}
