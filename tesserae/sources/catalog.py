@@ -135,10 +135,12 @@ def match_images_to_labels(catalog: DataFrame) -> DataFrame:
 
 
 def image_discovery(catalog: DataFrame) -> DataFrame:
-    """Per labels element and coordinate system: matching images, images in the system, and the rest."""
-    matches = match_images_to_labels(catalog).groupBy("coordinate_system", "labels").agg(F.count(F.lit(1)).alias("matching"))
-    images = catalog.where("kind = 'images'").groupBy("coordinate_system").agg(F.count(F.lit(1)).alias("images"))
-    labels = catalog.where("kind = 'labels'").select("coordinate_system", F.col("element").alias("labels")).distinct()
-    counted = labels.join(matches, ["coordinate_system", "labels"], "left").join(images, "coordinate_system", "left")
+    """Per labels element and coordinate system: matching images, images in the system, and the rest. Images are counted per
+    place; no pair of elements is made."""
+    labels, images = _placed(catalog, "labels"), _placed(catalog, "images")
+    found = _matching_places(labels, images).groupBy(F.col("label_place").alias("place")).agg(F.sum("n_images").alias("matching"))
+    matched = join_sized(labels, settle(found), "place", "left").groupBy("coordinate_system", F.col("element").alias("labels"))
+    totals = images.groupBy("coordinate_system").agg(F.count(F.lit(1)).alias("images"))
+    counted = join_sized(matched.agg(F.sum("matching").alias("matching")), settle(totals), "coordinate_system", "left")
     filled = counted.na.fill(0, ["matching", "images"])
     return filled.withColumn("unavailable", F.col("images") - F.col("matching"))
