@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
     Texts without words stay, and so does everything if no row has a label. Rows alike in text share their fate, also without an id.
     """
-    new_stage()
+    new_stage(spark)
     return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")))
 
 
@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
     Texts without words have no component and stay; so do rows without an id. Rows of an id that is repeated stay or go together.
     """
-    new_stage()
+    new_stage(spark)
     return jaccard_join.one_per_component(docs)
 
 
@@ -43,7 +43,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     Every row stays. A null text stays null, a text that is a copy becomes empty, and `n_chars` follows the text. Texts of rows without
     an id, and repeats within one document, stay as they are.
     """
-    new_stage()
+    new_stage(spark)
     return suffix_array.without_repeats(docs)
 
 
@@ -52,13 +52,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
     Items without a text, or with fewer than five words, hit nothing; an item counts without an id, too. Texts without words stay.
     """
-    new_stage()
+    new_stage(spark)
     return string_tiling.without_contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of what they decode to. A null text has no tokens; all rows stay."""
-    new_stage()
+    new_stage(spark)
     return byte_bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 

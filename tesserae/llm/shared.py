@@ -109,12 +109,21 @@ def broadcast(spark: SparkSession, value) -> Broadcast:
     return made
 
 
-def new_stage() -> None:
-    """Begin a step whose input is written: broadcast variables of the step before are destroyed, as nothing reads them again."""
+def shrink_executors(spark: SparkSession) -> None:
+    """Let the executors collect their garbage and return what is free then: a heap that grew in one step otherwise stays as large
+    beside the Python workers of the next. One short task for each core, so that each executor gets one or more; takes about a second."""
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
+def new_stage(spark: SparkSession) -> None:
+    """Begin a step whose input is written: broadcast variables of the step before are destroyed, as nothing reads them again, and
+    driver and executors give back memory."""
     global _sent
     for made in _sent or []:
         made.destroy()
     _sent = []
+    shrink_executors(spark)
     give_back()
 
 

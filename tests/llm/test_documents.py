@@ -306,3 +306,11 @@ def test_pipeline_of_awkward_rows(spark, make, awkward, tmp_path):
     ids = [r.doc_id for r in rows]
     assert None not in ids and 11 not in ids and {2, 3, 4, 8, 12} <= set(ids)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_begin_with_collected_executors(spark, make, tmp_path):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    corpus_pipeline.encode(spark, make([(1, "one two")]), str(tmp_path))
+    assert full() > before
